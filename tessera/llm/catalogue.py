@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing, quality
+from tessera.llm import chat, mixing, packing, quality, tokens
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1,
     "op2_mix_sources": mixing.op2,
     "op6_chat_format": chat.op6,
     "op8_quality_rules": quality.op8,
+    "op9_prefix_token_counts": tokens.op9,
 }
 ORACLES = {"op2_mix_sources": mixing.SQL, "op6_chat_format": chat.SQL, "op8_quality_rules": quality.SQL}
