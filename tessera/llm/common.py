@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +63,17 @@ def words_of(text):
 def word_count(text):
     """The number of words, without building them: word characters that follow white space or the start."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once for each Spark context, so that it need not be installed on them."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_tessera_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        to = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera_code.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(to))
+        sc._tessera_shipped = True
+    return spark

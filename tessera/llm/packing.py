@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, stored, work_folder
+from tessera.llm.common import shipped, small, stored, work_folder
 from tessera.llm.tokens import slices, vocabulary, vocabulary_path
 
 CAPACITY = 2048
@@ -122,7 +122,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFram
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
-    spark = docs.sparkSession
+    spark = shipped(docs.sparkSession)
     folder = work_folder(spark)
     pieces = stored(cut_pieces(docs, path or vocabulary_path(), capacity), folder, "pieces")
     counts = stored(pieces.groupBy("block", "length").agg((F.max("nth") + 1).alias("n")), folder, "counts")

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import shipped
+
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 CACHE = 400_000
@@ -274,6 +276,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, prefixes: bool = Fals
     """docs(doc_id, text) -> doc_id, n_bytes, n_tokens and, with prefixes, counts: the packed int32 table of all prefixes."""
     path = path or vocabulary_path()
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    shipped(docs.sparkSession)
     names = ["doc_id", "n_bytes", "n_tokens"] + ["counts"] * prefixes
     kind = d.schema["doc_id"].dataType.simpleString()
 
