@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shipped, stored, work_folder
 
-SAMPLE, PROBES, TARGET, PART, LEAF, BRANCH, MAX_LEAVES = 16384, 200, 0.97, 4096, 384, 12, 4096
+SAMPLE, PROBES, TARGET, PART, LEAF, BRANCH, MAX_LEAVES = 16384, 200, 0.96, 4096, 2048, 12, 4096
 
 
 class Tree:
