@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, jaccard, language, mixing, neighbours, packing, quality, tokens
+from tessera.llm import chat, jaccard, language, lines, mixing, neighbours, packing, quality, substrings, tokens
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
     "op2_mix_sources": mixing.op2,
+    "op3_repeated_strings": substrings.op3,
+    "op4_line_dedup": lines.op4,
     "op5_language_id": language.op5,
     "op6_chat_format": chat.op6,
     "op7_tree_neighbours": neighbours.op7,
@@ -14,4 +16,4 @@ QUERIES = {
     "op9_prefix_token_counts": tokens.op9,
     "op10_jaccard_join": jaccard.op10,
 }
-ORACLES = {"op2_mix_sources": mixing.SQL, "op6_chat_format": chat.SQL, "op8_quality_rules": quality.SQL}
+ORACLES = {"op2_mix_sources": mixing.SQL, "op4_line_dedup": lines.SQL, "op6_chat_format": chat.SQL, "op8_quality_rules": quality.SQL}

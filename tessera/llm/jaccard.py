@@ -296,7 +296,7 @@ def _ordered_pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def linked(shared: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) -> DataFrame:
     """shared(token, sid, n, pos), sets(sid, keys) -> node, root: the components of sets that have a link to another one."""
     spark = shared.sparkSession
     links, tested, roots = None, None, None
@@ -319,7 +319,7 @@ def linked(shared: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, folder, f"pairs-{turn}")
-        found = stored(_compare(pairs, sets).select("a", "b"), folder, f"links-{turn}")
+        found = stored(compare(pairs, sets).select("a", "b"), folder, f"links-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         roots = components(links, folder, f"roots-{turn}")
