@@ -44,7 +44,7 @@ def _tokens(lines: DataFrame) -> DataFrame:
 
 def _levels(tokens: DataFrame) -> bytearray:
     """A level from 0 (rare) to 7 for each of BUCKETS counters, from all lines; BUCKETS rows reach the driver."""
-    bucket = F.explode("tokens").alias("t")
+    bucket = F.explode_outer("tokens").alias("t")  # no filter is inferred from it, which would work the n-grams out once for each word
     rows = tokens.select(bucket).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
     counts = sorted(r["count"] for r in rows)
     usual = counts[len(counts) // 2] if len(counts) == BUCKETS else 0
