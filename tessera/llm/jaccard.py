@@ -40,6 +40,8 @@ HEAVY = 3
 SEEN = 200_000
 MEMBERS = 256
 ROUNDS = 4
+#: Rounds with leaders end when what is left has at most so many pairs for each row.
+MANY = 200
 _words: dict[bytes, int] = {}
 _U = np.uint64
 
@@ -299,29 +301,32 @@ def _ordered_pair(x: str, y: str):
 def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) -> DataFrame:
     """shared(token, sid, n, pos), sets(sid, keys) -> node, root: the components of sets that have a link to another one."""
     spark = shared.sparkSession
-    links, tested, roots = None, None, None
+    tested, roots = None, None
     for turn in range(ROUNDS + 1):
         x = shared if roots is None else shared.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
         x = x.withColumn("comp", F.col("sid")) if roots is None else x
-        several = x.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n", "pos", "comp")).alias("l"))
-        several = stored(several.filter("c0 <> c1").select("token", "rows", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("sid", "n", "pos", "comp")]), folder, f"tokens-{turn}")
-        size = several.agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("rows")).alias("all")).first()
+        lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n", "pos", "comp"))
+        inside = x.groupBy("token", "comp").agg(F.count("*").alias("c"), lead.alias("l"))
+        several = inside.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("comps"), F.min("l").alias("l")).filter("comps > 1")
+        several = several.select("token", "rows", (F.col("rows") * F.col("rows") - F.col("within")).alias("across"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("sid", "n", "pos", "comp")])
+        several = stored(several, folder, f"tokens-{turn}")
+        size = several.agg(F.sum("rows").alias("n"), F.sum("across").alias("across")).first()
         if not size["n"]:
             break
-        last = turn == ROUNDS or (turn and size["all"] <= 40 * size["n"])
+        last = turn == ROUNDS or (turn > 0 and size["across"] <= MANY * size["n"])
         if last:
             x = stored(x.join(several.select("token"), "token", "left_semi"), folder, "rest")
             y = x.select("token", *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "pos", "comp")])
             pairs = x.join(y, "token").filter((F.col("sid") < F.col("l_sid")) & (F.col("comp") != F.col("l_comp")) & _possible())
         else:
-            pairs = x.join(several.drop("rows"), "token").filter((F.col("comp") != F.col("l_comp")) & _possible())
+            pairs = x.join(several.drop("rows", "across"), "token").filter((F.col("comp") != F.col("l_comp")) & _possible())
         pairs = pairs.select(*_ordered_pair("sid", "l_sid")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, folder, f"pairs-{turn}")
         found = stored(compare(pairs, sets).select("a", "b"), folder, f"links-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
+        links = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         roots = components(links, folder, f"roots-{turn}")
         if last:
             break
