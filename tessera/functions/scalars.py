@@ -267,7 +267,7 @@ def pair_softmax(real, fake) -> Column:
 
 
 def percent(c) -> Column:
-    return F.coalesce(F.format_string("%.2f%%", _c(c) * 100), F.lit("N/A"))
+    return F.when(_c(c).isNull(), F.lit("N/A")).otherwise(F.format_string("%.2f%%", _c(c) * 100))
 
 
 def batch_count(n, size: int) -> Column:
