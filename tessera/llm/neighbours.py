@@ -90,12 +90,16 @@ def matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), np.float64)
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int):
-    """For each query (row number of q, row number of v, score) of its k best, ties to smaller ids; its own id never counts."""
+def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, bound: np.ndarray | None = None):
+    """For each query (row number of q, row number of v, score) of its k best, ties to smaller ids; its own id never counts.
+
+    bound: scores that k candidates are known to reach; what is below them isn't returned."""
     for at in range(0, len(q), 256):
         rough = q[at : at + 256] @ v.T
         rough[q_ids[at : at + 256, None] == v_ids[None, :]] = -np.inf
         kth = np.partition(rough, -k, axis=1)[:, -k] if len(v) > k else np.full(len(rough), -np.inf)
+        if bound is not None:
+            kth = np.maximum(kth, bound[at : at + 256])
         for i, row in enumerate(rough):
             c = np.flatnonzero((row >= kth[i] - 1e-9 * (1 + abs(kth[i])) if np.isfinite(kth[i]) else np.isfinite(row)) & np.isfinite(row))
             exact = np.cumsum(v[c] * q[at + i], axis=1)[:, -1] if len(c) else np.zeros(0)
@@ -121,7 +125,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     kind = vectors.schema["vec_id"].dataType.simpleString()
     h = F.xxhash64("vec_id")
     share = min(1.0, 1.3 * SAMPLE / max(1, n))
-    sample = v.filter(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(h, "vec_id").limit(SAMPLE).select("embedding").toPandas()
+    sample = v.filter(F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(h, "vec_id").limit(SAMPLE).select("vec_id", "embedding").toPandas()
     x = matrix(sample["embedding"]) if len(sample) else np.zeros((0, max(1, dim)))
     leaf = max(LEAF, n // (MAX_LEAVES // 4))
     tree = Tree(x, max(4, int(leaf * len(x) / max(1, n))))
@@ -138,12 +142,21 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     q_parts = max(1, -(-queries.count() * visits // (max(1, tree.leaves) * PART)))
     parts = {leaf: -(-size // PART) for leaf, size in sizes.items()}
 
+    held_sample = spark.sparkContext.broadcast((x, sample["vec_id"].to_numpy()))  # SAMPLE vectors
+
     def to_bins(frames):
         for f in frames:
-            out = [(i, q, leaf, p) for i, q in zip(f["vec_id"], f["embedding"], strict=True) for leaf in tree.best_first(np.asarray(q), visits) for p in range(parts.get(leaf, 0))]
-            yield pd.DataFrame(out, columns=["query_id", "q", "leaf", "part"])
-
-    bins = queries.mapInPandas(to_bins, f"query_id {kind}, q array<double>, leaf int, part int")
+            # The k-th best score among the sample, which every query can reach, bounds what its leaves need to return.
+            bounds = np.full(len(f), -np.inf)
+            for at in range(0, len(f), 256):
+                s = matrix(f["embedding"].iloc[at : at + 256]) @ held_sample.value[0].T
+                s[f["vec_id"].to_numpy()[at : at + 256, None] == held_sample.value[1][None, :]] = -np.inf
+                if s.shape[1] >= k:
+                    bounds[at : at + 256] = np.partition(s, -k, axis=1)[:, -k]
+            out = [(i, q, b, leaf, p) for i, q, b in zip(f["vec_id"], f["embedding"], bounds, strict=True) for leaf in tree.best_first(np.asarray(q), visits) for p in range(parts.get(leaf, 0))]
+            yield pd.DataFrame(out, columns=["query_id", "q", "bound", "leaf", "part"])
+
+    bins = queries.mapInPandas(to_bins, f"query_id {kind}, q array<double>, bound double, leaf int, part int")
     bins = bins.withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.lit(q_parts)).cast("int"))
 
     n_parts = F.lit(1)
@@ -156,7 +169,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         q_ids, v_ids = a["query_id"].to_numpy(), b["vec_id"].to_numpy()
-        got = list(best(matrix(a["q"]), q_ids, matrix(b["embedding"]), v_ids, k))
+        got = list(best(matrix(a["q"]), q_ids, matrix(b["embedding"]), v_ids, k, a["bound"].to_numpy()))
         return pd.DataFrame({"query_id": q_ids[[g[0] for g in got]], "vec_id": v_ids[[g[1] for g in got]], "score": [float(g[2]) for g in got]})
 
     keys = ["leaf", "part", "q_part"]
