@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import shipped, table
 from tessera.llm.tokens import slices
 
-SAMPLE, FEATURES, EPOCHS = 6000, 4096, 12
+SAMPLE, FEATURES, EPOCHS = 3000, 4096, 12
 #: Families of languages, by their codes.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
@@ -71,21 +71,23 @@ def _letters(c: np.ndarray) -> np.ndarray:
     return np.where(c < len(_KNOWN_LETTERS), _KNOWN_LETTERS[np.minimum(c, len(_KNOWN_LETTERS) - 1)], (c >= 0x3041) & ~((c >= 0xFE00) & (c < 0xFE70)) & (c < 0x1F000))
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, seed: int = 5) -> np.ndarray:
-    """A linear support vector machine (squared hinge loss) for y of +1 and -1, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    rng, w, a = np.random.default_rng(seed), np.zeros(x.shape[1]), np.zeros(len(x))
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 4.0, seed: int = 5) -> np.ndarray:
+    """A linear support vector machine (squared hinge loss) on some rows of x, y of +1 and -1, by dual coordinate descent.
+
+    The last weight is the constant's."""
+    rng, w, b, a = np.random.default_rng(seed), np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
     weight = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum()))
     d = 1 / (2 * c * weight)
-    q = (x**2).sum(1) + d
+    q = 2 + d  # rows have length 1, and the constant adds 1
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + d[i] * a[i]
-            new = max(0.0, a[i] - g / q[i])
+        for i in rng.permutation(len(rows)):
+            v = x[rows[i]]
+            new = max(0.0, a[i] - (y[i] * (v @ w + b) - 1 + d[i] * a[i]) / q[i])
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                w += (new - a[i]) * y[i] * v
+                b += (new - a[i]) * y[i]
                 a[i] = new
-    return w
+    return np.append(w, b)
 
 
 class OneVersusOne:
@@ -96,8 +98,8 @@ class OneVersusOne:
         self.pairs, ws = [], []
         for i, a in enumerate(self.classes):
             for j in range(i + 1, len(self.classes)):
-                use = (labels == a) | (labels == self.classes[j])
-                ws.append(svm(x[use], np.where(labels[use] == a, 1.0, -1.0)))
+                use = np.flatnonzero((labels == a) | (labels == self.classes[j]))
+                ws.append(svm(x, use, np.where(labels[use] == a, 1.0, -1.0)))
                 self.pairs.append((i, j))
         self.w = np.array(ws)
 
@@ -105,7 +107,7 @@ class OneVersusOne:
         """The number of the class and the score of each row. Ties go to the first class."""
         if not self.pairs:
             return np.zeros(len(x), int), np.ones(len(x))
-        m = np.hstack([x, np.ones((len(x), 1))]) @ self.w.T
+        m = x @ self.w[:, :-1].T + self.w[:, -1]
         wins, least = np.zeros((len(x), len(self.classes))), np.full((len(x), len(self.classes)), np.inf)
         for k, (i, j) in enumerate(self.pairs):
             wins[:, i] += m[:, k] > 0
@@ -162,10 +164,11 @@ def fit(docs: DataFrame, limit: int = SAMPLE) -> Identifier | None:
     rows = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").filter(F.col("x").isNotNull()).toArrow()
     if not len(rows):
         return None
-    x = np.array([np.frombuffer(v, "<f4") for v in rows.column("x").to_pylist()], np.float64)
+    x = np.array([np.frombuffer(v.as_py(), "<f4") for v in rows.column("x")])
     langs = np.array(rows.column("lang").to_pylist(), object)
     order = np.lexsort((x[:, 1], x[:, 0], langs.astype(str)))  # the same model whatever order the rows came in
-    return Identifier(x[order], langs[order])
+    x = x[order]
+    return Identifier(x, langs[order])
 
 
 def identify(docs: DataFrame, model: Identifier | None) -> DataFrame:
