@@ -217,11 +217,11 @@ def repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> Dat
     salt = F.when(F.col("kinds") > HOT, F.pmod("one.rid", F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
     open_ = entries.join(groups, "trigger").select(F.col("one.rid").alias("in_rid"), F.struct(F.col("one.first").alias("first"), "strings", "distance", "trigger", salt.alias("salt")).alias("e"))
     open_ = stored(open_.groupBy("in_rid").agg(F.collect_list("e").alias("entries")), folder, "open")  # bounded by a text's length
-    found = texts.join(small(open_, 400), F.col("rid") == F.col("in_rid")).select("rid", "text", "entries")
+    found = texts.join(open_.hint("merge"), F.col("rid") == F.col("in_rid")).select("rid", "text", "entries")
     single = _neighbours(_suffixes(found, length), folder).select("rid", F.col("at").alias("first"), F.col("at").alias("last"))
     spans = spans.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # bounded by a text's length
     spans = stored(spans.select(F.col("rid").alias("in_rid"), F.array_sort("spans").alias("spans")), folder, "spans")
-    out = d.join(small(spans, 400), F.col("rid") == F.col("in_rid"), "left").select("doc_id", "text", "spans")
+    out = d.join(spans.hint("merge"), F.col("rid") == F.col("in_rid"), "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for batch in batches:
