@@ -25,9 +25,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, shipped, small, stored, work_folder
+from tessera.llm.common import BROADCAST_BYTES, forget, shipped, small, stored, work_folder
 from tessera.llm.components import components
 from tessera.llm.tokens import slices
 
@@ -41,7 +42,7 @@ SEEN = 200_000
 MEMBERS = 256
 ROUNDS = 4
 #: Rounds with leaders end when what is left has at most so many pairs for each row.
-MANY = 200
+MANY = 20
 _words: dict[bytes, int] = {}
 _U = np.uint64
 
@@ -197,7 +198,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, levels) -> DataFrame:
-    """docs(doc_id, text), wanted(doc_id) -> sid, keys: the ordered sets, packed, one for each wanted document."""
+    """docs(doc_id, text), wanted(doc_id) -> sid, keys: the ordered sets, packed, one for each wanted document (twice if its row is)."""
     d = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["want_id"]), "left_semi").select("text")
 
     def run(batches):
@@ -256,10 +257,12 @@ class PrefixTree:
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) -> a, b, overlap of those that are similar. Sets of a leader a come in blocks of about MEMBERS."""
+    few = pairs.count() * 40 <= BROADCAST_BYTES
+    near = F.broadcast if few else lambda x: x
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    members = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
-    members = members.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "block", "b", "keys")
-    leaders = sizes.join(sets.withColumnRenamed("sid", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "keys")
+    members = pairs.join(near(sizes), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    members = sets.withColumnRenamed("sid", "b").join(near(members), "b").select("a", "block", "b", "keys")
+    leaders = sets.withColumnRenamed("sid", "a").join(near(sizes), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "keys")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.unionByName(leaders).repartition(n, "a", "block").sortWithinPartitions("a", "block", F.col("b").isNotNull(), "b")
 
@@ -288,27 +291,38 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _possible(x: str = "", y: str = "l_"):
-    """Whether sizes and positions of a shared token allow a similarity of 0.75, if it is the first that they share."""
-    left = F.least(F.col(f"{x}n") - F.col(f"{x}pos"), F.col(f"{y}n") - F.col(f"{y}pos"))
+    """Whether sizes and what is left of both sets allow a similarity of 0.75, if the token is the first that they share."""
     total = F.col(f"{x}n") + F.col(f"{y}n")
-    return (7 * left >= 3 * total) & (4 * F.least(f"{x}n", f"{y}n") >= 3 * F.greatest(f"{x}n", f"{y}n"))
+    return (7 * F.least(f"{x}rest", f"{y}rest") >= 3 * total) & (4 * F.least(f"{x}n", f"{y}n") >= 3 * F.greatest(f"{x}n", f"{y}n"))
 
 
 def _ordered_pair(x: str, y: str):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def with_partners(shared: DataFrame) -> DataFrame:
+    """token, sid, n, rest of the rows whose token some other set has, where sizes and rests allow 0.75.
+
+    rest: how many n-grams of the set can be shared from this one on, that is the tokens of its prefix that other sets
+    have at all, and everything behind the prefix."""
+    later = F.count("*").over(W.partitionBy("sid").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0))
+    x = shared.select("token", "sid", "n", (F.ceil(F.col("n") * 3 / F.lit(4)) - 1 + later).cast("int").alias("rest"))
+    other = x.select(F.col("token").alias("l_token"), *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "rest")])
+    return x.join(other, (F.col("token") == F.col("l_token")) & (F.col("sid") != F.col("l_sid")) & _possible(), "left_semi")
+
+
 def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) -> DataFrame:
-    """shared(token, sid, n, pos), sets(sid, keys) -> node, root: the components of sets that have a link to another one."""
+    """shared(token, sid, n, rest), sets(sid, keys) -> node, root: the components of sets that have a link to another one."""
     spark = shared.sparkSession
     tested, roots = None, None
     for turn in range(ROUNDS + 1):
         x = shared if roots is None else shared.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
         x = x.withColumn("comp", F.col("sid")) if roots is None else x
-        lead = F.min(F.struct(F.xxhash64("sid", F.lit(turn)), "sid", "n", "pos", "comp"))
+        by = F.xxhash64("token", "sid", F.lit(turn)) if turn else F.xxhash64("sid")  # at first few leaders, then a different one for each token
+        lead = F.min(F.struct(by, "sid", "n", "rest", "comp"))
         inside = x.groupBy("token", "comp").agg(F.count("*").alias("c"), lead.alias("l"))
         several = inside.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("comps"), F.min("l").alias("l")).filter("comps > 1")
-        several = several.select("token", "rows", (F.col("rows") * F.col("rows") - F.col("within")).alias("across"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("sid", "n", "pos", "comp")])
+        several = several.select("token", "rows", (F.col("rows") * F.col("rows") - F.col("within")).alias("across"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("sid", "n", "rest", "comp")])
         several = stored(several, folder, f"tokens-{turn}")
         size = several.agg(F.sum("rows").alias("n"), F.sum("across").alias("across")).first()
         if not size["n"]:
@@ -316,10 +330,14 @@ def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) ->
         last = turn == ROUNDS or (turn > 0 and size["across"] <= MANY * size["n"])
         if last:
             x = stored(x.join(several.select("token"), "token", "left_semi"), folder, "rest")
-            y = x.select("token", *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "pos", "comp")])
+            y = x.select("token", *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "rest", "comp")])
             pairs = x.join(y, "token").filter((F.col("sid") < F.col("l_sid")) & (F.col("comp") != F.col("l_comp")) & _possible())
         else:
-            pairs = x.join(several.drop("rows", "across"), "token").filter((F.col("comp") != F.col("l_comp")) & _possible())
+            met = x.join(several.drop("rows", "across"), "token").filter((F.col("comp") != F.col("l_comp")) & _possible())
+            pairs = met.select("sid", "l_sid")
+            if not turn:  # at first each set meets only the leader with which it shares most
+                met = met.groupBy("sid", "l_sid").agg(F.count("*").alias("c"))
+                pairs = met.groupBy("sid").agg(F.max(F.struct("c", "l_sid")).alias("m")).select("sid", F.col("m.l_sid").alias("l_sid"))
         pairs = pairs.select(*_ordered_pair("sid", "l_sid")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -341,10 +359,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scanned = stored(_scan(d), folder, "scan")
     levels = spark.sparkContext.broadcast(_levels(scanned.filter("block IS NOT NULL").select("block", "counts")))  # COUNTERS bytes
     rows = scanned.filter("block IS NULL").select("doc_id", "n", "sid")
-    shared = stored(_shared(_prefixes(d, levels)), folder, "shared")
+    shared = stored(with_partners(stored(_shared(_prefixes(d, levels)), folder, "prefixes")), folder, "shared")
+    forget(spark, f"{folder}/prefixes")
     first = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("want_id"))
     wanted = stored(first.join(shared.select("sid").distinct(), "sid", "left_semi").select("want_id"), folder, "wanted")
-    sets = stored(_sets(d, small(wanted, 16), levels).dropDuplicates(["sid"]), folder, "sets")
+    sets = stored(_sets(d, small(wanted, 16), levels), folder, "sets")
     roots = linked(shared, sets, folder)
     of_set = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = of_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import forget, small, stored, work_folder, words_of
-from tessera.llm.jaccard import HASH_BITS, HEAVY, linked
+from tessera.llm.jaccard import HASH_BITS, HEAVY, linked, with_partners
 
 N, BUCKETS = 5, 1 << 15
 
@@ -62,7 +62,7 @@ def _keyed(tokens: DataFrame, levels: bytearray) -> DataFrame:
 
 def _intersected(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b), sets(sid, keys) -> a, b of those that match."""
-    x = pairs.join(sets.select(F.col("sid").alias("a"), F.col("keys").alias("ka")), "a").join(sets.select(F.col("sid").alias("b"), F.col("keys").alias("kb")), "b")
+    x = sets.select(F.col("sid").alias("a"), F.col("keys").alias("ka")).join(small(pairs, 40), "a").join(sets.select(F.col("sid").alias("b"), F.col("keys").alias("kb")), "b")
     return x.filter(7 * F.size(F.array_intersect("ka", "kb")) >= 3 * (F.size("ka") + F.size("kb"))).select("a", "b")
 
 
@@ -77,13 +77,15 @@ def later_lines(docs: DataFrame, folder: str) -> DataFrame:
     heavy = F.shiftright("token", HASH_BITS) >= HEAVY
     group = W.partitionBy("token", "salt")
     post = post.withColumn("salt", F.when(heavy, F.pmod("sid", F.lit(64))).otherwise(F.lit(0))).withColumn("together", F.count("*").over(group))
-    shared = stored(post.filter((F.col("together") > 1) | heavy).select("token", "sid", "n", "pos"), folder, "shared")
+    shared = stored(post.filter((F.col("together") > 1) | heavy).select("token", "sid", "n", "pos"), folder, "prefixes")
+    shared = stored(with_partners(shared), folder, "shared")
+    forget(docs.sparkSession, f"{folder}/prefixes")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
     x = x.select("rid", "pos", "sid", place.alias("place"))
     wanted = x.join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("rid", "pos")).alias("one"))
     wanted = small(stored(wanted.select(F.col("one.rid").alias("want_rid"), F.col("one.pos").alias("want_pos")), folder, "wanted"), 24)
     some = _lines(docs).join(wanted, (F.col("rid") == F.col("want_rid")) & (F.col("pos") == F.col("want_pos")), "left_semi")
-    sets = stored(_keyed(_tokens(some), levels).select(F.xxhash64("keys").alias("sid"), "keys").dropDuplicates(["sid"]), folder, "sets")
+    sets = stored(_keyed(_tokens(some), levels).select(F.xxhash64("keys").alias("sid"), "keys"), folder, "sets")
     roots = linked(shared, sets, folder, _intersected)
     roots = stored(roots.select(F.col("node").alias("sid"), "root"), folder, "roots")
     y = x.join(small(roots, 24), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
