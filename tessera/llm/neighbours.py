@@ -73,13 +73,14 @@ class Tree:
                 stack += [(int(k), rows[a == i]) for i, k in enumerate(kids)]
         return out
 
-    def best_first(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first leaves that the query takes from the priority queue."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < visits:
+    def best_first(self, q: np.ndarray, visits: int, sizes: np.ndarray, least: int) -> list[int]:
+        """The first leaves that the query takes from the priority queue, and further ones until they hold `least` vectors."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < visits or held < least):
             _, node = heapq.heappop(queue)
             if node in self.leaf_of:
                 out.append(self.leaf_of[node])
+                held += int(sizes[out[-1]])
                 continue
             for k, s in zip(self.kids[node], self.centres[self.kids[node]] @ q, strict=True):
                 heapq.heappush(queue, (-float(s), int(k)))
@@ -142,18 +143,21 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     q_parts = max(1, -(-queries.count() * visits // (max(1, tree.leaves) * PART)))
     parts = {leaf: -(-size // PART) for leaf, size in sizes.items()}
 
-    held_sample = spark.sparkContext.broadcast((x, sample["vec_id"].to_numpy()))  # SAMPLE vectors
+    held_sample = spark.sparkContext.broadcast((x, sample["vec_id"].to_numpy(), tree.assign(x)))  # SAMPLE vectors
+    counts = np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)])
 
     def to_bins(frames):
+        xs, ids, leaf_of = held_sample.value
         for f in frames:
-            # The k-th best score among the sample, which every query can reach, bounds what its leaves need to return.
-            bounds = np.full(len(f), -np.inf)
-            for at in range(0, len(f), 256):
-                s = matrix(f["embedding"].iloc[at : at + 256]) @ held_sample.value[0].T
-                s[f["vec_id"].to_numpy()[at : at + 256, None] == held_sample.value[1][None, :]] = -np.inf
-                if s.shape[1] >= k:
-                    bounds[at : at + 256] = np.partition(s, -k, axis=1)[:, -k]
-            out = [(i, q, b, leaf, p) for i, q, b in zip(f["vec_id"], f["embedding"], bounds, strict=True) for leaf in tree.best_first(np.asarray(q), visits) for p in range(parts.get(leaf, 0))]
+            out = []
+            for i, q in zip(f["vec_id"], f["embedding"], strict=True):
+                leaves = tree.best_first(np.asarray(q), visits, counts, k + 1)
+                # The k-th best score of the sampled vectors in these leaves bounds what each of them needs to return.
+                seen = np.zeros(tree.leaves, bool)
+                seen[leaves] = True
+                s = xs[seen[leaf_of] & (ids != i)] @ np.asarray(q)
+                bound = np.partition(s, -k)[-k] if len(s) >= k else -np.inf
+                out += [(i, q, bound, leaf, p) for leaf in leaves for p in range(parts.get(leaf, 0))]
             yield pd.DataFrame(out, columns=["query_id", "q", "bound", "leaf", "part"])
 
     bins = queries.mapInPandas(to_bins, f"query_id {kind}, q array<double>, bound double, leaf int, part int")
@@ -198,7 +202,7 @@ def calibrated(rows: DataFrame, queries: DataFrame, tree: Tree, k: int) -> int:
     true = near.withColumn("r", rank).filter(F.col("r") <= k).select("probe", "leaf").toPandas()  # PROBES * k rows
     order = {}
     for i in range(len(q)):
-        order[i] = {leaf: at for at, leaf in enumerate(tree.best_first(q[i], tree.leaves))}
+        order[i] = {leaf: at for at, leaf in enumerate(tree.best_first(q[i], tree.leaves, np.ones(tree.leaves), 0))}
     need = np.sort([order[p][leaf] + 1 for p, leaf in zip(true["probe"], true["leaf"], strict=True)])
     return int(need[min(len(need) - 1, int(np.ceil(TARGET * len(need))))]) if len(need) else 1
 
