@@ -21,7 +21,7 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     Large star: the larger neighbours of u are tied to the least neighbour; small star: the others are. Each is a
     minimum per node, which is combined before the shuffle, and a join back; no neighbourhood is ever collected."""
     u, v = F.greatest("a", "b"), F.least("a", "b")
-    edges = stored(links.filter("a <> b").select(u.alias("u"), v.alias("v")).distinct(), folder, f"{name}-0")
+    edges = stored(links.filter("a <> b").select(u.alias("u"), v.alias("v")).distinct(), folder, f"{name}-0", True)
     step = 0
     while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -31,7 +31,7 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
         near = large.join(least, "u")
         small = near.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         step += 1
-        new = stored(small, folder, f"{name}-{step}")
+        new = stored(small, folder, f"{name}-{step}", True)
         forget(links.sparkSession, f"{folder}/{name}-{step - 1}")
         edges = new
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

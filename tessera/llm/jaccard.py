@@ -323,7 +323,7 @@ def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) ->
         inside = x.groupBy("token", "comp").agg(F.count("*").alias("c"), lead.alias("l"))
         several = inside.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("comps"), F.min("l").alias("l")).filter("comps > 1")
         several = several.select("token", "rows", (F.col("rows") * F.col("rows") - F.col("within")).alias("across"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("sid", "n", "rest", "comp")])
-        several = stored(several, folder, f"tokens-{turn}")
+        several = stored(several, folder, f"tokens-{turn}", True)
         size = several.agg(F.sum("rows").alias("n"), F.sum("across").alias("across")).first()
         if not size["n"]:
             break
@@ -341,7 +341,7 @@ def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) ->
         pairs = pairs.select(*_ordered_pair("sid", "l_sid")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, folder, f"pairs-{turn}")
+        pairs = stored(pairs, folder, f"pairs-{turn}", True)
         found = stored(compare(pairs, sets).select("a", "b"), folder, f"links-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
