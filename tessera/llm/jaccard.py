@@ -291,9 +291,13 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _possible(x: str = "", y: str = "l_"):
-    """Whether sizes and what is left of both sets allow a similarity of 0.75, if the token is the first that they share."""
+    """Whether sizes and what is left of both sets allow a similarity of 0.75, if the token is the first that they share.
+
+    A set's rest bounds the overlap only if its prefix ends first, as only then what both share of its prefix is in the
+    other prefix too. Which of the two that is isn't known here, so the greater rest counts."""
     total = F.col(f"{x}n") + F.col(f"{y}n")
-    return (7 * F.least(f"{x}rest", f"{y}rest") >= 3 * total) & (4 * F.least(f"{x}n", f"{y}n") >= 3 * F.greatest(f"{x}n", f"{y}n"))
+    most = F.least(f"{x}left", f"{y}left", F.greatest(f"{x}rest", f"{y}rest"))
+    return (7 * most >= 3 * total) & (4 * F.least(f"{x}n", f"{y}n") >= 3 * F.greatest(f"{x}n", f"{y}n"))
 
 
 def _ordered_pair(x: str, y: str):
@@ -301,28 +305,29 @@ def _ordered_pair(x: str, y: str):
 
 
 def with_partners(shared: DataFrame) -> DataFrame:
-    """token, sid, n, rest of the rows whose token some other set has, where sizes and rests allow 0.75.
+    """token, sid, n, left, rest of the rows whose token some other set has, where sizes and what is left allow 0.75.
 
-    rest: how many n-grams of the set can be shared from this one on, that is the tokens of its prefix that other sets
-    have at all, and everything behind the prefix."""
+    left: how many n-grams the set has from this one on. rest: the same without those tokens of its prefix that no other
+    set has in its own prefix; such a token can still stand behind the prefix of another set (see `_possible`)."""
     later = F.count("*").over(W.partitionBy("sid").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0))
-    x = shared.select("token", "sid", "n", (F.ceil(F.col("n") * 3 / F.lit(4)) - 1 + later).cast("int").alias("rest"))
-    other = x.select(F.col("token").alias("l_token"), *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "rest")])
+    left = (F.col("n") - F.col("pos")).cast("int").alias("left")
+    x = shared.select("token", "sid", "n", left, (F.ceil(F.col("n") * 3 / F.lit(4)) - 1 + later).cast("int").alias("rest"))
+    other = x.select(F.col("token").alias("l_token"), *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "left", "rest")])
     return x.join(other, (F.col("token") == F.col("l_token")) & (F.col("sid") != F.col("l_sid")) & _possible(), "left_semi")
 
 
 def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) -> DataFrame:
-    """shared(token, sid, n, rest), sets(sid, keys) -> node, root: the components of sets that have a link to another one."""
+    """shared(token, sid, n, left, rest), sets(sid, keys) -> node, root: the components of sets that have a link to another one."""
     spark = shared.sparkSession
     tested, roots = None, None
     for turn in range(ROUNDS + 1):
         x = shared if roots is None else shared.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
         x = x.withColumn("comp", F.col("sid")) if roots is None else x
         by = F.xxhash64("token", "sid", F.lit(turn)) if turn else F.xxhash64("sid")  # at first few leaders, then a different one for each token
-        lead = F.min(F.struct(by, "sid", "n", "rest", "comp"))
+        lead = F.min(F.struct(by, "sid", "n", "left", "rest", "comp"))
         inside = x.groupBy("token", "comp").agg(F.count("*").alias("c"), lead.alias("l"))
         several = inside.groupBy("token").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("comps"), F.min("l").alias("l")).filter("comps > 1")
-        several = several.select("token", "rows", (F.col("rows") * F.col("rows") - F.col("within")).alias("across"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("sid", "n", "rest", "comp")])
+        several = several.select("token", "rows", (F.col("rows") * F.col("rows") - F.col("within")).alias("across"), *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("sid", "n", "left", "rest", "comp")])
         several = stored(several, folder, f"tokens-{turn}", True)
         size = several.agg(F.sum("rows").alias("n"), F.sum("across").alias("across")).first()
         if not size["n"]:
@@ -330,7 +335,7 @@ def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) ->
         last = turn == ROUNDS or (turn > 0 and size["across"] <= MANY * size["n"])
         if last:
             x = stored(x.join(several.select("token"), "token", "left_semi"), folder, "rest")
-            y = x.select("token", *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "rest", "comp")])
+            y = x.select("token", *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "left", "rest", "comp")])
             pairs = x.join(y, "token").filter((F.col("sid") < F.col("l_sid")) & (F.col("comp") != F.col("l_comp")) & _possible())
         else:
             met = x.join(several.drop("rows", "across"), "token").filter((F.col("comp") != F.col("l_comp")) & _possible())
