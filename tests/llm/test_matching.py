@@ -141,6 +141,13 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_lines_with_words_behind(spark):
+    texts = grown(random.Random(6), [(12, variants, 2) for variants in (8, 1, 1, 1, 1, 1, 1)] + [(16, variants, 3) for variants in (8, 1, 1, 1, 1, 1, 1)])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["_ln_gone"] for r in lines.dedup_lines(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [int(least < i) for i, least in enumerate(least_of_components(texts))]
+
+
 def test_languages(spark):
     words = {"en": "the of and thing with that", "de": "der die und nicht schön über", "fr": "le des être où leçon avec", "es": "los que niño señor para así"}
     rng = random.Random(3)
