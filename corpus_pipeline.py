@@ -37,10 +37,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays. Null ids stay, and rows that share that id stay together."""
-    groups = jaccard.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    groups = small(stored(groups, work_folder(spark), "gone"), 16)
-    return docs.join(groups, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group of near copies exactly one row stays: that of the smallest doc_id (null comes last), then of the smallest
+    hash of id and text; of rows that are equal in both, that of the smallest other columns. Texts without words stay."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("doc_id", "text").alias("hash"))
+    keyed = docs.withColumn("_row", row)
+    groups = jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).filter("n_shingles > 0")
+    groups = groups.groupBy(F.col("doc_id").alias("_of"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_first")).count()
+    groups = small(stored(groups.filter("count > 1 OR NOT _first").select("_of", "_first"), work_folder(spark), "groups"), 64)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alone = keyed.join(groups, F.col("_row") == F.col("_of"), "left_anti").select(*columns)
+    again = keyed.join(groups.filter("_first"), F.col("_row") == F.col("_of"), "left_semi")
+    return alone.unionByName(again.groupBy("_row").agg(F.min(F.struct(*columns)).alias("_one")).select("_one.*"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,16 @@ def test_stages_on_a_small_corpus(spark):
     assert set(left) >= {1, 4} and not {3, 5} & set(left) and left[1] == prose and 2 not in left
     packed = corpus_pipeline.best_fit_packing(spark, corpus_pipeline.mixed_sources(spark, docs, ""), "")
     assert {r["doc_id"] for r in packed.collect()} <= set(left)
+
+
+def test_one_row_of_each_group_of_copies_stays(spark):
+    text = lambda name, end="": " ".join(f"{name}{i}" for i in range(40)) + end
+    rows = [(1, text("a"), "x"), (1, text("a"), "x"), (1, text("a"), "w"), (2, text("a", " more"), "x"), (None, text("a"), "x")]  # rows that are repeated; a near copy; a copy without an id
+    rows += [(3, text("b"), "x"), (4, text("b"), "x"), (4, text("c"), "x")]  # two texts of one id, one of them a copy
+    rows += [(None, text("d"), "x"), (None, text("d"), "x"), (None, text("e"), "x"), (5, " ", "x"), (5, " ", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, text("a"), "w"), (3, text("b"), "x"), (4, text("c"), "x"), (None, text("d"), "x"), (None, text("e"), "x"), (5, " ", "x"), (5, " ", "x"), (None, None, "x")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
