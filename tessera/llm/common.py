@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -32,14 +33,14 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str, name: str, narrow: bool = False) -> DataFrame:
+def stored(df: DataFrame, folder: str, name: str, narrow: bool = False, dictionary: bool = True) -> DataFrame:
     """Writes df into the shared folder and reads it back: the lineage ends there and survives lost executors.
 
-    narrow: a side table of a few bytes a row goes into an eighth of the files."""
+    narrow: a side table of a few bytes a row goes into an eighth of the files. dictionary: False for hashes, which don't repeat."""
     path = f"{folder}/{name}"
     if narrow:
         df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,9 +51,18 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Marks a stored df for broadcast if its counted rows are below the limit; otherwise the planner shuffles it."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a stored df for broadcast if its rows are below the limit; otherwise the planner shuffles it.
+
+    row_bytes: the size of a row, or a column with the size of each."""
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def text_of(col: str = "text"):

@@ -290,7 +290,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, overlap long")
 
 
-def _possible(x: str = "", y: str = "l_"):
+def possible(x: str = "", y: str = "l_"):
     """Whether sizes and what is left of both sets allow a similarity of 0.75, if the token is the first that they share.
 
     A set's rest bounds the overlap only if its prefix ends first, as only then what both share of its prefix is in the
@@ -308,12 +308,15 @@ def with_partners(shared: DataFrame) -> DataFrame:
     """token, sid, n, left, rest of the rows whose token some other set has, where sizes and what is left allow 0.75.
 
     left: how many n-grams the set has from this one on. rest: the same without those tokens of its prefix that no other
-    set has in its own prefix; such a token can still stand behind the prefix of another set (see `_possible`)."""
+    set has in its own prefix; such a token can still stand behind the prefix of another set (see `possible`). A token's
+    rows are held against its classes of equal (n, left, rest), which are counted first, not against each other."""
     later = F.count("*").over(W.partitionBy("sid").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0))
     left = (F.col("n") - F.col("pos")).cast("int").alias("left")
     x = shared.select("token", "sid", "n", left, (F.ceil(F.col("n") * 3 / F.lit(4)) - 1 + later).cast("int").alias("rest"))
-    other = x.select(F.col("token").alias("l_token"), *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "left", "rest")])
-    return x.join(other, (F.col("token") == F.col("l_token")) & (F.col("sid") != F.col("l_sid")) & _possible(), "left_semi")
+    kinds = ("n", "left", "rest")
+    classes = x.groupBy("token", *kinds).agg(F.count("*").alias("many")).select(F.col("token").alias("l_token"), *[F.col(c).alias(f"l_{c}") for c in kinds], "many")
+    own = (F.col("n") == F.col("l_n")) & (F.col("left") == F.col("l_left")) & (F.col("rest") == F.col("l_rest"))
+    return x.join(classes, (F.col("token") == F.col("l_token")) & possible() & (~own | (F.col("many") > 1)), "left_semi")
 
 
 def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) -> DataFrame:
@@ -336,9 +339,9 @@ def linked(shared: DataFrame, sets: DataFrame, folder: str, compare=_compare) ->
         if last:
             x = stored(x.join(several.select("token"), "token", "left_semi"), folder, "rest")
             y = x.select("token", *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "left", "rest", "comp")])
-            pairs = x.join(y, "token").filter((F.col("sid") < F.col("l_sid")) & (F.col("comp") != F.col("l_comp")) & _possible())
+            pairs = x.join(y, "token").filter((F.col("sid") < F.col("l_sid")) & (F.col("comp") != F.col("l_comp")) & possible())
         else:
-            met = x.join(several.drop("rows", "across"), "token").filter((F.col("comp") != F.col("l_comp")) & _possible())
+            met = x.join(several.drop("rows", "across"), "token").filter((F.col("comp") != F.col("l_comp")) & possible())
             pairs = met.select("sid", "l_sid")
             if not turn:  # at first each set meets only the leader with which it shares most
                 met = met.groupBy("sid", "l_sid").agg(F.count("*").alias("c"))

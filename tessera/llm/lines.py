@@ -1,18 +1,22 @@
 """Operator 4: line dedup by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its 5-word n-grams, in lower case; with fewer words it is one n-gram. Two lines match if their
-Jaccard similarity is 0.75 or more; matching lines, directly or through others, form a class. Of each class the first
-line in the order of (doc_id, line number) stays, all later ones are removed.
-
-N-grams are ordered by rarity: by the level of a counter (a table of BUCKETS counters over all lines), then by hash, put
-together as one integer. Lines with the same set are one entry of the join, so copies never meet each other. Prefix,
-length and position filters choose the candidates, whose similarity is then taken from their whole sets; entries that are
-linked already aren't compared again (see `linked`).
+Jaccard similarity is 0.75 or more. A line goes if an earlier line matches it, in the order of (doc_id, line number),
+whether or not that one goes as well. So no line goes without an earlier match, and no classes need be built.
+
+1. Every line's n-grams are hashed once and stored. A table of BUCKETS counters over all of them gives each n-gram a level
+   of frequency; level and hash together are one integer, so that integers are ordered from rare to frequent. With so many
+   n-grams that all counters are full, only those far above the usual counter keep a level; the order stays a global one.
+2. Lines with the same set are one entry of the join, the first of them, so copies never meet each other.
+3. Only prefixes are dealt by n-gram. Length and position filters drop an entry of an n-gram if no class of (size, position)
+   there, counted first, could match it; a crowd that can't match isn't met pair by pair.
+4. What is left carries its whole set, and a semi join looks for an earlier entry of the same n-gram that matches; it stops
+   at the first and returns no pairs. The planner splits the left side of crowded n-grams.
 
 Defined results: blank lines have no n-gram and always stay; null texts stay null; a row that is repeated as a whole is
 one document, so its lines aren't removed for its own copies; documents with equal ids are ordered by a hash of their
-text; null ids come last; an empty table gives an empty result. All columns of the input are kept; own columns start
-with an underscore and two letters and are dropped again.
+text; null ids come last; an empty table gives an empty result. All columns of the input are kept, whatever their names;
+an input column that is named like one of the two new ones gives way to it.
 """
 
 from __future__ import annotations
@@ -21,31 +25,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, small, stored, work_folder, words_of
-from tessera.llm.jaccard import HASH_BITS, HEAVY, linked, with_partners
+from tessera.llm.common import SPACE, forget, released, small, stored, work_folder
+from tessera.llm.jaccard import HASH_BITS, HEAVY, possible, with_partners
 
 N, BUCKETS = 5, 1 << 15
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> rid, doc_id, pos, line for the lines with a word."""
-    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def _lines(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """docs(doc_id, text) -> rid, doc_id, pos, line, odd for the lines with a word, in lower case; odd: of a text with tabs and the like.
+
+    only(want_rid): the texts that are wanted."""
+    d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.lower("text").alias("low"))
+    if only is not None:
+        d = d.join(only, F.col("rid") == F.col("want_rid"), "left_semi")
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.col("low").contains(c)
+    d = d.select("doc_id", "rid", odd.alias("odd"), F.posexplode(F.split("low", "\n", -1)).alias("pos", "line"))
     return d.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
-    """With tokens: the hashes of the line's distinct n-grams, of HASH_BITS bits."""
-    d = lines.withColumn("w", F.transform(words_of(F.lower("line")), lambda w: F.xxhash64(w))).drop("line")
-    d = d.withColumn("k", F.size("w"))
+    """rid, doc_id, pos, tokens: the hashes of the line's distinct n-grams, of HASH_BITS bits, in order.
+
+    Hashes of two, four and five words are put together from neighbours, an array at a time."""
+    words = F.array_remove(F.when(F.col("odd"), F.split("line", SPACE)).otherwise(F.split("line", " ")), "")
+    d = lines.select("rid", "doc_id", "pos", F.transform(words, lambda w: F.xxhash64(w)).alias("w")).withColumn("k", F.size("w"))
     cut = lambda h: h.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
-    grams = F.slice(F.transform("w", lambda h, i: cut(F.xxhash64(h, *[F.get("w", i + j) for j in range(1, N)]))), F.lit(1), F.col("k") - N + 1)
-    return d.withColumn("tokens", F.when(F.col("k") < N, F.array(cut(F.xxhash64("w")))).otherwise(F.array_distinct(grams))).drop("w", "k")
+    behind = lambda c, i: F.slice(c, F.lit(i + 1), F.greatest(F.col("k") - i, F.lit(0)))
+    d = d.withColumn("two", F.zip_with("w", behind("w", 1), lambda a, b: F.xxhash64(a, b)))
+    d = d.withColumn("four", F.zip_with("two", behind("two", 2), lambda a, b: F.xxhash64(a, b)))
+    grams = F.slice(F.zip_with("four", behind("w", N - 1), lambda a, b: cut(F.xxhash64(a, b))), F.lit(1), F.greatest(F.col("k") - N + 1, F.lit(0)))
+    tokens = F.when(F.col("k") < N, F.array(cut(F.xxhash64("w")))).otherwise(F.sort_array(F.array_distinct(grams)))
+    return d.select("rid", "doc_id", "pos", tokens.alias("tokens"))
 
 
 def _levels(tokens: DataFrame) -> bytearray:
     """A level from 0 (rare) to 7 for each of BUCKETS counters, from all lines; BUCKETS rows reach the driver."""
-    bucket = F.explode_outer("tokens").alias("t")  # no filter is inferred from it, which would work the n-grams out once for each word
-    rows = tokens.select(bucket).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
+    rows = tokens.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
     counts = sorted(r["count"] for r in rows)
     usual = counts[len(counts) // 2] if len(counts) == BUCKETS else 0
     out = bytearray(BUCKETS)
@@ -54,71 +71,87 @@ def _levels(tokens: DataFrame) -> bytearray:
     return out
 
 
-def _keyed(tokens: DataFrame, levels: bytearray) -> DataFrame:
-    """With keys: the n-grams in the global order, as integers."""
+def _keys(levels: bytearray):
+    """The n-grams in the global order, as integers."""
     level = lambda t: F.ascii(F.substr(F.lit(levels), t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    return tokens.withColumn("keys", F.sort_array(F.transform("tokens", lambda t: F.shiftleft(level(t), HASH_BITS).bitwiseOR(t)))).drop("tokens")
+    return F.sort_array(F.transform("tokens", lambda t: F.shiftleft(level(t), HASH_BITS).bitwiseOR(t)))
 
 
-def _intersected(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b), sets(sid, keys) -> a, b of those that match."""
-    x = sets.select(F.col("sid").alias("a"), F.col("keys").alias("ka")).join(small(pairs, 40), "a").join(sets.select(F.col("sid").alias("b"), F.col("keys").alias("kb")), "b")
-    return x.filter(7 * F.size(F.array_intersect("ka", "kb")) >= 3 * (F.size("ka") + F.size("kb"))).select("a", "b")
+def _with_company(post: DataFrame) -> DataFrame:
+    """The rows (token, sid, n, pos) whose token occurs in two sets or more; all rows of heavy ones, which are dealt by set as well."""
+    heavy = F.shiftright("token", HASH_BITS) >= HEAVY
+    salted = post.withColumn("salt", F.when(heavy, F.pmod("sid", F.lit(64))).otherwise(F.lit(0)))
+    together = F.count("*").over(W.partitionBy("token", "salt"))
+    return salted.withColumn("together", together).filter((F.col("together") > 1) | heavy).select("token", "sid", "n", "pos")
+
+
+def _with_earlier_match(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """posts(token, sid, n, left, rest), sets(sid, place, tokens) -> sid of the sets that an earlier one matches."""
+    full = posts.join(sets, "sid")
+    x, y = full.alias("x"), full.alias("y")
+    shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
+    match = (F.col("y.place") < F.col("x.place")) & possible("x.", "y.") & (7 * shared >= 3 * (F.col("x.n") + F.col("y.n")))
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & match, "left_semi").select("sid").distinct()
 
 
 def later_lines(docs: DataFrame, folder: str) -> DataFrame:
     """docs(doc_id, text) -> in_rid, gone: the numbers of the lines of each text that repeat an earlier line."""
-    lines = _lines(docs)
-    levels = _levels(_tokens(lines))
-    x = _keyed(_tokens(lines), levels).withColumn("n", F.size("keys"))
-    prefix = F.slice("keys", F.lit(1), (F.col("n") - F.ceil(F.col("n") * 3 / F.lit(4)) + 1).cast("int"))
-    x = stored(x.select("rid", "doc_id", "pos", F.xxhash64("keys").alias("sid"), "n", prefix.alias("prefix")), folder, "lines")
-    post = x.select("sid", "n", "prefix").dropDuplicates(["sid"]).select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
-    heavy = F.shiftright("token", HASH_BITS) >= HEAVY
-    group = W.partitionBy("token", "salt")
-    post = post.withColumn("salt", F.when(heavy, F.pmod("sid", F.lit(64))).otherwise(F.lit(0))).withColumn("together", F.count("*").over(group))
-    shared = stored(post.filter((F.col("together") > 1) | heavy).select("token", "sid", "n", "pos"), folder, "prefixes")
-    shared = stored(with_partners(shared), folder, "shared")
-    forget(docs.sparkSession, f"{folder}/prefixes")
+    spark = docs.sparkSession
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
-    x = x.select("rid", "pos", "sid", place.alias("place"))
-    wanted = x.join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("rid", "pos")).alias("one"))
-    wanted = small(stored(wanted.select(F.col("one.rid").alias("want_rid"), F.col("one.pos").alias("want_pos")), folder, "wanted"), 24)
-    some = _lines(docs).join(wanted, (F.col("rid") == F.col("want_rid")) & (F.col("pos") == F.col("want_pos")), "left_semi")
-    sets = stored(_keyed(_tokens(some), levels).select(F.xxhash64("keys").alias("sid"), "keys"), folder, "sets")
-    roots = linked(shared, sets, folder, _intersected)
-    roots = stored(roots.select(F.col("node").alias("sid"), "root"), folder, "roots")
-    y = x.join(small(roots, 24), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    first = y.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("many")).filter("many > 1").select("root", "first")
-    gone = y.join(small(stored(first, folder, "first"), 64), "root").filter(F.col("place") > F.col("first"))
-    gone = stored(gone.select(F.col("rid").alias("in_rid"), "pos").distinct().groupBy("in_rid").agg(F.collect_list("pos").alias("gone")), folder, "gone")
-    for name in ("lines", "shared", "wanted", "sets"):
-        forget(docs.sparkSession, f"{folder}/{name}")
+    tokens = stored(_tokens(_lines(docs)), folder, "tokens", dictionary=False)
+    size = F.size("tokens")
+    prefix = F.slice(_keys(_levels(tokens)), F.lit(1), (size - F.ceil(size * 3 / F.lit(4)) + 1).cast("int"))
+    x = stored(tokens.select("rid", "doc_id", "pos", F.xxhash64("tokens").alias("sid"), size.alias("n"), prefix.alias("prefix")), folder, "lines", dictionary=False)
+    forget(spark, f"{folder}/tokens")
+    many = x.groupBy("sid").agg(F.count("*").alias("many"), F.min(place).alias("first")).filter("many > 1")
+    many = stored(many.select("sid", F.col("first.rid").alias("first_rid"), F.col("first.pos").alias("first_pos")), folder, "many")
+    copies = small(many.select("sid"), 16)
+    entries = x.join(copies, "sid", "left_anti").select("sid", "n", "prefix")
+    entries = entries.unionByName(x.join(copies, "sid", "left_semi").select("sid", "n", "prefix").dropDuplicates(["sid"]))
+    posts = stored(_with_company(entries.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))), folder, "company")
+    released(spark)
+    posts = stored(with_partners(posts), folder, "posts")
+    forget(spark, f"{folder}/company")
+    wanted = x.join(posts.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(place).alias("place"))
+    wanted = stored(wanted.select("sid", "place", F.col("place.rid").alias("want_rid"), F.col("place.pos").alias("want_pos")), folder, "wanted")
+    texts = small(stored(wanted.select("want_rid").distinct(), folder, "texts"), 16)
+    some = _tokens(_lines(docs, texts)).select(F.col("rid").alias("want_rid"), F.col("pos").alias("want_pos"), "tokens").join(wanted, ["want_rid", "want_pos"])
+    sets = stored(some.select("sid", "place", "tokens").dropDuplicates(["sid"]), folder, "sets", dictionary=False)
+    released(spark)
+    matched = stored(_with_earlier_match(posts, sets), folder, "matched").withColumn("matched", F.lit(True))
+    marks = small(stored(many.join(matched, "sid", "full_outer"), folder, "marks"), 40)
+    other = (F.col("rid") != F.col("first_rid")) | (F.col("pos") != F.col("first_pos"))
+    gone = x.select("rid", "pos", "sid").join(marks, "sid").filter(F.coalesce("matched", other))
+    gone = stored(gone.groupBy(F.col("rid").alias("in_rid")).agg(F.collect_set("pos").alias("gone")), folder, "gone")
+    for name in ("lines", "posts", "wanted", "texts", "sets", "marks", "matched", "many"):
+        forget(spark, f"{folder}/{name}")
     return gone
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> the same with the text that is left, and _ln_all, _ln_gone: numbers of lines."""
+def dedup_lines(docs: DataFrame, total: str = "_ln_all", removed: str = "_ln_gone") -> DataFrame:
+    """docs(doc_id, text, ...) -> the same with the text that is left, and two new columns: numbers of lines, in all and removed."""
     folder = work_folder(docs.sparkSession)
-    gone = later_lines(docs.select("doc_id", "text"), folder)
-    d = docs.withColumn("_ln_rid", F.xxhash64("doc_id", "text")).join(small(gone, 100), F.col("_ln_rid") == F.col("in_rid"), "left")
-    d = d.withColumn("_ln_split", F.split("text", "\n", -1)).withColumn("_ln_all", F.coalesce(F.size("_ln_split"), F.lit(0)).cast("long"))
-    stays = F.array_except(F.sequence(F.lit(0), F.size("_ln_split") - 1), "gone")
-    left = F.array_join(F.transform(stays, lambda i: F.get("_ln_split", i)), "\n")
-    d = d.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
-    d = d.withColumn("_ln_all", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_ln_all")))
-    return d.withColumn("_ln_gone", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).drop("_ln_rid", "_ln_split", "in_rid", "gone")
+    gone = later_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), folder)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", F.col("text").cast("string")).alias("rid"), F.split("text", "\n", -1).alias("lines"))
+    d = d.join(small(gone, 32 + 8 * F.size("gone")), F.col("rid") == F.col("in_rid"), "left")
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.array_join(F.transform(stays, lambda i: F.get("lines", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left)
+    counts = [F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(F.size("gone"), F.lit(0))]
+    counts = [F.greatest(c, F.lit(0)).cast("long").alias(name) for c, name in zip(counts, (total, removed), strict=True)]
+    kept = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in (total, removed)]
+    return d.select(*kept, *counts)
 
 
 def op4(spark, sf_dir):
     from tessera.llm.common import table
 
     d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.col("_ln_all").alias("n_lines"), F.greatest("_ln_gone", F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return d.select("doc_id", F.col("_ln_all").alias("n_lines"), F.col("_ln_gone").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = r"""
-WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text FROM documents),
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d),
 w AS (SELECT doc_id, pos, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
 t AS (SELECT doc_id, pos, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -126,9 +159,8 @@ t AS (SELECT doc_id, pos, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [arr
 s AS (SELECT grams, array_to_string(grams, '|') AS sid, len(grams) AS n, min((doc_id, pos)) AS first FROM t GROUP BY grams),
 g AS (SELECT sid, n, unnest(grams) AS gram FROM s),
 p AS (SELECT a.sid AS a, b.sid AS b FROM g a JOIN g b ON a.gram = b.gram AND a.sid <> b.sid GROUP BY a.sid, b.sid, a.n, b.n HAVING 7 * count(*) >= 3 * (a.n + b.n)),
-r AS (SELECT a AS node, b AS seen FROM p UNION SELECT r.node, p.b FROM r JOIN p ON r.seen = p.a),
-c AS (SELECT s.sid, least(s.first, coalesce(min(o.first), s.first)) AS first FROM s LEFT JOIN r ON r.node = s.sid LEFT JOIN s o ON o.sid = r.seen GROUP BY s.sid, s.first),
-x AS (SELECT t.doc_id, t.pos FROM t JOIN c ON c.sid = array_to_string(t.grams, '|') WHERE (t.doc_id, t.pos) > c.first),
+c AS (SELECT s.sid, s.first, coalesce(bool_or(o.first < s.first), false) AS matched FROM s LEFT JOIN p ON p.a = s.sid LEFT JOIN s o ON o.sid = p.b GROUP BY s.sid, s.first),
+x AS (SELECT t.doc_id, t.pos FROM t JOIN c ON c.sid = array_to_string(t.grams, '|') WHERE c.matched OR (t.doc_id, t.pos) > c.first),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(x.pos) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE x.pos IS NULL), '') AS kept
       FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.pos = l.pos GROUP BY l.doc_id)
 SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
