@@ -34,14 +34,17 @@ N, BUCKETS = 5, 1 << 15
 def _lines(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """docs(doc_id, text) -> rid, doc_id, pos, line, odd for the lines with a word, in lower case; odd: of a text with tabs and the like.
 
-    only(want_rid): the texts that are wanted."""
+    What holds for a text is worked out in a projection of its own, below the one that deals out its lines.
+    only(want_rid, want_pos): the lines that are wanted."""
     d = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), F.lower("text").alias("low"))
     if only is not None:
-        d = d.join(only, F.col("rid") == F.col("want_rid"), "left_semi")
+        d = d.join(only.select("want_rid").distinct(), F.col("rid") == F.col("want_rid"), "left_semi")
     odd = F.lit(False)
     for c in "\t\x0b\x0c\r":
         odd = odd | F.col("low").contains(c)
-    d = d.select("doc_id", "rid", odd.alias("odd"), F.posexplode(F.split("low", "\n", -1)).alias("pos", "line"))
+    d = d.withColumn("odd", odd).select("doc_id", "rid", "odd", F.posexplode(F.split("low", "\n", -1)).alias("pos", "line"))
+    if only is not None:
+        d = d.join(only, (F.col("rid") == F.col("want_rid")) & (F.col("pos") == F.col("want_pos")), "left_semi")
     return d.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -113,17 +116,16 @@ def later_lines(docs: DataFrame, folder: str) -> DataFrame:
     posts = stored(with_partners(posts), folder, "posts")
     forget(spark, f"{folder}/company")
     wanted = x.join(posts.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(place).alias("place"))
-    wanted = stored(wanted.select("sid", "place", F.col("place.rid").alias("want_rid"), F.col("place.pos").alias("want_pos")), folder, "wanted")
-    texts = small(stored(wanted.select("want_rid").distinct(), folder, "texts"), 16)
-    some = _tokens(_lines(docs, texts)).select(F.col("rid").alias("want_rid"), F.col("pos").alias("want_pos"), "tokens").join(wanted, ["want_rid", "want_pos"])
-    sets = stored(some.select("sid", "place", "tokens").dropDuplicates(["sid"]), folder, "sets", dictionary=False)
+    wanted = stored(wanted.select(F.col("place.rid").alias("want_rid"), F.col("place.pos").alias("want_pos")), folder, "wanted")
+    some = _tokens(_lines(docs, small(wanted.select("want_rid", "want_pos"), 24))).withColumn("sid", F.xxhash64("tokens"))
+    sets = stored(some.select("sid", place.alias("place"), "tokens").dropDuplicates(["sid"]), folder, "sets", dictionary=False)
     released(spark)
     matched = stored(_with_earlier_match(posts, sets), folder, "matched").withColumn("matched", F.lit(True))
     marks = small(stored(many.join(matched, "sid", "full_outer"), folder, "marks"), 40)
     other = (F.col("rid") != F.col("first_rid")) | (F.col("pos") != F.col("first_pos"))
     gone = x.select("rid", "pos", "sid").join(marks, "sid").filter(F.coalesce("matched", other))
     gone = stored(gone.groupBy(F.col("rid").alias("in_rid")).agg(F.collect_set("pos").alias("gone")), folder, "gone")
-    for name in ("lines", "posts", "wanted", "texts", "sets", "marks", "matched", "many"):
+    for name in ("lines", "posts", "wanted", "sets", "marks", "matched", "many"):
         forget(spark, f"{folder}/{name}")
     return gone
 
