@@ -57,6 +57,19 @@ def released(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def tidied() -> None:
+    """Gives the memory that a Python worker no longer needs back to the system, at the end of a task: workers are used again."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small(df: DataFrame, row_bytes, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a stored df for broadcast if its rows are below the limit; otherwise the planner shuffles it.
 

@@ -20,6 +20,7 @@ but never is a component's id unless all are null; an empty table gives an empty
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_BYTES, forget, shipped, small, stored, work_folder
+from tessera.llm.common import BROADCAST_BYTES, forget, released, shipped, small, stored, tidied, work_folder
 from tessera.llm.components import components
 from tessera.llm.tokens import slices
 
@@ -38,7 +39,9 @@ COUNTERS, BLOCKS = 1 << 22, 256
 HASH_BITS = 60
 #: N-grams of this level and above are dealt by set as well, so that none of them fills a task.
 HEAVY = 3
-SEEN = 200_000
+SEEN, WORDS = 100_000, 100_000
+#: Bytes of text that are hashed at once.
+SLICE = 2 << 20
 MEMBERS = 256
 ROUNDS = 4
 #: Rounds with leaders end when what is left has at most so many pairs for each row.
@@ -52,22 +55,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(29))
 
 
-def shingles(text: str) -> np.ndarray:
-    """The set of a text's word 5-grams as sorted hashes of HASH_BITS bits; a shorter text is one n-gram."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, those of short words from a bounded cache."""
     import xxhash
 
-    words = text.encode("utf-8").lower().split()  # bytes: ASCII letters and ASCII white space only
-    if not words:
-        return np.zeros(0, np.uint64)
     try:
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     except KeyError:
-        if len(_words) > 400_000:
+        if len(_words) > WORDS:
             _words.clear()
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+        own = {w: xxhash.xxh64_intdigest(w) for w in words if w not in _words}
+        h = np.fromiter((own[w] if w in own else _words[w] for w in words), np.uint64, len(words))
+        _words.update((w, v) for w, v in itertools.islice(own.items(), WORDS) if len(w) <= 64)
+        return h
+
+
+def shingles(text: str) -> np.ndarray:
+    """The set of a text's word 5-grams as sorted hashes of HASH_BITS bits; a shorter text is one n-gram."""
+    words = text.encode("utf-8").lower().split()  # bytes: ASCII letters and ASCII white space only
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = word_hashes(words)
     k = min(N, len(h))
     g = np.full(len(h) - k + 1, k, np.uint64)
     for j in range(k):
@@ -91,31 +99,30 @@ def _unsqueeze(data: bytes) -> np.ndarray:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """A row (doc_id, n, sid) for each document, and rows (block, counts) with each task's counters."""
+    """A row (doc_id, n, sid, grams) for each document, grams being its packed hashes, and rows (block, counts) with each task's counters."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "sid", "block", "counts"]
+    names = ["doc_id", "n", "sid", "grams", "block", "counts"]
 
     def run(batches):
         counters = np.zeros(COUNTERS, np.uint32)
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            for part, texts in slices(batch, 1):
-                n, sid, pending = [], [], []
-                for t in texts:
-                    s = shingles(t)
-                    n.append(len(s))
-                    sid.append(_set_id(s) if len(s) else None)
-                    pending.append(s)
-                where, times = np.unique(np.concatenate(pending) & _U(COUNTERS - 1), return_counts=True)
+            for part, texts in slices(batch, 1, SLICE):
+                sets = [shingles(t) for t in texts]
+                where, times = np.unique(np.concatenate(sets) & _U(COUNTERS - 1), return_counts=True)
                 counters[where.astype(np.int64)] += times.astype(np.uint32)
-                none = len(n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
+                none = len(sets)
+                arrays = [part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([_set_id(x) if len(x) else None for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=names)
+        _words.clear()
         if id_type is not None:
             packed = [_squeeze(c) for c in counters.reshape(BLOCKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(BLOCKS, id_type), pa.nulls(BLOCKS, pa.int64()), pa.nulls(BLOCKS, pa.int64()), pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            nothing = [pa.nulls(BLOCKS, t) for t in (id_type, pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(BLOCKS), pa.int32()), pa.array(packed, pa.binary())], names=names)
+        tidied()
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sid long, block int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, sid long, grams binary, block int, counts binary")
 
 
 def _levels(counts: DataFrame) -> np.ndarray:
@@ -143,33 +150,32 @@ def ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.sort(levels[(hashes & _U(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << _U(HASH_BITS) | hashes).astype(np.int64)
 
 
-def _prefixes(docs: DataFrame, levels) -> DataFrame:
-    """Rows (token, sid, n, pos) for the prefix of each set, once for each set and task."""
+def _prefixes(sets: DataFrame, levels) -> DataFrame:
+    """sets(sid, grams) -> rows (token, sid, n, pos) for the prefix of each set, once for each set and task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for _, texts in slices(batch, 0):
-                tok, sid, n, pos = [], [], [], []
-                for t in texts:
-                    h = shingles(t)
-                    if not len(h):
-                        continue
-                    s = _set_id(h)
-                    if s in seen:
-                        continue
+            sids, grams = batch.column(0).to_pylist(), batch.column(1)
+            tok, sid, n, pos, held = [], [], [], [], 0
+            for k, s in enumerate(sids):
+                if s not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(s)
+                    h = np.frombuffer(grams[k].as_buffer(), np.uint64)
                     p = len(h) - -(-3 * len(h) // 4) + 1
                     tok.append(ordered(h, levels.value)[:p])
                     sid.append(np.full(p, s, np.int64))
                     n.append(np.full(p, len(h), np.int32))
                     pos.append(np.arange(p, dtype=np.int32))
-                if tok:
+                    held += p
+                if tok and (held >= SLICE >> 4 or k == len(sids) - 1):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tok, sid, n, pos)], names=["token", "sid", "n", "pos"])
+                    tok, sid, n, pos, held = [], [], [], [], 0
+        tidied()
 
-    return docs.select("text").mapInArrow(run, "token long, sid long, n int, pos int")
+    return sets.mapInArrow(run, "token long, sid long, n int, pos int")
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -197,17 +203,15 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token long, sid long, n int, pos int")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, levels) -> DataFrame:
-    """docs(doc_id, text), wanted(doc_id) -> sid, keys: the ordered sets, packed, one for each wanted document (twice if its row is)."""
-    d = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["want_id"]), "left_semi").select("text")
+def _sets(sets: DataFrame, levels) -> DataFrame:
+    """sets(sid, grams) -> sid, keys: in the global order, packed."""
 
     def run(batches):
         for batch in batches:
-            for _, texts in slices(batch, 0):
-                hs = [h for h in map(shingles, texts) if len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in hs], pa.int64()), pa.array([ordered(h, levels.value).tobytes() for h in hs], pa.binary())], names=["sid", "keys"])
+            keys = [ordered(np.frombuffer(g.as_buffer(), np.uint64), levels.value).tobytes() for g in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], names=["sid", "keys"])
 
-    return d.mapInArrow(run, "sid long, keys binary")
+    return sets.mapInArrow(run, "sid long, keys binary")
 
 
 class PrefixTree:
@@ -364,14 +368,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = shipped(docs.sparkSession)
     folder = work_folder(spark)
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    scanned = stored(_scan(d), folder, "scan")
+    scanned = stored(_scan(d), folder, "scan", dictionary=False)
     levels = spark.sparkContext.broadcast(_levels(scanned.filter("block IS NOT NULL").select("block", "counts")))  # COUNTERS bytes
-    rows = scanned.filter("block IS NULL").select("doc_id", "n", "sid")
-    shared = stored(with_partners(stored(_shared(_prefixes(d, levels)), folder, "prefixes")), folder, "shared")
+    every = scanned.filter("sid IS NOT NULL").select("sid", "grams")
+    shared = stored(with_partners(stored(_shared(_prefixes(every, levels)), folder, "prefixes")), folder, "shared")
     forget(spark, f"{folder}/prefixes")
-    first = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("want_id"))
-    wanted = stored(first.join(shared.select("sid").distinct(), "sid", "left_semi").select("want_id"), folder, "wanted")
-    sets = stored(_sets(d, small(wanted, 16), levels), folder, "sets")
+    wanted = stored(shared.select("sid").distinct(), folder, "wanted", True)
+    sets = stored(_sets(every.join(small(wanted, 16), "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")), levels), folder, "sets", dictionary=False)
+    rows = stored(scanned.filter("block IS NULL").select("doc_id", "n", "sid"), folder, "rows")
+    forget(spark, f"{folder}/scan")
+    released(spark)
     roots = linked(shared, sets, folder)
     of_set = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least"))
     named = of_set.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -382,7 +388,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     every = stored(named.unionByName(alone), folder, "every")
     for name in ("shared", "sets", "wanted"):
         forget(spark, f"{folder}/{name}")
-    out = rows.join(small(every, 16), "sid", "left")
+    size = 32 + F.octet_length(F.coalesce(F.col("component_id").cast("string"), F.lit("")))  # ids of any type
+    out = rows.join(small(every, size), "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
