@@ -16,6 +16,10 @@ Every string of LENGTH bytes is judged; a byte goes if a repeated one covers it.
    no result depends on.
 4. The repeated strings of each text are united into spans and cut out.
 
+The same is done with words in place of bytes, for strings of WORDS words: n_repeat_words counts the words that such a
+repeated string covers. A passage of 51 words has some 300 bytes, so a string of LENGTH bytes need not be in it; nothing is cut
+for these.
+
 The rolling hash is a polynomial modulo 2^64 over randomly mapped bytes, mixed; equality is that of these 64-bit values
 together with the trigger's, 128 bits in all.
 
@@ -33,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, shipped, small, stored, work_folder
+from tessera.llm.common import forget, released, shipped, small, stored, work_folder
+from tessera.llm.jaccard import word_hashes
 from tessera.llm.tokens import slices
 
 LENGTH, WINDOW = 400, 256
+#: A passage of more than 50 words is a repeated one too, though it may have fewer bytes than LENGTH.
+WORDS, WORD_WINDOW = 51, 32
 #: Strings of a text that are hashed at once.
 BLOCK = 1 << 20
 #: Triggers with more entries than HOT are ordered in SALTS parts first.
@@ -62,17 +69,22 @@ def _mix(h):
     return h ^ (h >> _U(29))
 
 
+def units(text: str, of_words: bool = False) -> np.ndarray:
+    """A random number for each byte of a text, or for each of its words."""
+    data = text.encode("utf-8")
+    return word_hashes(data.split()) if of_words else _BYTES[np.frombuffer(data, np.uint8)]
+
+
 class Rolled:
-    """The rolling hashes of one text."""
+    """The rolling hashes of one text's units."""
 
-    def __init__(self, data: bytes):
-        b = np.frombuffer(data, np.uint8)
-        self.powers, self.inverse = _grown(len(b) + 1)
-        self.sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTES[b] * self.powers[: len(b)], out=self.sums[1:])
+    def __init__(self, data: np.ndarray):
+        self.powers, self.inverse = _grown(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * self.powers[: len(data)], out=self.sums[1:])
 
     def of(self, start, end):
-        """The hashes of the byte ranges [start, end)."""
+        """The hashes of the ranges [start, end)."""
         return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
     def all(self, width: int):
@@ -100,7 +112,7 @@ def _first_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.where(behind[start] <= ahead[end], behind_at[start], ahead_at[end])
 
 
-def phrases(data: bytes, length: int = LENGTH, window: int = WINDOW):
+def phrases(data: np.ndarray, length: int = LENGTH, window: int = WINDOW):
     """(trigger hash, first string, strings, trigger's distance from the first string, phrase hash) of each phrase of a text.
 
     Long texts go in blocks of BLOCK strings; a phrase that a block's end cuts is two entries with the same trigger."""
@@ -115,7 +127,7 @@ def phrases(data: bytes, length: int = LENGTH, window: int = WINDOW):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def _strings(data: bytes, entries: list, length: int):
+def _strings(data: np.ndarray, entries: list, length: int):
     """(place, key, hash) of each string of the entries: the key is that of the trigger and the distance to it."""
     out = []
     entries = sorted(entries, key=lambda e: e["first"])
@@ -133,7 +145,7 @@ def _strings(data: bytes, entries: list, length: int):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def parse(docs: DataFrame, length: int, window: int) -> DataFrame:
+def parse(docs: DataFrame, length: int, window: int, of_words: bool) -> DataFrame:
     """docs(rid, text) -> rid, trigger, first, strings, distance, phrase."""
 
     def run(batches):
@@ -142,7 +154,7 @@ def parse(docs: DataFrame, length: int, window: int) -> DataFrame:
             for part, texts in slices(batch, 1):
                 rids, out = part.column(0).to_numpy(), []
                 for rid, t in zip(rids, texts, strict=True):
-                    data = t.encode("utf-8")
+                    data = units(t, of_words)
                     if len(data) >= length:
                         trigger, first, strings, distance, phrase = phrases(data, length, window)
                         out.append((np.full(len(first), rid), trigger.view(np.int64), first.astype(np.int32), strings.astype(np.int32), distance.astype(np.int32), phrase.view(np.int64)))
@@ -152,7 +164,7 @@ def parse(docs: DataFrame, length: int, window: int) -> DataFrame:
     return docs.mapInArrow(run, "rid long, trigger long, first int, strings int, distance int, phrase long")
 
 
-def _suffixes(texts: DataFrame, length: int) -> DataFrame:
+def _suffixes(texts: DataFrame, length: int, of_words: bool) -> DataFrame:
     """texts(rid, text, entries) -> rid, at, key, string, salt: a row for each string of an entry."""
 
     def run(batches):
@@ -160,7 +172,7 @@ def _suffixes(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for part, ts in slices(batch, 1, 1 << 20):
                 for rid, t, entries in zip(part.column(0).to_pylist(), ts, part.column(2).to_pylist(), strict=True):
-                    got = _strings(t.encode("utf-8"), entries, length)
+                    got = _strings(units(t, of_words), entries, length)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(got[0]), rid, np.int64), *got)], names=names)
 
     return texts.mapInArrow(run, "rid long, at int, key long, string long, salt int")
@@ -199,49 +211,68 @@ def _neighbours(suffixes: DataFrame, folder: str) -> DataFrame:
     return once.filter("n > 0").select("rid", "at").unionByName(across.select("rid", "at"))
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
-    spark = shipped(docs.sparkSession)
-    folder = work_folder(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    d = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    texts = d.select("rid", "text")
-    parsed = stored(parse(texts.filter(F.octet_length("text") >= length), length, window), folder, "parse")
+def repeated_spans(texts: DataFrame, length: int, window: int, folder: str, of_words: bool = False) -> DataFrame:
+    """texts(rid, text) -> in_rid, spans: the runs (first, last) of starts of repeated strings, in bytes or in words.
+
+    Rows with one rid are repeated rows: their strings all are repeated ones."""
+    spark = texts.sparkSession
+    parsed = stored(parse(texts.filter(F.octet_length("text") >= (2 * length - 1 if of_words else length)), length, window, of_words), folder, "parse", dictionary=False)
     often = stored(parsed.groupBy("trigger").agg(F.count("*").alias("n")).filter("n > 1").select("trigger"), folder, "often")
-    parsed = stored(parsed.join(small(often, 8), "trigger", "left_semi"), folder, "shared")
+    parsed = stored(parsed.join(small(often, 8), "trigger", "left_semi"), folder, "shared", dictionary=False)
     forget(spark, f"{folder}/parse")
     entry = ["trigger", "distance", "strings", "phrase"]
-    entries = stored(parsed.groupBy(*entry).agg(F.count("*").alias("n"), F.min(F.struct("rid", "first")).alias("one")), folder, "dictionary")
+    entries = stored(parsed.groupBy(*entry).agg(F.count("*").alias("n"), F.min(F.struct("rid", "first")).alias("one")), folder, "dictionary", dictionary=False)
     groups = entries.groupBy("trigger").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1")
     spans = parsed.join(entries.filter("n > 1").select(*entry), entry).select("rid", "first", (F.col("first") + F.col("strings") - 1).alias("last"))
     salt = F.when(F.col("kinds") > HOT, F.pmod("one.rid", F.lit(SALTS)) + 1).otherwise(F.lit(0)).cast("int")
     open_ = entries.join(groups, "trigger").select(F.col("one.rid").alias("in_rid"), F.struct(F.col("one.first").alias("first"), "strings", "distance", "trigger", salt.alias("salt")).alias("e"))
-    open_ = stored(open_.groupBy("in_rid").agg(F.collect_list("e").alias("entries")), folder, "open")  # bounded by a text's length
+    open_ = stored(open_.groupBy("in_rid").agg(F.collect_list("e").alias("entries")), folder, "open")  # an entry names one row, so a text's length bounds them
     found = texts.join(open_.hint("merge"), F.col("rid") == F.col("in_rid")).select("rid", "text", "entries")
-    single = _neighbours(_suffixes(found, length), folder).select("rid", F.col("at").alias("first"), F.col("at").alias("last"))
-    spans = spans.unionByName(single).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # bounded by a text's length
+    single = _neighbours(_suffixes(found, length, of_words), folder).select("rid", F.col("at").alias("first"), F.col("at").alias("last"))
+    spans = spans.unionByName(single).distinct().groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))  # repeated rows count once, so a text's length bounds them
     spans = stored(spans.select(F.col("rid").alias("in_rid"), F.array_sort("spans").alias("spans")), folder, "spans")
-    out = d.join(spans.hint("merge"), F.col("rid") == F.col("in_rid"), "left").select("doc_id", "text", "spans")
+    for name in ("shared", "dictionary", "open", "ordered"):
+        forget(spark, f"{folder}/{name}")
+    released(spark)
+    return spans
+
+
+def united(spans: list | None, length: int) -> list[list[int]]:
+    """The runs [start, end) that the strings of sorted spans cover together."""
+    out: list[list[int]] = []
+    for x in spans or []:
+        if out and x["first"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x["last"] + length)
+        else:
+            out.append([x["first"], x["last"] + length])
+    return out
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, words: int = WORDS, word_window: int = WORD_WINDOW) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeat_words, kept (the bytes that stay)."""
+    spark = shipped(docs.sparkSession)
+    folder = work_folder(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    d = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    texts = d.select("rid", "text")
+    spans = repeated_spans(texts, length, window, f"{folder}/bytes")
+    of_words = repeated_spans(texts, words, word_window, f"{folder}/words", True).select(F.col("in_rid").alias("word_rid"), F.col("spans").alias("word_spans"))
+    both = spans.join(of_words, F.col("in_rid") == F.col("word_rid"), "full_outer").select(F.coalesce("in_rid", "word_rid").alias("in_rid"), "spans", "word_spans")
+    out = d.join(both.hint("merge"), F.col("rid") == F.col("in_rid"), "left").select("doc_id", "text", "spans", "word_spans")
 
     def cut(batches):
         for batch in batches:
             for part, ts in slices(batch, 1):
                 rows = []
-                for t, s in zip(ts, part.column(2).to_pylist(), strict=True):
-                    data = t.encode("utf-8")
-                    united = []
-                    for x in s or []:
-                        if united and x["first"] <= united[-1][1]:
-                            united[-1][1] = max(united[-1][1], x["last"] + length)
-                        else:
-                            united.append([x["first"], x["last"] + length])
-                    edges = [0, *(e for u in united for e in u), len(data)]
+                for t, s, w in zip(ts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    data, runs = t.encode("utf-8"), united(s, length)
+                    edges = [0, *(e for u in runs for e in u), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((len(data), len(data) - len(kept), len(united), hashlib.sha256(kept).hexdigest(), kept))
-                arrays = [part.column(0)] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in united(w, words)), kept))
+                arrays = [part.column(0)] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeat_words", "kept"])
 
-    return out.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeat_words long, kept binary")
 
 
 def op3(spark, sf_dir):
