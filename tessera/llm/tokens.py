@@ -5,10 +5,11 @@ ending at byte i is the last one if it and the last token of the prefix before i
 encoding of their concatenation. So count[i] = count[i - len(t)] + 1, and the table of a piece gives the exact count of
 each of its prefixes. A text's table is that of its pieces, added up; truncation and budgets are look-ups in it.
 
-A text is taken apart at those spaces that follow a character other than white space: no piece of the pre-tokenizer
-crosses such a place, so that the parts can be tabulated once and met again from a bounded cache. Texts for which this
-isn't known to hold (spaces after white space, control characters or scripts outside the listed ranges, special
-strings) are counted by the library as a whole.
+A plain text is taken apart at its spaces: no piece of the pre-tokenizer crosses such a place, so that the parts can be
+tabulated once and met again from a bounded cache. Texts for which this isn't known to hold (spaces after white space,
+control characters or scripts outside the listed ranges, special strings) are cut into pieces by the library's own
+pre-tokenizer, between special strings, and their pieces are tabulated in the same way. So every count comes from the
+tables, and a table takes time in proportion to its text.
 
 Defined results: a null text is empty and has 0 tokens; an empty table gives an empty result; one row comes out for each
 row in; nothing is shuffled; only doc_id and text are read.
@@ -16,6 +17,7 @@ row in; nothing is shuffled; only doc_id and text are read.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
@@ -29,10 +31,13 @@ from tessera.llm.common import shipped
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
-CACHE = 400_000
+#: Entries of a cache, each of a key of at most LONG bytes or characters; with as many, a cache is emptied.
+CACHE = 200_000
 #: Longer pieces, in bytes, are tabulated on their own.
 LONG = 64
 NEVER = 1 << 60
+#: The characters with the Unicode property White_Space, which the pre-tokenizer goes by.
+WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 #: Characters whose classes are the same in every Unicode version that a tokenizer may know.
 _ODD = re.compile("[^\u0000-\u001b -ɏͰ-ͷЀ-ӿ‐-‧ぁ-ゖァ-ヺ一-龥]")
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
@@ -78,6 +83,10 @@ class Vocabulary:
         self._spaced: dict[str, int] = {}  # of the last entries of tables, by the part without its leading space
         self._coded: dict[str, bytes] = {}
         self._fast = None
+        #: tiktoken takes ids for merge ranks; where a vocabulary's ids don't follow its merges, only the library encodes.
+        self.ranked = all(self.ids.get(a + b, -1) < self.ids.get(c + d, -2) for (a, b), (c, d) in itertools.pairwise(self.merges))
+        self._special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")" if self.special else "(?!)()")
+        self._bytes = {ord(c): chr(b) for c, b in letters.items()}
 
     def _spine(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
         """What stands at one edge (0: left, 1: right) of a token while it is put together, and the merge that ends each."""
@@ -148,9 +157,18 @@ class Vocabulary:
         known = self._tables.get(part)
         if known is not None:
             return known
+        out = tuple(self._table_of(self.pieces(part)))
+        if len(part) <= LONG:
+            if len(self._tables) >= CACHE:
+                self._tables.clear()
+            self._tables[part] = out
+        return out
+
+    def _table_of(self, pieces: list[str]) -> list[int]:
+        """The number of tokens of every prefix of the text that the pieces make up."""
         out, done, blank = [0], 0, ""
-        for piece in self.pieces(part):
-            if piece.isspace():  # a prefix that ends in white space has all of it in one piece
+        for piece in pieces:
+            if WHITE.issuperset(piece):  # a prefix that ends in white space has all of it in one piece
                 blank += piece
                 ends = self._by_character(blank)[len(blank) - len(piece) + 1 :]
                 base = done - (self.byte_table(blank[: -len(piece)].encode())[-1] if len(blank) > len(piece) else 0)
@@ -166,10 +184,11 @@ class Vocabulary:
             out += [done + n for n in ends]
             done += self._by_character(piece)[-1]
             blank = ""
-        if len(self._tables) >= CACHE:
-            self._tables.clear()
-        self._tables[part] = tuple(out)
-        return self._tables[part]
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        """The pieces of any text without special strings, as the library's pre-tokenizer cuts it."""
+        return [p.translate(self._bytes).encode("latin-1").decode("utf-8") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _by_character(self, piece: str) -> list[int]:
         data = piece.encode("utf-8")
@@ -197,25 +216,30 @@ class Vocabulary:
         if not text:
             return 0
         if not self.plain(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
+            between = self._special.split(text)  # special strings stand at odd places
+            return len(between) // 2 + sum(self.last_of(piece.encode("utf-8"))[0] for part in between[::2] for piece in self.cut(part))
         first, *rest = text.split(" ")
         n = self.total(first) if first else 0
         known = self._spaced
         try:
             return n + sum(map(known.__getitem__, rest))
-        except KeyError:
+        except KeyError:  # a part that wasn't met yet
             if len(known) >= CACHE:
                 known.clear()
             for x in rest:
-                if x not in known:
-                    known[x] = sum(self.last_of(piece.encode("utf-8"))[0] for piece in self.pieces(" " + x))
-        return n + sum(map(known.__getitem__, rest))
+                if x in known:
+                    n += known[x]
+                    continue
+                own = sum(self.last_of(piece.encode("utf-8"))[0] for piece in self.pieces(" " + x))
+                n += own
+                if len(x) <= LONG:
+                    known[x] = own
+            return n
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """The number of tokens of every prefix of the text: entry i is that of the first i characters."""
         if not self.plain(text):
-            got = [len(self.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
-            return np.array(got, np.int32)
+            return self._any_prefix_counts(text)
         out, done = [np.zeros(1, np.int32)], 0
         for part in self.parts(text):
             t = np.array(self.table(part), np.int32)
@@ -223,11 +247,29 @@ class Vocabulary:
             done += int(t[-1])
         return np.concatenate(out)
 
+    def _any_prefix_counts(self, text: str) -> np.ndarray:
+        """The same for texts that aren't plain. A prefix that ends inside a special string has its start as ordinary text."""
+        out, done = [0], 0
+        between = self._special.split(text)
+        for at, part in enumerate(between):
+            if at % 2 == 0:
+                pieces = self.cut(part)
+                out += [done + n for n in self._table_of(pieces)[1:]]
+                settled, tail = out[-1], "".join(pieces[-3:])  # what follows can change the last pieces only
+                settled -= sum(self.byte_table(p.encode("utf-8"))[-1] for p in pieces[-3:])
+                done = out[-1]
+                continue
+            for i in range(1, len(part)):
+                out.append(settled + sum(self.byte_table(p.encode("utf-8"))[-1] for p in self.cut(tail + part[:i])))
+            done += 1
+            out.append(done)
+        return np.array(out, np.int32)
+
     def encode(self, text: str) -> bytes:
         """The ids of the text, as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        if not self.plain(text):
+        if not self.ranked or not self.plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self._fast is None:
             import public_tokenizers
@@ -242,10 +284,15 @@ class Vocabulary:
         except KeyError:
             if len(coded) >= CACHE:
                 coded.clear()
+            out = [head]
             for x in rest:
-                if x not in coded:
-                    coded[x] = np.array(self._fast(" " + x), "<u4").tobytes()
-        return head + b"".join(map(coded.__getitem__, rest))
+                own = coded.get(x)
+                if own is None:
+                    own = np.array(self._fast(" " + x), "<u4").tobytes()
+                    if len(x) <= LONG:
+                        coded[x] = own
+                out.append(own)
+            return b"".join(out)
 
 
 _LOADED: dict[str, Vocabulary] = {}
