@@ -11,9 +11,10 @@ leaf with a third of all vectors nor many queries of one leaf meet in one task.
 products in the order of the components, the same for equal vectors.
 
 Defined results: vectors that are null, all zero, hold a null or non-finite component, have no id, or another number of
-components than most vectors (ties: the larger number) take no part; repeated ids are candidates each, and never of their
-own query; with fewer candidates than k all of them are returned; empty tables give an empty result; only vec_id and
-embedding are read.
+components than most vectors (ties: the larger number) take no part; rows are numbered once, so every row is a candidate
+of every query but its own, rows with a query's id or vector too, and every query row has k results of its own, also where
+its id occurs twice; with fewer candidates than k all of them are returned; empty tables give an empty result; only vec_id
+and embedding are read.
 """
 
 from __future__ import annotations
@@ -91,13 +92,13 @@ def matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), np.float64)
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, bound: np.ndarray | None = None):
-    """For each query (row number of q, row number of v, score) of its k best, ties to smaller ids; its own id never counts.
+def best(q: np.ndarray, q_rows: np.ndarray, v: np.ndarray, v_rows: np.ndarray, v_ids: np.ndarray, k: int, bound: np.ndarray | None = None):
+    """For each query (place in q, place in v, score) of its k best, ties to smaller ids; its own row never counts.
 
     bound: scores that k candidates are known to reach; what is below them isn't returned."""
     for at in range(0, len(q), 256):
         rough = q[at : at + 256] @ v.T
-        rough[q_ids[at : at + 256, None] == v_ids[None, :]] = -np.inf
+        rough[q_rows[at : at + 256, None] == v_rows[None, :]] = -np.inf
         kth = np.partition(rough, -k, axis=1)[:, -k] if len(v) > k else np.full(len(rough), -np.inf)
         if bound is not None:
             kth = np.maximum(kth, bound[at : at + 256])
@@ -136,8 +137,10 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
             if len(f):
                 yield f.assign(leaf=tree.assign(matrix(f["embedding"])))
 
-    rows = stored(v.mapInPandas(to_leaf, f"vec_id {kind}, embedding array<double>, leaf int"), folder, "rows")
-    sizes = {r["leaf"]: r["count"] for r in rows.groupBy("leaf").count().collect()}  # at most MAX_LEAVES rows
+    rows = v.mapInPandas(to_leaf, f"vec_id {kind}, embedding array<double>, leaf int").withColumn("row", F.monotonically_increasing_id())
+    rows = stored(rows, folder, "rows")  # row numbers are final once written
+    counted = stored(rows.groupBy("leaf").agg(F.count("*").alias("size")), folder, "leaves", True)
+    sizes = {r["leaf"]: r["size"] for r in counted.collect()}  # at most MAX_LEAVES rows
     queries = rows.filter(is_query)
     visits = calibrated(rows, queries, tree, k)
     q_parts = max(1, -(-queries.count() * visits // (max(1, tree.leaves) * PART)))
@@ -150,50 +153,48 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         xs, ids, leaf_of = held_sample.value
         for f in frames:
             out = []
-            for i, q in zip(f["vec_id"], f["embedding"], strict=True):
+            for row, i, q in zip(f["row"], f["vec_id"], f["embedding"], strict=True):
                 leaves = tree.best_first(np.asarray(q), visits, counts, k + 1)
-                # The k-th best score of the sampled vectors in these leaves bounds what each of them needs to return.
+                # The k-th best score of the sampled vectors in these leaves, without those of the query's id, bounds what each returns.
                 seen = np.zeros(tree.leaves, bool)
                 seen[leaves] = True
                 s = xs[seen[leaf_of] & (ids != i)] @ np.asarray(q)
                 bound = np.partition(s, -k)[-k] if len(s) >= k else -np.inf
-                out += [(i, q, bound, leaf, p) for leaf in leaves for p in range(parts.get(leaf, 0))]
-            yield pd.DataFrame(out, columns=["query_id", "q", "bound", "leaf", "part"])
+                out += [(row, i, q, bound, leaf, p) for leaf in leaves for p in range(parts.get(leaf, 0))]
+            yield pd.DataFrame(out, columns=["query", "query_id", "q", "bound", "leaf", "part"])
 
-    bins = queries.mapInPandas(to_bins, f"query_id {kind}, q array<double>, bound double, leaf int, part int")
-    bins = bins.withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.lit(q_parts)).cast("int"))
-
-    n_parts = F.lit(1)
-    for leaf_id, p in parts.items():
-        if p > 1:
-            n_parts = F.when(F.col("leaf") == leaf_id, F.lit(p)).otherwise(n_parts)
-    held = rows.withColumn("part", F.pmod(h, n_parts).cast("int")).withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
+    bins = queries.mapInPandas(to_bins, f"query long, query_id {kind}, q array<double>, bound double, leaf int, part int")
+    bins = bins.withColumn("q_part", F.pmod(F.xxhash64("query"), F.lit(q_parts)).cast("int"))
+    n_parts = F.broadcast(counted.select(F.col("leaf").alias("of_leaf"), F.ceil(F.col("size") / PART).alias("parts")))  # MAX_LEAVES rows at most
+    held = rows.join(n_parts, F.col("leaf") == F.col("of_leaf")).withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+    held = held.select("row", "vec_id", "embedding", "leaf", "part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))).alias("q_part"))
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q_ids, v_ids = a["query_id"].to_numpy(), b["vec_id"].to_numpy()
-        got = list(best(matrix(a["q"]), q_ids, matrix(b["embedding"]), v_ids, k, a["bound"].to_numpy()))
-        return pd.DataFrame({"query_id": q_ids[[g[0] for g in got]], "vec_id": v_ids[[g[1] for g in got]], "score": [float(g[2]) for g in got]})
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []})
+        q_rows, q_ids, v_ids = (x.to_numpy() for x in (a["query"], a["query_id"], b["vec_id"]))
+        got = list(best(matrix(a["q"]), q_rows, matrix(b["embedding"]), b["row"].to_numpy(), v_ids, k, a["bound"].to_numpy()))
+        of = [g[0] for g in got]
+        return pd.DataFrame({"query": q_rows[of], "query_id": q_ids[of], "vec_id": v_ids[[g[1] for g in got]], "score": [float(g[2]) for g in got]})
 
     keys = ["leaf", "part", "q_part"]
-    found = bins.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(score, f"query_id {kind}, vec_id {kind}, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = bins.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(score, f"query long, query_id {kind}, vec_id {kind}, score double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def calibrated(rows: DataFrame, queries: DataFrame, tree: Tree, k: int) -> int:
     """The number of leaves to visit: widened until TARGET of the true neighbours of at most PROBES queries are found."""
-    probes = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(PROBES).select("vec_id", "embedding").toPandas()
+    probes = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(PROBES).select("row", "embedding").toPandas()
     if not len(probes) or tree.leaves < 2:
         return 1
-    q, q_ids = matrix(probes["embedding"]), probes["vec_id"].to_numpy()
+    q, q_rows = matrix(probes["embedding"]), probes["row"].to_numpy()
 
     def block(frames):
         for f in frames:
             if len(f):
                 ids, leaves = f["vec_id"].to_numpy(), f["leaf"].to_numpy()
-                got = list(best(q, q_ids, matrix(f["embedding"]), ids, k))
+                got = list(best(q, q_rows, matrix(f["embedding"]), f["row"].to_numpy(), ids, k))
                 yield pd.DataFrame({"probe": [g[0] for g in got], "id": ids[[g[1] for g in got]], "leaf": leaves[[g[1] for g in got]], "score": [float(g[2]) for g in got]})
 
     kind = rows.schema["vec_id"].dataType.simpleString()
