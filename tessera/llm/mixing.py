@@ -8,7 +8,7 @@ the source) are put in order. So a source with a third of all rows costs no more
 aggregation.
 
 Defined results: a null text has size 0; a null source is a source of its own and comes last; documents with equal
-keys (repeated ids) are ordered by size; an empty table gives an empty result; only the needed columns of the input
+keys (repeated ids) are ordered by size; a null id's key comes from its text; an empty table gives an empty result; only the needed columns of the input
 are read, so further columns never clash. Reruns agree, as keys depend on the ids alone.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, stored, word_count, work_folder
+from tessera.llm.common import SPACE, WORD, small, stored, word_count, work_folder
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -67,7 +67,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
 
     taken = epochs * size, plus the words that the last, partial epoch takes from the start of the text."""
     folder = work_folder(docs.sparkSession)
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))).alias("key"))
     d = stored(d, folder, "sizes")
     cells = stored(d.groupBy("source", _cell(0).alias("cell")).agg(F.sum("size").alias("words")), folder, "cells")
     plan = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mix as documents: a row for every epoch of a document, and its first words where an epoch ends inside it.
+    """The mix as documents: a row for every epoch of a document, and its start where an epoch ends inside it, up to the last word taken.
 
     Rows with no words are kept once, as they cost no budget. The input's columns are returned."""
     folder = work_folder(docs.sparkSession)
@@ -101,23 +101,20 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     m = mix_sources(docs.select(F.struct("doc_id", rid.alias("rid")).alias("doc_id"), "source", "text"), weights, max_epochs)
     m = m.groupBy(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.rid").alias("_rid")).agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
     m = stored(m, folder, "mix")
-    d = docs.withColumn("_key", rid).join(m, (F.col("_key") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), rid.alias("key"), "doc_id", "text")
+    d = d.join(m, (F.col("key") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     share = F.floor(F.col("_taken") / F.col("_rows"))
     epochs = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(share / F.greatest(F.col("_size"), F.lit(1)))).cast("int")
     left = F.when(F.col("_size") == 0, F.lit(0)).otherwise(share - epochs * F.col("_size")).cast("int")
-    head = F.array_join(F.slice(words_array(), 1, F.greatest(F.col("_left"), F.lit(1))), " ")
-    d = d.withColumn("_epochs", epochs).withColumn("_left", left)
-    whole = d.filter("_epochs > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select(*[F.col(f"`{c}`") for c in docs.columns])
-    part = d.filter("_left > 0").withColumn("text", head)
+    spaced = F.regexp_extract_all("text", F.lit(f"(?:{SPACE})?{WORD}"), F.lit(0))  # each word with the white space before it
+    head = F.array_join(F.slice(spaced, 1, F.greatest(F.col("part"), F.lit(1))), "")
+    d = d.withColumn("epochs", epochs).withColumn("part", left)
+    whole = d.filter("epochs > 0").select("whole", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select("whole.*")
+    changed = {"text": head}
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(part.select(*[F.col(f"`{c}`") for c in docs.columns]))
-
-
-def words_array():
-    from tessera.llm.common import words_of
-
-    return words_of(F.col("text"))
+        changed["n_chars"] = F.length(head).cast(docs.schema["n_chars"].dataType)
+    part = d.filter("part > 0").select(*[changed[c].alias(c) if c in changed else F.col(f"whole.`{c}`") for c in docs.columns])
+    return whole.unionByName(part)
 
 
 def op2(spark, sf_dir):
@@ -128,7 +125,7 @@ def op2(spark, sf_dir):
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight,
              source_size * 3.0::DOUBLE AS cap FROM s),
