@@ -67,8 +67,13 @@ _KNOWN_LETTERS = np.array([chr(i).isalpha() for i in range(0x3000)])
 
 
 def _letters(c: np.ndarray) -> np.ndarray:
-    """Whether each code point is a letter; above the tabulated ones everything counts as one but punctuation blocks."""
-    return np.where(c < len(_KNOWN_LETTERS), _KNOWN_LETTERS[np.minimum(c, len(_KNOWN_LETTERS) - 1)], (c >= 0x3041) & ~((c >= 0xFE00) & (c < 0xFE70)) & (c < 0x1F000))
+    """Whether each code point is a letter, as `isalpha` has it."""
+    out = _KNOWN_LETTERS[np.minimum(c, len(_KNOWN_LETTERS) - 1)]
+    above = c >= len(_KNOWN_LETTERS)
+    if above.any():
+        points, place = np.unique(c[above], return_inverse=True)
+        out[above] = np.array([chr(i).isalpha() for i in points])[place]
+    return out
 
 
 def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 4.0, seed: int = 5) -> np.ndarray:
