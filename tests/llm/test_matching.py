@@ -24,6 +24,12 @@ def brute_strings(rows, n):
     return sorted(out)
 
 
+def brute_words(rows, n):
+    texts = [(i, (x or "").encode().split()) for i, x in rows]
+    seen = collections.Counter(tuple(w[j : j + n]) for _, w in texts for j in range(len(w) - n + 1))
+    return sorted((i, len({j + k for j in range(len(w) - n + 1) if seen[tuple(w[j : j + n])] > 1 for k in range(n)})) for i, w in texts)
+
+
 @pytest.mark.parametrize("hot, block", [(1000, 1 << 20), (2, 16)])
 def test_repeated_strings(spark, monkeypatch, hot, block):
     monkeypatch.setattr(substrings, "HOT", hot)
@@ -33,8 +39,11 @@ def test_repeated_strings(spark, monkeypatch, hot, block):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, rid string")
     if block < 1 << 20:
         monkeypatch.setattr(substrings, "BLOCK", block)
-    got = sorted(tuple(r[:5]) for r in substrings.repeated(df, 20, 12).collect())
-    assert got == brute_strings(rows, 20)
+    rows += [(200 + i, " ".join(rng.choice(["p", "q", "rr"]) for _ in range(40))) for i in range(12)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, rid string")
+    out = substrings.repeated(df, 20, 12, 7, 4).collect()
+    assert sorted(tuple(r[:5]) for r in out) == brute_strings(rows, 20)
+    assert sorted((r["doc_id"], r["n_repeat_words"]) for r in out) == brute_words(rows, 7)
 
 
 def test_no_strings_in_an_empty_table(spark):
@@ -101,16 +110,75 @@ def grown(rng, sizes):
     return out
 
 
+def linked_pairs(texts):
+    """All pairs (a, b), a < b, of similarity 0.75 or more, counted over an index of the n-grams."""
+    words = [t.lower().split() for t in texts]
+    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in words]
+    where, overlap = collections.defaultdict(list), collections.Counter()
+    for i, g in enumerate(grams):
+        for x in g:
+            overlap.update((j, i) for j in where[x])
+            where[x].append(i)
+    return [(a, b) for (a, b), n in overlap.items() if 4 * n >= 3 * (len(grams[a]) + len(grams[b]) - n)]
+
+
 def least_of_components(texts):
-    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
-    least = list(range(len(texts)))
-    links = [(a, b) for b in range(len(texts)) for a in range(b) if 4 * len(grams[a] & grams[b]) >= 3 * len(grams[a] | grams[b])]
-    for _ in texts:
+    least, links = list(range(len(texts))), linked_pairs(texts)
+    before = None
+    while before != least:
+        before = list(least)
         for a, b in links:
             least[a] = least[b] = min(least[a], least[b])
     return least
 
 
+def with_added_words(rng, n):
+    """n pairs of a text of 1 to 400 words and the same with words put in front, behind or inside; some hold a common phrase."""
+    word = lambda: f"v{rng.randint(0, 10**9)}"
+    phrase, out = "all rights are kept by those who wrote this".split(), []
+    for _ in range(n):
+        base = [word() for _ in range(int(400 ** rng.random()))] + phrase * (rng.random() < 0.1)
+        more = list(base)
+        where = rng.choice(["front", "behind", "inside", "anywhere"])
+        inside = rng.randint(0, len(base))
+        for _ in range(rng.randint(0, 2 + len(base) // 3)):
+            more.insert({"front": 0, "behind": len(more), "inside": inside, "anywhere": rng.randint(0, len(more))}[where], word())
+        out += [" ".join(x) for x in rng.sample([base, more], 2)]
+    return out
+
+
+def test_no_link_of_texts_with_added_words_is_lost(spark):
+    texts = with_added_words(random.Random(11), 2000)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = least_of_components(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum(w < i for i, w in enumerate(want)) > 600
+
+
+def test_no_line_with_added_words_is_lost(spark):
+    texts = with_added_words(random.Random(12), 2000)
+    rows = [(i, "\n".join(texts[4 * i : 4 * i + 4])) for i in range(len(texts) // 4)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {b for _, b in linked_pairs(texts)}
+    assert got == {i: "\n".join(t for k, t in enumerate(texts[4 * i : 4 * i + 4], 4 * i) if k not in gone) for i, _ in rows} and len(gone) > 600
+
+
+def test_no_line_goes_without_an_earlier_match(spark):
+    word = [f"v{i}" for i in range(60)]
+    chain = [" ".join(word[k : k + 24]) for k in (2, 4, 0)]  # 20 n-grams each: the first and last share 18, 18 and 16
+    df = spark.createDataFrame([(1, chain[2], 0), (2, chain[1], 0), (3, chain[0], 0)], "doc_id long, text string, _ln_gone int")
+    assert linked_pairs(chain) == [(0, 1), (0, 2)]
+    got = lines.dedup_lines(df)
+    assert {r["doc_id"]: r["_ln_gone"] for r in got.collect()} == {1: 0, 2: 0, 3: 1} and got.columns == ["doc_id", "text", "_ln_all", "_ln_gone"]
+
+
+def test_lines_of_odd_tables(spark):
+    long = "\n".join(f"line {i} of a text with very many lines says {i * 7919} times that" for i in range(3000))
+    rows = [(None, "a\tb\u000bc\rd e"), (7, "a b c d e"), (7, "a b c d e"), (7, "x"), (8, long), (9, long + "\nA  B\tc d E"), (10, "\n\n"), (11, "y " * 9000)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, rid string")
+    got = {(r["doc_id"], r["text"], r["_ln_all"], r["_ln_gone"]) for r in lines.dedup_lines(df).collect()}
+    assert got == {(None, "", 1, 1), (7, "a b c d e", 1, 0), (7, "x", 1, 0), (8, long, 3000, 0), (9, "", 3001, 3001), (10, "\n\n", 3, 0), (11, "y " * 9000, 1, 0)}
+
+
 #: n-grams of a base and of its variants at 0.75 to 0.85: 80 in 94 to 106; added ones are rarer (8 variants) or as rare (1).
 UNEQUAL = [(84, variants, added) for variants in (8, 1, 1, 1) for added in (15, 20, 26)]
 
@@ -145,7 +213,8 @@ def test_line_dedup_of_lines_with_words_behind(spark):
     texts = grown(random.Random(6), [(12, variants, 2) for variants in (8, 1, 1, 1, 1, 1, 1)] + [(16, variants, 3) for variants in (8, 1, 1, 1, 1, 1, 1)])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["_ln_gone"] for r in lines.dedup_lines(df).collect()}
-    assert [got[i] for i in range(len(texts))] == [int(least < i) for i, least in enumerate(least_of_components(texts))]
+    gone = {b for _, b in linked_pairs(texts)}
+    assert [got[i] for i in range(len(texts))] == [int(i in gone) for i in range(len(texts))]
 
 
 def test_languages(spark):
