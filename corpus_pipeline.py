@@ -1,7 +1,10 @@
 """The corpus pipeline: five stages, each reading the documents that the one before kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes every stage as Parquet into the shared
-folder and reads it again. All but the last return the columns of documents.
+folder and reads it again. All but the last return the columns of documents, further ones too, whatever their names.
+
+Defined results: an empty table stays empty through all stages; texts that are null, blank or without a letter are rejected
+by the first; repeated rows are one group of copies, of which one row stays; a null doc_id takes part like any other.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; a document that loses all its lines with words goes with them."""
-    d = lines.dedup_lines(docs)
-    empty = (F.col("_ln_gone") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    total, removed = (f"{name}{'_' * max(map(len, docs.columns))}" for name in ("total", "removed"))  # longer than any column's name
+    d = lines.dedup_lines(docs, total, removed)
+    empty = (F.col(removed) > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     d = d.filter(~empty)
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_ln_gone") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        d = d.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -40,14 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near copies exactly one row stays: that of the smallest doc_id (null comes last), then of the smallest
     hash of id and text; of rows that are equal in both, that of the smallest other columns. Texts without words stay."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("doc_id", "text").alias("hash"))
-    keyed = docs.withColumn("_row", row)
-    groups = jaccard.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).filter("n_shingles > 0")
-    groups = groups.groupBy(F.col("doc_id").alias("_of"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("_first")).count()
-    groups = small(stored(groups.filter("count > 1 OR NOT _first").select("_of", "_first"), work_folder(spark), "groups"), 64)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    alone = keyed.join(groups, F.col("_row") == F.col("_of"), "left_anti").select(*columns)
-    again = keyed.join(groups.filter("_first"), F.col("_row") == F.col("_of"), "left_semi")
-    return alone.unionByName(again.groupBy("_row").agg(F.min(F.struct(*columns)).alias("_one")).select("_one.*"))
+    keyed = docs.select(row.alias("row"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    groups = jaccard.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).filter("n_shingles > 0")
+    groups = groups.groupBy(F.col("doc_id").alias("of"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")).count()
+    groups = small(stored(groups.filter("count > 1 OR NOT first").select("of", "first"), work_folder(spark), "groups"), 64)
+    alone = keyed.join(groups, F.col("row") == F.col("of"), "left_anti").select("whole.*")
+    again = keyed.join(groups.filter("first"), F.col("row") == F.col("of"), "left_semi")
+    return alone.unionByName(again.groupBy("row").agg(F.min("whole").alias("whole")).select("whole.*"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
