@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.constants import AUDIO_EXTENSIONS, CATEGORIES, FAKE, GENERATOR_TOKENS, IGNORED_DIRECTORY, LABELS, MODALITIES, NO_EVIDENCE, PATH_WORDS, REAL, VIDEO_EXTENSIONS
+from tessera.functions.constants import AUDIO_EXTENSIONS, CATEGORIES, FAKE, GENERATOR_TOKENS, IGNORED_DIRECTORY, LABELS, MODALITIES, NO_EVIDENCE, PATH_FIELDS, PATH_WORDS, REAL, VIDEO_EXTENSIONS
 
 
 def _c(c) -> Column:
@@ -310,3 +310,18 @@ def structured_answer(overall, video, audio, modality_type) -> Column:
     known = lambda c: F.coalesce(_c(c), F.lit("Unknown"))
     s = F.struct(known(overall).alias("overall_label"), known(video).alias("video_label"), known(audio).alias("audio_label"), known(modality_type).alias("modality_type"), evidence(known(video), known(audio)).alias("evidence"))
     return F.to_json(s)
+
+
+def path_text(df, column: str) -> Column:
+    """A path column as text. Of a struct or map the first that isn't blank of path, filename, file counts."""
+    kind = df.schema[column].dataType
+    names = kind.names if kind.typeName() == "struct" else PATH_FIELDS if kind.typeName() == "map" else None
+    if names is None:
+        return clean_text(column)
+    parts = [F.nullif(clean_text(F.col(column)[k]), F.lit("")) for k in PATH_FIELDS if k in names]
+    return F.coalesce(*parts, F.lit("")) if parts else F.lit("")
+
+
+def filled(own: Column, other: Column) -> Column:
+    """own, or the other where own is blank: what a sample has isn't overwritten by its metadata."""
+    return F.coalesce(F.nullif(clean_text(own), F.lit("")), other)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import os
 import traceback
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.constants import RUN_DEFAULTS, VIDEO_EXTENSIONS
+
 SCORED = "index bigint, p_real double, p_fake double, real_logit double, fake_logit double, error string, traceback string"
 
 
@@ -89,10 +94,10 @@ def wav_extraction(run: Callable[[list[str]], tuple[int, str]], target: Callable
     return extract
 
 
-def unpacked(archives: DataFrame, extract: Callable[[str, str], int], done: Callable[[str], bool], extractor: str = "zipfile", stop: bool = False) -> DataFrame:
+def unpacked(archives: DataFrame, extract: Callable[[str, str], int], done: Callable[[str], bool], extractor: str = "zipfile", count: Callable[[str], int] | None = None) -> DataFrame:
     """archives(archive_path, output_dir) -> the manifest: status extracted, skipped (marked as done before) or failed.
 
-    An archive without a video is a failure. With `stop` the manifest is still written by the caller; use assert_unpacked."""
+    An archive without a video is a failure. `count` counts the videos of a folder that was unpacked before."""
 
     def run(frames):
         for f in frames:
@@ -100,7 +105,7 @@ def unpacked(archives: DataFrame, extract: Callable[[str, str], int], done: Call
             for a, o in zip(f["archive_path"], f["output_dir"], strict=True):
                 try:
                     if done(o):
-                        rows.append((a, o, "skipped", None, extractor, None, None))
+                        rows.append((a, o, "skipped", count(o) if count else None, extractor, None, None))
                         continue
                     n = extract(a, o)
                     if not n:
@@ -113,6 +118,48 @@ def unpacked(archives: DataFrame, extract: Callable[[str, str], int], done: Call
     return archives.select("archive_path", "output_dir").mapInPandas(run, "archive_path string, output_dir string, status string, video_count bigint, extractor string, error_type string, error string")
 
 
+#: The file that marks a folder as unpacked.
+MARKER = ".unpacked"
+
+
+def count_videos(folder: str) -> int:
+    return sum(os.path.splitext(name)[1].lower() in VIDEO_EXTENSIONS for _, _, names in os.walk(folder) for name in names)
+
+
+def is_unpacked(overwrite: bool = False) -> Callable[[str], bool]:
+    """The `done` of `unpacked`: whether the marker is there, so that a restart passes over what was unpacked."""
+    return lambda folder: not overwrite and os.path.exists(os.path.join(folder, MARKER))
+
+
+def _marked(folder: str) -> int:
+    n = count_videos(folder)
+    if n:
+        with open(os.path.join(folder, MARKER), "w", encoding="utf-8") as f:
+            f.write("ok\n")
+    return n
+
+
+def zip_extraction(archive: str, folder: str) -> int:
+    """The `extract` of `unpacked` with the standard library; the number of videos. The marker is written last."""
+    os.makedirs(folder, exist_ok=True)
+    with zipfile.ZipFile(archive) as z:
+        z.extractall(folder)
+    return _marked(folder)
+
+
+def seven_zip_extraction(run: Callable[[list[str]], tuple[int, str]], binary: str = "7z", overwrite: bool = False) -> Callable[[str, str], int]:
+    """The same with an outside program; anything but a good end is an error."""
+
+    def extract(archive: str, folder: str) -> int:
+        os.makedirs(folder, exist_ok=True)
+        code, said = run([binary, "x", "-y", "-aoa" if overwrite else "-aos", f"-o{folder}", archive])
+        if code:
+            raise RuntimeError(said)
+        return _marked(folder)
+
+    return extract
+
+
 def assert_unpacked(manifest: DataFrame) -> None:
     """Fails if an archive failed; call it after the manifest was written."""
     bad = [r[0] for r in manifest.filter("status = 'failed'").select("archive_path").orderBy("archive_path").limit(10).collect()]
@@ -120,8 +167,37 @@ def assert_unpacked(manifest: DataFrame) -> None:
         raise RuntimeError(f"archives that failed: {bad}")
 
 
-#: Back ends by name; each maps a configuration to the `load` of `scored`.
-BACKENDS: dict[str, Callable[[dict], Callable]] = {}
+def pair_scores(real_logit: float, fake_logit: float) -> dict:
+    """The two probabilities of a pair of logits, and the logits."""
+    top = max(real_logit, fake_logit)
+    r, f = math.exp(real_logit - top), math.exp(fake_logit - top)
+    return {"p_real": r / (r + f), "p_fake": f / (r + f), "real_logit": real_logit, "fake_logit": fake_logit}
+
+
+def from_logits(config: dict) -> Callable:
+    """The back end for rows that hold the logits of an earlier run, in the columns that the configuration names."""
+    real, fake = config.get("real_logit", "real_logit"), config.get("fake_logit", "fake_logit")
+    return lambda: lambda rows: [pair_scores(float(r[real]), float(r[fake])) for r in rows]
+
+
+def from_logprobs(config: dict) -> Callable:
+    """The back end for rows that hold a map of token ids to log probabilities, as text-generation servers return."""
+    real, fake, column = str(config.get("real_token_id", RUN_DEFAULTS["real_token_id"])), str(config.get("fake_token_id", RUN_DEFAULTS["fake_token_id"])), config.get("logprobs_column", "logprobs")
+
+    def score(rows):
+        out = []
+        for r in rows:
+            found = dict(r[column] or {})
+            if real not in found or fake not in found:
+                raise ValueError(f"no log probability for token {real if real not in found else fake}")
+            out.append(pair_scores(float(found[real]), float(found[fake])))
+        return out
+
+    return lambda: score
+
+
+#: Back ends by name; each maps a configuration to the `load` of `scored`. Programs that run a model register theirs here.
+BACKENDS: dict[str, Callable[[dict], Callable]] = {"logits": from_logits, "logprobs": from_logprobs}
 
 
 def backend(name: str) -> Callable[[dict], Callable]:

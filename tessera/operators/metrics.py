@@ -9,40 +9,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.constants import FAKE, LABELS, REAL
+from tessera.functions.constants import FAKE, LABELS, REAL, SUMMARY_FIELDS
 from tessera.functions.scalars import safe_div
 
 EMPTY_SOURCE = "none"
 
 
-def score_groups(df: DataFrame, positive: Column, score: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by.., score, pos, neg: rows of each class for every distinct score."""
-    y = F.when(positive, 1).otherwise(0)
-    return df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(y).cast("long").alias("pos"), (F.count("*") - F.sum(y)).cast("long").alias("neg"))
+def score_groups(df: DataFrame, positive: Column, score: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """by.., score, pos, neg: rows of each class for every distinct score. weight: how many rows a row stands for."""
+    each = F.col(weight) if weight else F.lit(1)
+    pos, every = F.sum(F.when(positive, each).otherwise(0)), F.sum(each)
+    return df.groupBy(*by, F.col(score).alias("score")).agg(pos.cast("long").alias("pos"), (every - pos).cast("long").alias("neg"))
+
+
+def cumulative(df: DataFrame, order: list[Column], values: tuple[str, ...]) -> DataFrame:
+    """With <value>_0 for each value: its sum over the rows that come before in the order.
+
+    The order is dealt by ranges, numbered by their place in it; sums inside a range and the small table of the ranges'
+    totals add up, so that no task holds all rows, nor all of a group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    totals = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    x = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"{v}_0") for v in values]).join(F.broadcast(totals), "_part")  # a row for each partition
+    for v in values:
+        x = x.withColumn(f"{v}_0", F.col(f"{v}_0") + F.col(f"_{v}"))
+    return x.drop("_part", *[f"_{v}" for v in values])
+
+
+def joined_by(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """a with the row of b for its group, null groups too; b has one row if there are no groups."""
+    if not by:
+        return a.crossJoin(F.broadcast(b))  # one row
+    other = b.select(*[F.col(c).alias(f"_of_{c}") for c in by], *[c for c in b.columns if c not in by])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return a.join(other, same).drop(*[f"_of_{c}" for c in by])
 
 
 def running(groups: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """With neg_below, tp and ct: negatives of lower scores; positives and rows of this score and higher ones."""
-    if by:
-        up = W.partitionBy(*by).orderBy("score")
-        g = groups.withColumn("neg_below", F.coalesce(F.sum("neg").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-        return g.withColumn("tp", F.sum("pos").over(down)).withColumn("ct", F.sum(F.col("pos") + F.col("neg")).over(down))
-    # Ranges of scores are numbered by their place in the order; each gets what the ranges below it hold.
-    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = groups.repartitionByRange(n, "score").withColumn("part", F.spark_partition_id())
-    totals = dealt.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
-    before, everything = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    totals = totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "pq"], *[F.sum(c).over(everything).alias(f"{c}1") for c in "pq"])
-    inside = W.partitionBy("part").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    x = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_in") for c in ("pos", "neg")]).join(F.broadcast(totals), "part")  # a row for each partition
-    below = x.withColumn("neg_below", F.col("q0") + F.col("neg_in")).withColumn("tp", F.col("p1") - F.col("p0") - F.col("pos_in"))
-    return below.withColumn("ct", F.col("tp") + F.col("q1") - F.col("neg_below")).select("score", "pos", "neg", "neg_below", "tp", "ct")
-
-
-def rank_metrics(df: DataFrame, positive: Column, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """With neg_below, tp and ct: negatives of lower scores; positives and rows of this score and higher ones, within each group.
+
+    Groups follow each other in one order of (by, score); what the groups before hold is subtracted."""
+    x = cumulative(groups, [F.col(c).asc_nulls_first() for c in by] + [F.col("score").asc_nulls_first()], ("pos", "neg"))
+    of_group = groups.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+    starts = cumulative(of_group, [F.col(c).asc_nulls_first() for c in by], ("_p", "_q")) if by else of_group.select("*", F.lit(0).alias("_p_0"), F.lit(0).alias("_q_0"))
+    x = joined_by(x, starts, by)
+    below = F.col("neg_0") - F.col("_q_0")
+    tp = F.col("_p") - (F.col("pos_0") - F.col("_p_0"))
+    return x.select(*by, "score", "pos", "neg", below.alias("neg_below"), tp.alias("tp"), (tp + F.col("_q") - below).alias("ct"))
+
+
+def rank_metrics(df: DataFrame, positive: Column, score: str, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """by.., roc_auc (tie-averaged; null with a single class), average_precision (by thresholds; null without positives)."""
-    r = running(score_groups(df, positive, score, by), by)
+    r = running(score_groups(df, positive, score, by, weight), by)
     pos, neg = F.sum("pos"), F.sum("neg")
     twice = F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg"))).cast("double")
     auc = F.try_divide(twice, (2 * pos * neg).cast("double"))
@@ -53,37 +74,38 @@ def rank_metrics(df: DataFrame, positive: Column, score: str, by: tuple[str, ...
 def rowwise_precision(df: DataFrame, positive: Column, score: str, index: str, by: tuple[str, ...] = ()) -> DataFrame:
     """by.., ap_rowwise: precision at each positive row, scores descending and ties in the order of index.
 
-    Rows are range-partitioned by (score, index); partition totals carry the prefix sums across."""
-    order = [F.desc(score), F.asc(index)]
-    y = df.withColumn("y", F.when(positive, 1).otherwise(0))
+    Rows are range-partitioned by (by, score, index); partition totals carry the prefix sums across."""
+    y = df.withColumn("y", F.when(positive, 1).otherwise(0)).withColumn("one", F.lit(1))
+    x = cumulative(y, [*[F.col(c).asc_nulls_first() for c in by], F.desc(score), F.asc(index)], ("y", "one"))
+    of_group = y.groupBy(*by).agg(F.sum("y").alias("_p"), F.sum("one").alias("_n"))
     if by:
-        w = W.partitionBy(*by).orderBy(*order)
-        z = y.withColumn("tp", F.sum("y").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("at", F.row_number().over(w))
+        x = joined_by(x, cumulative(of_group, [F.col(c).asc_nulls_first() for c in by], ("_p", "_n")), by)
     else:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dealt = y.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id())
-        t = dealt.groupBy("part").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-        before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-        t = t.select("part", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-        w = W.partitionBy("part").orderBy(*order)
-        z = dealt.withColumn("tp", F.sum("y").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("at", F.row_number().over(w)).join(F.broadcast(t), "part")  # a row for each partition
-        z = z.withColumn("tp", F.col("tp") + F.col("p0")).withColumn("at", F.col("at") + F.col("n0"))
+        x = x.withColumn("_p_0", F.lit(0)).withColumn("_n_0", F.lit(0))
+    z = x.withColumn("tp", F.col("y_0") - F.col("_p_0") + F.col("y")).withColumn("at", F.col("one_0") - F.col("_n_0") + 1)
     total = F.sum(F.col("y") * F.col("tp").cast("double") / F.col("at"))
     return z.groupBy(*by).agg(F.try_divide(total, F.sum("y").cast("double")).alias("ap_rowwise"))
 
 
-def cells(label: str = "label", pred: str = "pred") -> dict[str, Column]:
+def _many(condition: Column | None, weight: str | None) -> Column:
+    """The number of rows that fulfil a condition, as an aggregate."""
+    if weight is None:
+        return F.count("*") if condition is None else F.count(F.when(condition, 1))
+    return F.coalesce(F.sum(weight if condition is None else F.when(condition, F.col(weight))), F.lit(0)).cast("long")
+
+
+def cells(label: str = "label", pred: str = "pred", weight: str | None = None) -> dict[str, Column]:
     """tp, fn, fp, tn as aggregates; rows with other labels or predictions count nowhere."""
-    n = lambda a, b: F.count(F.when((F.col(label) == a) & (F.col(pred) == b), 1))
+    n = lambda a, b: _many((F.col(label) == a) & (F.col(pred) == b), weight)
     return {"tp": n(FAKE, FAKE), "fn": n(FAKE, REAL), "fp": n(REAL, FAKE), "tn": n(REAL, REAL)}
 
 
-def counts(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", pred: str = "pred") -> DataFrame:
+def counts(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", pred: str = "pred", weight: str | None = None) -> DataFrame:
     """by.., num_samples, num_unscored, matched, tp, fn, fp, tn."""
     legal = F.col(label).isin(*LABELS) & F.col(pred).isin(*LABELS)
     return df.groupBy(*by).agg(
-        F.count("*").alias("num_samples"), F.count(F.when(~F.coalesce(legal, F.lit(False)), 1)).alias("num_unscored"),
-        F.count(F.when(F.col(label) == F.col(pred), 1)).alias("matched"), *[c.alias(k) for k, c in cells(label, pred).items()],
+        _many(None, weight).alias("num_samples"), _many(~F.coalesce(legal, F.lit(False)), weight).alias("num_unscored"),
+        _many(F.col(label) == F.col(pred), weight).alias("matched"), *[c.alias(k) for k, c in cells(label, pred, weight).items()],
     )
 
 
@@ -93,13 +115,11 @@ def rates(c: DataFrame) -> DataFrame:
     return c.withColumn("accuracy", safe_div("matched", "num_samples")).withColumn("fake_recall", fake).withColumn("real_recall", real).withColumn("balanced_accuracy", (F.col("fake_recall") + F.col("real_recall")) / 2)
 
 
-def binary_metrics(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", pred: str = "pred", score: str = "p_fake") -> DataFrame:
+def binary_metrics(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", pred: str = "pred", score: str = "p_fake", weight: str | None = None) -> DataFrame:
     """by.., counts, rates, roc_auc, average_precision. Without groups, empty input gives a row of zeros and nulls."""
-    r = rates(counts(df, by, label, pred))
-    q = rank_metrics(df, F.col(label) == FAKE, score, by)
-    if not by:
-        return r.crossJoin(F.broadcast(q))  # both have one row
-    return r.join(q, list(by))
+    r = rates(counts(df, by, label, pred, weight))
+    q = rank_metrics(df, F.col(label) == FAKE, score, by, weight)
+    return r.join(q, list(by)) if by else joined_by(r, q, by)
 
 
 def confusion_long(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -136,14 +156,51 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "pred") -> Dat
     return c.select(F.explode(rows).alias("x")).select("x.*")
 
 
-def metrics_document(df: DataFrame, score: str = "p_fake") -> DataFrame:
-    """One row with all metrics, their aliases, the matrix and the distributions as maps."""
-    m = binary_metrics(df, score=score)
-    spread = lambda c: df.groupBy(F.col(c).alias("k")).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "count")))))
-    m = m.withColumn("confusion_matrix", F.array(F.array("tp", "fn"), F.array("fp", "tn")))
+def report_struct(c: DataFrame):
+    """The classification report of a row of counts as one struct: each label, accuracy, macro avg, weighted avg."""
+    tp, fn, fp, tn = (F.col(k) for k in ("tp", "fn", "fp", "tn"))
+    keys = ("precision", "recall", "f1-score")
+
+    def line(hit, predicted, actual):
+        p, r = safe_div(hit, predicted), safe_div(hit, actual)
+        return (p, r, safe_div(2 * p * r, p + r), actual)
+
+    fake, real, total = line(tp, tp + fp, tp + fn), line(tn, tn + fn, tn + fp), tp + fn + fp + tn
+    shown = lambda x: F.struct(*[v.alias(k) for k, v in zip(keys, x, strict=False)], x[3].cast("long").alias("support"))
+    macro = [(fake[i] + real[i]) / 2 for i in range(3)]
+    weighted = [safe_div(fake[i] * fake[3] + real[i] * real[3], total) for i in range(3)]
+    return F.struct(
+        shown(fake).alias(FAKE), shown(real).alias(REAL), safe_div(tp + tn, total).alias("accuracy"),
+        shown((*macro, total)).alias("macro avg"), shown((*weighted, total)).alias("weighted avg"),
+    )
+
+
+def metrics_document(df: DataFrame, score: str = "p_fake", weight: str | None = None) -> DataFrame:
+    """One row with all metrics, their aliases, the matrix, the report and the distributions as maps."""
+    m = binary_metrics(df, score=score, weight=weight)
+    spread = lambda c: df.groupBy(F.col(c).alias("k")).agg(_many(None, weight).alias("count")).filter("k IS NOT NULL").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "count")))))
+    m = m.withColumn("confusion_matrix", F.array(F.array("tp", "fn"), F.array("fp", "tn"))).withColumn("confusion_matrix_labels", F.array(*[F.lit(x) for x in LABELS]))
+    m = m.withColumn("classification_report", report_struct(m))
     m = m.withColumn("label_distribution", spread("label").scalar()).withColumn("prediction_distribution", spread("pred").scalar())
     source = F.when(F.col("num_samples") == 0, F.lit(EMPTY_SOURCE)).otherwise(F.lit("tessera"))
-    return m.select("*", F.col("roc_auc").alias("roc_auc_score"), F.col("average_precision").alias("ap"), F.col("average_precision").alias("map"), source.alias("metric_source"))
+    why = F.map_concat(
+        F.when(F.col("roc_auc").isNull(), F.create_map(F.lit("roc_auc"), F.lit("it needs rows of both labels"))).otherwise(F.create_map().cast("map<string,string>")),
+        F.when(F.col("average_precision").isNull(), F.create_map(F.lit("average_precision"), F.lit("it needs a row of the positive label"))).otherwise(F.create_map().cast("map<string,string>")),
+    )
+    aliases = [F.col("roc_auc").alias("roc_auc_score"), F.col("average_precision").alias("ap"), F.col("average_precision").alias("map")]
+    return m.select("*", F.col("num_samples").alias("num_predictions"), *aliases, source.alias("metric_source"), why.alias("metric_errors"))
+
+
+def run_summary(runs: DataFrame, documents: DataFrame) -> DataFrame:
+    """runs(name, dataset, status, returncode, adapter_path, jsonl, output_dir), documents(output_dir, ..metrics) -> a summary's columns.
+
+    A run without a document has null metrics."""
+    m = documents.select(F.col("output_dir").alias("_dir"), *[c for c in documents.columns if c not in runs.columns])
+    x = runs.join(m, F.col("output_dir") == F.col("_dir"), "left").drop("_dir")
+    named = {"auc": "roc_auc", "ap": "average_precision", "map": "average_precision", "num_predictions": "num_samples"}
+    pick = lambda c: next((F.col(k) for k in (c, named.get(c)) if k in x.columns), F.lit(None).cast("string"))
+    dataset = F.coalesce("dataset", F.lit("")) if "dataset" in x.columns else F.lit("")
+    return x.select(*[(dataset if c == "dataset" else pick(c)).alias(c) for c in SUMMARY_FIELDS])
 
 
 def nearest_rank(df: DataFrame, value: str, quantiles=(0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0)) -> DataFrame:

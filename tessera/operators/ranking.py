@@ -26,10 +26,15 @@ def numbered(df: DataFrame, *order, name: str = "idx") -> DataFrame:
 
 
 def average_rank(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
-    """by.., value, n, avg_rank: the mean rank of each distinct value. Values are counted first."""
+    """by.., value, n, avg_rank: the mean rank of each distinct value. Values are counted first; no task holds all of a group."""
+    from tessera.operators.metrics import cumulative, joined_by
+
+    keys = [F.col(c).asc_nulls_first() for c in by]
     g = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return g.withColumn("avg_rank", below + (F.col("n") + 1) / 2)
+    x = cumulative(g, [*keys, F.col(value).asc_nulls_first()], ("n",))
+    first = g.groupBy(*by).agg(F.sum("n").alias("_g"))
+    first = cumulative(first, keys, ("_g",)).drop("_g") if by else first.select(F.lit(0).alias("_g_0"))
+    return joined_by(x, first, by).select(*by, value, "n", (F.col("n_0") - F.col("_g_0") + (F.col("n") + 1) / 2).alias("avg_rank"))
 
 
 def round_robin(df: DataFrame, order: str, shards: int, limit: int | None = None) -> DataFrame:

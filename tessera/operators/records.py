@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import constants as K
 from tessera.functions import scalars as S
 
+EXTRACT = "extract_from_video"
+
 
 def _audios(df: DataFrame):
     many = F.col("audio_paths") if "audio_paths" in df.columns else F.lit(None).cast("array<string>")
@@ -41,9 +43,14 @@ def with_audio(records: DataFrame, root: str) -> DataFrame:
 
 
 def extraction_plan(samples: DataFrame, root: str, existing: DataFrame, dry_run: bool = False, skip: bool = False, overwrite: bool = False) -> DataFrame:
-    """samples(video_path, audio_path, handling) with target, audio_exists and to_extract."""
-    target = F.when(F.col("handling") == "paired_file", F.col("audio_path")).otherwise(S.audio_target("video_path", root))
-    x = samples.withColumn("target", target).join(existing.select(F.col("path").alias("target"), F.lit(True).alias("_there")), "target", "left")
+    """samples(video_path, audio_path, handling) with target, audio_exists and to_extract.
+
+    The target is the sample's own sound file if it names one and its handling is known, else the derived one; a
+    missing handling is extract_from_video."""
+    handling = F.coalesce("handling", F.lit(EXTRACT))
+    target = F.when(F.col("audio_path").isNotNull() & handling.isin("paired_file", EXTRACT), F.col("audio_path")).otherwise(S.audio_target("video_path", root))
+    x = samples.withColumn("handling", handling)
+    x = x.withColumn("target", target).join(existing.select(F.col("path").alias("target"), F.lit(True).alias("_there")), "target", "left")
     there = F.coalesce("_there", F.lit(False))
-    go = (F.col("handling") == "extract_from_video") & F.lit(not dry_run) & F.lit(not skip) & (F.lit(overwrite) | ~there)
+    go = (F.col("handling") == EXTRACT) & F.lit(not dry_run) & F.lit(not skip) & (F.lit(overwrite) | ~there)
     return x.withColumn("audio_exists", there).withColumn("to_extract", go).drop("_there")

@@ -42,6 +42,16 @@ def split_counts(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct(group).alias("groups"))
 
 
+def split_summary(df: DataFrame, group: str, dims: dict[str, str], unknown: str = "unknown") -> DataFrame:
+    """split, count, group_count, and for each of dims (column -> name) a map of its values' counts; null values are `unknown`."""
+    out = df.groupBy("split").agg(F.count("*").alias("count"), F.count_distinct(group).alias("group_count"))
+    for column, name in dims.items():
+        by = df.groupBy(F.col("split").alias("_split"), F.coalesce(F.col(column).cast("string"), F.lit(unknown)).alias("_value")).count()
+        by = by.groupBy("_split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_value", "count")))).alias(name))
+        out = out.join(by, F.col("split").eqNullSafe(F.col("_split"))).drop("_split")
+    return out
+
+
 def group_manifest(df: DataFrame, group: str, order: str, labels: list[str], examples: int = 5) -> DataFrame:
     """group, count, the labels of its first row, the first examples joined by commas. Each group keeps only `examples` values."""
     first = [F.min_by(c, order).alias(c) for c in labels]
@@ -53,5 +63,8 @@ def group_manifest(df: DataFrame, group: str, order: str, labels: list[str], exa
     return w.join(top.select(group, F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("examples")), group)
 
 
-def audio_handling_counts(df: DataFrame, default: str = "extract_from_video") -> DataFrame:
-    return df.groupBy(F.coalesce("audio_handling", F.lit(default)).alias("audio_handling")).agg(F.count("*").alias("n"))
+def audio_handling_counts(df: DataFrame, handling: str = "handling", default: str = "extract_from_video") -> DataFrame:
+    """audio_handling (paired_file, extract_from_video or unknown for any other), n; a missing one counts as the default."""
+    h = F.coalesce(handling, F.lit(default))
+    named = F.when(h.isin("paired_file", "extract_from_video"), h).otherwise(F.lit("unknown"))
+    return df.groupBy(named.alias("audio_handling")).agg(F.count("*").alias("n"))

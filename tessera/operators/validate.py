@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def issue_totals(found: DataFrame) -> DataFrame:
     return by.select(F.col("reason").alias("name"), "n").unionByName(totals.select(F.explode(rows).alias("x")).select("x.*"))
 
 
-def precondition_issues(spark, dataset: str, root: str, directories: list[str], wanted: tuple[str, ...]) -> DataFrame:
+def precondition_issues(spark, dataset: str, root: str, directories: list[str] | None, wanted: tuple[str, ...]) -> DataFrame:
     """Issues for a missing root or missing category directories; directories is None where the root is missing."""
-    rows = [(dataset, "", "missing_root", root, "{}")] if directories is None else [(dataset, "", "missing_category_dir", f"{root}/{c}", "{}") for c in wanted if c not in directories]
-    return spark.createDataFrame(rows, "dataset string, split string, reason string, expected_path string, metadata_json string")
+    rows = [("missing_root", root, "{}")] if directories is None else [("missing_category_dir", f"{root.rstrip('/')}/{c}", json.dumps({"category": c})) for c in wanted if c not in directories]
+    return spark.createDataFrame([(dataset, "scan", *r) for r in rows], "dataset string, split string, reason string, expected_path string, metadata_json string")

@@ -6,6 +6,8 @@ import json
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
+from tessera.functions.constants import BACKEND_DEFAULTS, RUN_DEFAULTS
+
 MODES = ("binary", "structured", "both")
 KINDS = ("a", "b", "c")
 
@@ -86,11 +88,23 @@ def join_output(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}" if "/" in root and "\\" not in root else str(Path(root) / name)
 
 
-def resolve_run(defaults: dict, run: dict, command_line: dict) -> dict:
-    """A run's own output_dir comes before the command line's output_root."""
-    out = {k: v for layer in (defaults, run, command_line) for k, v in layer.items() if v is not None}
-    for name in ("name", "jsonl"):
-        if not out.get(name):
-            raise ValueError(f"a run needs {name}")
-    out["output_dir"] = run.get("output_dir") or join_output(out.get("output_root") or "outputs", out["name"])
+def resolve_run(config: dict, run: dict, command_line: dict) -> dict:
+    """A run of an evaluation configuration: its `defaults`, then the run, then the command line, then what a back end adds.
+
+    A run's own output_dir comes before any output_root. Unknown back ends and missing fields are errors."""
+    given = lambda layer: {k: v for k, v in layer.items() if v is not None}
+    out = {**config.get("defaults", {}), **run}
+    out["eval_backend"] = str(out.get("eval_backend") or config.get("eval_backend") or "parallel").strip().lower()
+    if out["eval_backend"] not in BACKEND_DEFAULTS:
+        raise ValueError(f"unknown eval_backend {out['eval_backend']!r}; there are {sorted(BACKEND_DEFAULTS)}")
+    if "model_path" in config:
+        out.setdefault("model_path", config["model_path"])
+    root = command_line.get("output_root") or out.get("output_root") or config.get("output_root") or "outputs/batch_eval"
+    out.update({k: v for k, v in given(command_line).items() if k in ("batch_size", "max_samples", "fps", "save_every")})
+    for k, v in {**RUN_DEFAULTS, **BACKEND_DEFAULTS[out["eval_backend"]]}.items():
+        out.setdefault(k, dict(v) if isinstance(v, dict) else v)
+    out["output_dir"] = out.get("output_dir") or join_output(str(root), str(out.get("name", "unnamed_run")))
+    lost = [k for k in ("name", "model_path", "jsonl", "output_dir") if not out.get(k)]
+    if lost:
+        raise ValueError(f"a run needs {lost}")
     return out

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import scalars as S
-from tessera.operators import adapters, joins, records, splits, validate
-from tessera.operators.ranking import per_group
+from tessera.operators import adapters, joins, metrics, records, splits, stats, validate
+from tessera.operators.ranking import per_group, seeded
 from tessera.sources import listing, readers, sinks
 from tessera.plans.config import Preparation
 
 
 def corpus_a(files: DataFrame, root: str, metadata: DataFrame | None = None, max_per_class: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """A listing of category directories -> samples(video_path, meta, subject_id) and issues."""
+    """A listing of category directories -> samples(video_path, meta, subject_id) and issues.
+
+    A listing that has language, generative_method or original_split keeps them; metadata fills only what is blank."""
     parts = S.relative_parts("path", root)
     x = files.withColumn("category", F.try_element_at(parts, F.lit(1))).filter(F.col("category").isin(*K.CATEGORIES))
     good, bad = validate.routed(x, validate.listed_reason())
@@ -28,9 +32,10 @@ def corpus_a(files: DataFrame, root: str, metadata: DataFrame | None = None, max
         good = good.withColumn("row_json", F.lit(None).cast("string"))
     row = F.from_json("row_json", "map<string,string>")
     labels = S.category_labels("category")
+    own = lambda k: F.col(k).cast("string") if k in good.columns else F.lit(None).cast("string")
     meta = F.struct(
         F.lit("a").alias("dataset"), F.col("path").alias("source_path"), *[labels[k].alias(k) for k in ("overall_label", "video_label", "audio_label", "modality_type")],
-        S.first_present(row, K.LANGUAGE_KEYS).alias("language"), S.first_present(row, K.METHOD_KEYS).alias("generative_method"), S.first_present(row, K.SPLIT_KEYS).alias("original_split"), row.alias("source_metadata"),
+        *[S.filled(own(k), S.first_present(row, keys)).alias(k) for k, keys in (("language", K.LANGUAGE_KEYS), ("generative_method", K.METHOD_KEYS), ("original_split", K.SPLIT_KEYS))], row.alias("source_metadata"),
     )
     source = F.try_element_at(row, F.lit("source"))
     samples = good.select(F.col("path").alias("video_path"), meta.alias("meta"), S.subject_id(source, parts).alias("subject_id"), labels["overall_label"].alias("overall_label"), labels["modality_type"].alias("modality_type"))
@@ -39,7 +44,8 @@ def corpus_a(files: DataFrame, root: str, metadata: DataFrame | None = None, max
 
 def corpus_b(rows: DataFrame, files: DataFrame, root: str, max_per_class: int | None = None, seed: int = 42, strict_labels: bool = False) -> tuple[DataFrame, DataFrame]:
     """Metadata rows -> samples(output, video_path, meta), capped by output and label, and issues."""
-    x = rows.withColumn("path", F.when(S.clean_text("video_path") != "", S.joined(root, S.clean_text("video_path"))))
+    named = S.path_text(rows, "video_path")
+    x = rows.withColumn("path", F.when(named != "", S.joined(root, named)))
     there = files.select(F.col("path").alias("_path"), "length", "error", F.lit(True).alias("_found"))
     x = x.join(there, F.col("path") == F.col("_path"), "left").withColumn("found", F.coalesce("_found", F.lit(False)))
     good, bad = validate.routed(x, validate.referenced_reason("path"))
@@ -72,9 +78,50 @@ def corpus_c(videos: DataFrame, audios: DataFrame, root: str, probe, val_ratio:
     return splits.group_split(y.filter("handling <> 'missing_audio'"), "group_id", val_ratio, seed), missing
 
 
+def corpus_c_records(samples: DataFrame, audio_root: str, existing: DataFrame, dry_run: bool = False, skip: bool = False, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
+    """samples of corpus_c -> binary records with their sound file, and the extraction plan.
+
+    A record's sound is the sample's own file, or the one that will be extracted, whether or not it is there yet."""
+    plan = records.extraction_plan(samples, audio_root, existing, dry_run, skip, overwrite)
+    labels = [F.col(c) for c in ("overall_label", "video_label", "audio_label", "modality_type", "relative_path", "group_id", "source_modality", "generation_path", "video_source", "audio_source") if c in samples.columns]
+    x = plan.select("video_path", F.col("target").alias("audio_path"), F.struct(F.lit("c").alias("dataset"), *labels).alias("meta"), F.col("split").alias("output"))
+    return render_with(x, records.binary_records, "output"), plan.select("video_path", "target", "handling", "audio_exists", "to_extract")
+
+
+def extracted(plan: DataFrame, extract) -> DataFrame:
+    """Runs the plan's extractions: path, result, error for each video. extract(video path, target) is a side effect."""
+    pairs = plan.filter("to_extract").select(F.to_json(F.struct("video_path", "target")).alias("path"))
+
+    def work(pair: str) -> str:
+        p = json.loads(pair)
+        extract(p["video_path"], p["target"])
+        return p["target"]
+
+    done = adapters.each_path(pairs, work)
+    return done.select(F.get_json_object("path", "$.video_path").alias("path"), "result", "error")
+
+
+def prepare_c(spark: SparkSession, p: Preparation, probe, extract=None) -> DataFrame:
+    """Runs a preparation of corpus c and writes its bundle; the records, by output. extract(video path, target) may be None: then sound is only planned."""
+    samples, missing = corpus_c(listing.videos(spark, p.root), listing.audios(spark, p.root), p.root, probe, p.extra.get("val_ratio", 0.1), p.seed)
+    samples = samples.cache()
+    audio_root = p.extra.get("audio_root") or f"{p.output_dir}/audio"
+    rendered, plan = corpus_c_records(samples, audio_root, listing.audios(spark, audio_root).select("path"), p.dry_run, extract is None, p.extra.get("overwrite", False))
+    if extract is not None:
+        bad = [r["path"] for r in extracted(plan, extract).filter("error IS NOT NULL").select("path").orderBy("path").limit(10).collect()]
+        if bad:
+            raise RuntimeError(f"videos whose sound wasn't extracted: {bad}")
+    sinks.write_split(samples, missing, p.output_dir, p.preview)
+    sinks.write_csv(stats.audio_handling_counts(samples), f"{p.output_dir}/audio_handling.csv")
+    sinks.write_jsonl(rendered, f"{p.output_dir}/outputs", p.dry_run, by="output", order=F.try_element_at("videos", F.lit(1)))
+    return rendered
+
+
 def prepare(spark: SparkSession, p: Preparation, rows: DataFrame | None = None) -> DataFrame:
-    """Runs a preparation of corpus a or b and writes its bundle; the records, by output."""
+    """Runs a preparation of corpus a or b and writes its bundle; the records, by output. For corpus c see `prepare_c`."""
     files = listing.files(spark, p.root).cache()
+    there = listing.directories(spark, p.root)
+    before = validate.precondition_issues(spark, p.kind, p.root, there, tuple(K.CATEGORIES) if p.kind == "a" else ())
     modes = ("binary", "structured") if p.mode == "both" else (p.mode,)
     if p.kind == "a":
         metadata = readers.metadata_csv(spark, p.metadata) if p.metadata else None
@@ -91,14 +138,14 @@ def prepare(spark: SparkSession, p: Preparation, rows: DataFrame | None = None)
         samples, found = corpus_b(rows, files, p.root, p.max_per_class, p.seed)
         dims = ["overall_label", "language", "generative_method"]
     else:
-        raise ValueError("corpus c has a function of its own")
+        raise ValueError("corpus c is prepared by prepare_c")
     rendered = None
     for mode in modes:
         render = records.structured_records if mode == "structured" else records.binary_records
         part = samples.filter(F.startswith("output", F.lit(mode))) if p.kind == "a" else samples
         one = render_with(part, render, "output")
         rendered = one if rendered is None else rendered.unionByName(one)
-    sinks.write_preparation(files, rendered, found, p.output_dir, p.root, dims, p.dry_run, p.preview)
+    sinks.write_preparation(files, rendered, before.unionByName(found), p.output_dir, p.root, dims, p.dry_run, p.preview)
     return rendered
 
 
@@ -108,6 +155,13 @@ def render_with(samples: DataFrame, render, *kept: str) -> DataFrame:
     return x.select("messages", "videos", "audios", F.col("meta").dropFields("_kept").alias("meta"), *[F.col(f"meta._kept.{k}").alias(k) for k in kept])
 
 
+def duration_quantiles(files: DataFrame, probe, seed: int = 42, sample: int = 200) -> DataFrame:
+    """files(path) -> q, v, mean: quantiles and mean of the seconds that the probe finds in a seeded sample of files; failures don't count."""
+    picked = files.select("path").orderBy(*seeded("path", seed)).limit(sample)
+    seconds = adapters.each_path(picked, probe, "said").select(F.col("said").try_cast("double").alias("seconds"))
+    return metrics.nearest_rank(seconds, "seconds").crossJoin(F.broadcast(seconds.agg(F.mean("seconds").alias("mean"))))  # one row
+
+
 def evaluate(samples: DataFrame, load, columns: list[str], folder: str, run_name: str = "", batch: int = 8) -> None:
     """Scores samples, routes failures and writes the evaluation bundle."""
     good, bad = adapters.predictions(samples, adapters.scored(samples, load, columns, batch).cache())
@@ -121,5 +175,3 @@ def tagged_union(frames: list[DataFrame], tag: str = "parallel_worker") -> DataF
         f = f.withColumn(tag, F.coalesce(F.col(tag), F.lit(i).cast("long")) if tag in f.columns else F.lit(i).cast("long"))
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
-
-

@@ -432,13 +432,114 @@ def structured_record(spark, d):
     return x.select("doc_id", S.structured_answer(v, v, a, F.lit(None).cast("string")).alias("answer"))
 
 
-@query(f"""WITH {SCORED}, r AS (SELECT * FROM (VALUES ('run_de', 'de'), ('run_en', 'en'), ('run_xx', 'xx')) r(run_name, lang)),
-m AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE label = pred) AS hit, count(*) FILTER (WHERE label = 'Fake' AND pred = 'Fake') AS tp, count(*) FILTER (WHERE label = 'Fake' AND pred = 'Real') AS fn, count(*) FILTER (WHERE label = 'Real' AND pred = 'Fake') AS fp, count(*) FILTER (WHERE label = 'Real' AND pred = 'Real') AS tn FROM s GROUP BY lang)
-SELECT run_name, n AS num_samples, round(hit::DOUBLE / n, 9) AS accuracy, CASE WHEN n IS NOT NULL THEN '[[' || tp || ',' || fn || '],[' || fp || ',' || tn || ']]' END AS confusion_matrix FROM r LEFT JOIN m USING (lang)""")
+_MATRIX = "'[[' || tp || ',' || fn || '],[' || fp || ',' || tn || ']]'"
+
+
+@query(f"""WITH m AS ({_metrics_sql('lang')}), r AS (SELECT * FROM (VALUES ('run_de', 'de', 'completed', 0), ('run_en', 'en', 'completed', 0), ('run_xx', 'xx', 'failed', 1)) r(name, dataset, status, returncode))
+SELECT name, dataset, status, returncode, accuracy, roc_auc AS auc, average_precision AS ap, average_precision AS map, fake_recall, real_recall, num_samples AS num_predictions, num_unscored AS num_bad_samples,
+CASE WHEN num_samples IS NOT NULL THEN '["Fake","Real"]' END AS confusion_matrix_labels, {_MATRIX} AS confusion_matrix, '/a/' || dataset AS adapter_path, '/j/' || dataset || '.jsonl' AS jsonl, '/o/' || dataset AS output_dir FROM r LEFT JOIN m ON lang = dataset""")
 def batch_summary(spark, d):
-    runs = spark.createDataFrame([("run_de", "de"), ("run_en", "en"), ("run_xx", "xx")], "run_name string, lang string")
-    m = metrics.rates(metrics.counts(scored(spark, d), ("lang",))).withColumn("confusion_matrix", F.to_json(F.array(F.array("tp", "fn"), F.array("fp", "tn"))))
-    return rounded(runs.join(m, "lang", "left").select("run_name", "num_samples", "accuracy", "confusion_matrix"))
+    from tessera.sources.sinks import summary_rows
+
+    runs = spark.createDataFrame([("run_de", "de", "completed", 0), ("run_en", "en", "completed", 0), ("run_xx", "xx", "failed", 1)], "name string, dataset string, status string, returncode int")
+    runs = runs.select("*", F.concat(F.lit("/a/"), "dataset").alias("adapter_path"), F.concat(F.lit("/j/"), "dataset", F.lit(".jsonl")).alias("jsonl"), F.concat(F.lit("/o/"), "dataset").alias("output_dir"))
+    m = metrics.binary_metrics(scored(spark, d), ("lang",), score="score").withColumn("output_dir", F.concat(F.lit("/o/"), "lang")).withColumnRenamed("num_unscored", "num_bad_samples")
+    m = m.withColumn("confusion_matrix", F.array(F.array("tp", "fn"), F.array("fp", "tn"))).withColumn("confusion_matrix_labels", F.array(*[F.lit(x) for x in K.LABELS]))
+    return rounded(summary_rows(metrics.run_summary(runs, m)))
+
+
+def _spread_sql(c: str) -> str:
+    return f"(SELECT '{{{{' || string_agg('\"' || {c} || '\":' || n, ',' ORDER BY {c}) || '}}}}' FROM (SELECT {c}, count(*) AS n FROM s GROUP BY {c}))".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"""WITH {SCORED}, m AS ({_metrics_sql(None)}), f AS (SELECT *, {_div('2 * tp', '2 * tp + fp + fn')} AS ff, {_div('2 * tn', '2 * tn + fp + fn')} AS rf FROM m)
+SELECT num_samples AS num_predictions, accuracy, fake_recall, real_recall, balanced_accuracy, roc_auc, roc_auc AS roc_auc_score, average_precision, average_precision AS ap, average_precision AS map, {_MATRIX} AS confusion_matrix, '["Fake","Real"]' AS confusion_matrix_labels,
+{_spread_sql('label')} AS label_distribution, {_spread_sql('pred')} AS prediction_distribution, round(ff, 9) AS fake_f1, round((ff + rf) / 2, 9) AS macro_f1, round((ff * (tp + fn) + rf * (fp + tn)) / num_samples, 9) AS weighted_f1, CAST(num_samples AS BIGINT) AS support, '{{}}' AS metric_errors FROM f""")
+def metrics_document(spark, d):
+    x = metrics.metrics_document(scored(spark, d), score="score")
+    report, told = (lambda a, b: F.col("classification_report")[a][b]), ("confusion_matrix", "confusion_matrix_labels", "label_distribution", "prediction_distribution", "metric_errors")
+    plain = ("num_predictions", "accuracy", "fake_recall", "real_recall", "balanced_accuracy", "roc_auc", "roc_auc_score", "average_precision", "ap", "map")
+    f1 = [report("Fake", "f1-score").alias("fake_f1"), report("macro avg", "f1-score").alias("macro_f1"), report("weighted avg", "f1-score").alias("weighted_f1"), report("weighted avg", "support").alias("support")]
+    return rounded(x.select(*plain, *[F.to_json(c).alias(c) for c in told], *f1))
+
+
+_C_SQL = f"""{_TREE_SQL}, c AS (SELECT path, min(page_id) AS id, min(modality) AS modality, min(generation_path) AS generation_path FROM g GROUP BY path),
+k AS (SELECT *, CASE id % 3 WHEN 0 THEN 'paired_file' WHEN 1 THEN 'extract_from_video' END AS given, CASE WHEN id % 3 = 0 THEN '/au/' || id || '.wav' END AS own, CASE WHEN id % 4 = 0 THEN 'val' ELSE 'train' END AS split FROM c),
+z AS (SELECT *, coalesce(given, 'extract_from_video') AS handling, coalesce(own, '/out' || replace(path, '.mp4', '.wav')) AS target,
+  CASE modality WHEN 'real_real' THEN 'Real' ELSE 'Fake' END AS overall, CASE modality WHEN 'real_real' THEN 'R-R' WHEN 'real_fake' THEN 'R-F' WHEN 'fake_real' THEN 'F-R' ELSE 'F-F' END AS kind FROM k)"""
+
+
+def _samples_c(spark, d) -> DataFrame:
+    x = _tree(spark, d).groupBy("path").agg(F.min("page_id").alias("id"), F.min("modality").alias("modality"))
+    labels = S.category_labels("modality")
+    handling = F.when(F.col("id") % 3 == 0, "paired_file").when(F.col("id") % 3 == 1, "extract_from_video")
+    own = F.when(F.col("id") % 3 == 0, F.concat(F.lit("/au/"), F.col("id").cast("string"), F.lit(".wav")))
+    return x.select(F.col("path").alias("video_path"), "id", handling.alias("handling"), own.alias("audio_path"), F.when(F.col("id") % 4 == 0, "val").otherwise("train").alias("split"), *[labels[k].alias(k) for k in ("overall_label", "video_label", "audio_label", "modality_type")])
+
+
+def _records_c(spark, d) -> tuple[DataFrame, DataFrame]:
+    x = _samples_c(spark, d)
+    there = x.filter("id % 2 = 0").select(S.audio_target("video_path", "/out").alias("path"))
+    return pipelines.corpus_c_records(x, "/out", there)
+
+
+@query(f"""WITH {_C_SQL} SELECT path AS video, target AS audio, {_q(K.BINARY_AUDIO_PROMPT)} AS prompt, overall AS answer, split AS output, kind AS modality_type FROM z""")
+def corpus_c_record(spark, d):
+    r, _ = _records_c(spark, d)
+    said = lambda i: F.col("messages")[i]["content"]
+    return r.select(F.col("videos")[0].alias("video"), F.col("audios")[0].alias("audio"), said(1).alias("prompt"), said(2).alias("answer"), "output", "meta.modality_type")
+
+
+@query(f"""WITH {_C_SQL}, e AS (SELECT *, id % 2 = 0 AND own IS NULL AS audio_exists FROM z) SELECT path AS video_path, target, handling, audio_exists, handling = 'extract_from_video' AND NOT audio_exists AS to_extract FROM e""")
+def extraction_plan(spark, d):
+    return _records_c(spark, d)[1]
+
+
+@query(f"WITH {_C_SQL} SELECT handling AS audio_handling, count(*) AS n FROM z GROUP BY handling")
+def audio_handling(spark, d):
+    return stats.audio_handling_counts(_samples_c(spark, d))
+
+
+def _map_sql(c: str) -> str:
+    return f"(SELECT '{{' || string_agg('\"' || v || '\":' || n, ',' ORDER BY v) || '}}' FROM (SELECT split AS s, coalesce({c}, 'unknown') AS v, count(*) AS n FROM z GROUP BY 1, 2) WHERE s = z.split)"
+
+
+@query(f"""WITH {_C_SQL} SELECT split, count(*) AS count, count(DISTINCT modality) AS group_count, {_map_sql('overall')} AS labels, {_map_sql('kind')} AS modalities, {_map_sql('given')} AS handlings FROM z GROUP BY split""")
+def split_summary(spark, d):
+    x = stats.split_summary(_samples_c(spark, d).withColumn("g", F.col("modality_type")), "g", {"overall_label": "labels", "modality_type": "modalities", "handling": "handlings"})
+    return x.select("split", "count", "group_count", *[F.to_json(c).alias(c) for c in ("labels", "modalities", "handlings")])
+
+
+def _new_folder(spark) -> str:
+    """Below spark.checkpoint.dir; only where that is unset, as on a single machine, a temporary folder."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
+    return f"{root}/tessera-files-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents")
+def metadata_rows(spark, d):
+    """Metadata written as CSV and read back as maps of text."""
+    from tessera.sources import readers, sinks
+
+    path = _new_folder(spark)
+    sinks.write_csv(table(spark, d, "documents").select("doc_id", "lang", "source"), path)
+    return readers.metadata_csv(spark, path).select(*[F.col("row")[c].alias(c) for c in ("doc_id", "lang", "source")])
+
+
+@query("""WITH v AS (SELECT conv_id, '/v/' || conv_id || '.mp4' AS video_path, CASE WHEN conv_id % 2 = 0 THEN '/v/' || conv_id || '.wav' END AS audio_path, CASE WHEN quality = 0 THEN 'Fake' ELSE 'Real' END AS label FROM conversations LEFT JOIN labels ON conv_id = doc_id WHERE turn = 0)
+SELECT row_number() OVER (ORDER BY video_path) - 1 AS index, row_number() OVER (ORDER BY video_path) AS line_number, video_path, audio_path, label, CAST(conv_id AS VARCHAR) AS conv_id FROM v""")
+def eval_records(spark, d):
+    """Records written as JSON lines, in the order of their paths, and read back as evaluation samples."""
+    from tessera.sources import readers, sinks
+
+    path = _new_folder(spark)
+    sinks.write_jsonl(records.binary_records(_samples(spark, d)), path, order=F.col("videos")[0])
+    return readers.eval_jsonl(spark, path).select("index", "line_number", "video_path", F.try_element_at("audio_paths", F.lit(1)).alias("audio_path"), "label", F.col("meta")["conv_id"].alias("conv_id"))
+
+
+@query("SELECT '/v/' || conv_id || '.mp4' AS video, '/au/v/' || conv_id || '.wav' AS audio FROM conversations WHERE turn = 0")
+def augmented_record(spark, d):
+    return records.with_audio(records.binary_records(_samples(spark, d)), "/au").select(F.col("videos")[0].alias("video"), F.col("audios")[0].alias("audio"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'ValueError: bad row' END AS error, CASE WHEN doc_id % 10 = 0 THEN NULL WHEN n_chars % 100 >= 50 THEN 'Fake' ELSE 'Real' END AS pred FROM documents""")
@@ -460,10 +561,10 @@ def scorer_retry(spark, d):
 
 @query()
 def media_listing(spark, d):
-    """A small tree with hidden, empty and foreign files, listed by the data source on the machine that runs it."""
+    """A small tree with hidden, empty and foreign files in the shared folder, listed by the data source."""
     from tessera.sources import listing
 
-    root = os.path.join(tempfile.gettempdir(), "tessera-media")
+    root = _new_folder(spark).removeprefix("file://")
     for name, size in (("a/x.mp4", 5), ("a/.hidden.mp4", 3), ("a/empty.webm", 0), ("b/c/_y.MP4", 2), ("b/note.txt", 1), ("__MACOSX/._x.mp4", 4), ("top.mkv", 7)):
         path = os.path.join(root, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -476,19 +577,16 @@ def media_listing(spark, d):
 @query(_metrics_sql(None).replace("SELECT  num_samples, num_unscored, matched, tp, fn, fp, tn, round(acc, 9) AS accuracy, round(fr, 9) AS fake_recall, round(rr, 9) AS real_recall,\n       round((fr + rr) / 2, 9) AS balanced_accuracy, ", "SELECT num_samples, round(acc, 9) AS accuracy, "))
 def snapshot_stream(spark, d):
     """The same metrics, after a stream has read the scored rows trigger by trigger."""
-    from tessera.streaming.snapshot import watch
+    from tessera.streaming.snapshot import latest, watch
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    base = f"{root}/tessera-stream-{uuid.uuid4().hex}"
+    base = _new_folder(spark)
     x = scored(spark, d).withColumnRenamed("score", "p_fake").select("label", "pred", "p_fake")
     x.repartition(3).write.parquet(f"{base}/source")
     seen: list[int] = []
     watch(spark, f"{base}/source", x.schema, f"{base}/table", f"{base}/checkpoint", lambda m, i: seen.append(i)).awaitTermination()
-    m = metrics.binary_metrics(spark.read.parquet(f"{base}/table"))
+    m = metrics.binary_metrics(latest(spark, f"{base}/table"), weight="n")
     return rounded(m.select("num_samples", "accuracy", "roc_auc", "average_precision"))
 
 
 def flagship(spark: SparkSession, d: str = "/root/testdata/sf0.001") -> DataFrame:
     return binary_metrics(spark, d)
-
-

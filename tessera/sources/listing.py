@@ -82,3 +82,10 @@ def archives(spark: SparkSession, root: str) -> DataFrame:
 
 def count_videos(spark: SparkSession, root: str) -> DataFrame:
     return files(spark, root).filter(is_video("name")).agg(F.count("*").alias("n"))
+
+
+def directories(spark: SparkSession, root: str) -> list[str] | None:
+    """The names of the directories right below root, empty ones too; None if root isn't there. Asked of Hadoop's file system, by the driver."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else None

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import html
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import SUMMARY_FIELDS
@@ -15,18 +14,35 @@ from tessera.operators import stats
 from tessera.operators.ranking import per_group
 
 
-def write_jsonl(df: DataFrame, path: str, dry_run: bool = False, by: str | None = None) -> None:
-    """JSON lines in the order of columns, text as it is, null fields left out; a folder for each value of `by`."""
+def write_jsonl(df: DataFrame, path: str, dry_run: bool = False, by: str | None = None, order=None) -> None:
+    """JSON lines in the order of columns, text as it is, null fields left out; a folder for each value of `by`.
+
+    With `order` the lines are sorted by it over all files, in each folder."""
     if not dry_run:
+        if order is not None:
+            keys = [by, order] if by else [order]
+            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
         w = df.write.mode("overwrite")
         (w.partitionBy(by) if by else w).json(path)
 
 
-def write_json(one: DataFrame, path: str, sort: bool = False) -> None:
-    """A frame of one row as indented JSON, on the driver."""
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written by the driver through Hadoop's file system, so that any scheme will do."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def write_json(one: DataFrame, path: str, sort: bool = False) -> dict:
+    """A frame of one row as indented JSON; the row as a dictionary."""
     rows = one.limit(1).collect()
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(rows[0].asDict(True) if rows else {}, ensure_ascii=False, indent=2, sort_keys=sort, default=str) + "\n", encoding="utf-8")
+    row = rows[0].asDict(True) if rows else {}
+    write_text(one.sparkSession, path, json.dumps(row, ensure_ascii=False, indent=2, sort_keys=sort, default=str) + "\n")
+    return row
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -44,6 +60,7 @@ def write_shards(numbered_lines: DataFrame, path: str) -> None:
 
 def summary_rows(df: DataFrame) -> DataFrame:
     """The columns of a batch summary; arrays and maps as JSON."""
+
     def shown(c: str):
         if c not in df.columns:
             return F.lit(None).cast("string").alias(c)
@@ -54,8 +71,10 @@ def summary_rows(df: DataFrame) -> DataFrame:
 
 
 def write_summary(df: DataFrame, folder: str) -> None:
+    """summary.json, a list with an entry for each run of the configuration, and summary.csv."""
+    rows = [r.asDict(True) for r in df.select(*[c for c in SUMMARY_FIELDS if c in df.columns]).collect()]  # a row for each run
+    write_text(df.sparkSession, f"{folder}/summary.json", json.dumps(rows, ensure_ascii=False, indent=2, default=str) + "\n")
     write_csv(summary_rows(df), f"{folder}/summary.csv")
-    write_jsonl(df, f"{folder}/summary.json")
 
 
 def confusion_rows(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
@@ -73,10 +92,14 @@ def percent_text(v) -> str:
     return "N/A" if v is None else f"{v * 100:.2f}%"
 
 
+def decimal_text(v) -> str:
+    return "N/A" if v is None else f"{v:.4f}"
+
+
 def summary_html(document: dict) -> str:
-    """A page with the rates and the matrix of a metrics document."""
-    rates = ("accuracy", "fake_recall", "real_recall", "balanced_accuracy", "roc_auc", "average_precision")
-    rows = "".join(f"<tr><th>{html.escape(k)}</th><td>{percent_text(document.get(k))}</td></tr>" for k in rates)
+    """A page with the rates, in percent, the two ranking metrics, with four decimals, and the matrix of a metrics document."""
+    shown = {**dict.fromkeys(("accuracy", "fake_recall", "real_recall", "balanced_accuracy"), percent_text), "roc_auc": decimal_text, "average_precision": decimal_text}
+    rows = "".join(f"<tr><th>{html.escape(k)}</th><td>{text(document.get(k))}</td></tr>" for k, text in shown.items())
     matrix = "".join("<tr><th>" + name + "</th>" + "".join(f"<td>{n}</td>" for n in line) + "</tr>" for name, line in zip(("Fake", "Real"), document.get("confusion_matrix") or [[0, 0], [0, 0]], strict=True))
     title = html.escape(str(document.get("run_name") or "evaluation"))
     return f"<!doctype html><meta charset='utf-8'><title>{title}</title><h1>{title}</h1><p>{document.get('num_samples', 0)} samples</p><table>{rows}</table><table><tr><th></th><th>Fake</th><th>Real</th></tr>{matrix}</table>\n"
@@ -87,16 +110,16 @@ def write_evaluation(predictions: DataFrame, bad: DataFrame, folder: str, run_na
     write_jsonl(predictions, f"{folder}/predictions.jsonl")
     write_jsonl(bad, f"{folder}/bad_samples.jsonl")
     document = M.metrics_document(predictions).withColumn("num_bad_samples", bad.agg(F.count("*")).scalar()).withColumn("run_name", F.lit(run_name))
-    write_json(document, f"{folder}/metrics.json")
+    row = write_json(document, f"{folder}/metrics.json")
     write_csv(confusion_rows(predictions), f"{folder}/confusion_matrix.csv")
     write_csv(score_rows(predictions), f"{folder}/scores.csv")
     write_csv(M.histogram(predictions, "p_fake"), f"{folder}/score_histogram.csv")
-    Path(f"{folder}/summary.html").write_text(summary_html(json.loads(Path(f"{folder}/metrics.json").read_text())), encoding="utf-8")
+    write_text(predictions.sparkSession, f"{folder}/summary.html", summary_html(row))
 
 
 def write_preparation(listing: DataFrame, records: DataFrame, found: DataFrame, folder: str, root: str, dims: list[str], dry_run: bool = False, preview: int = 20) -> None:
     """Outputs (unless it is a dry run), scan summary, statistics, issues and previews (always)."""
-    write_jsonl(records, f"{folder}/outputs", dry_run, by="output")
+    write_jsonl(records, f"{folder}/outputs", dry_run, by="output", order=F.try_element_at("videos", F.lit(1)))
     write_json(stats.scan_summary(listing, root), f"{folder}/scan_summary.json", sort=True)
     flat = records.select("output", *[F.col(f"meta.{d}").alias(d) for d in dims])
     write_csv(stats.output_stats(flat, "output", dims), f"{folder}/dataset_stats.csv")
@@ -107,9 +130,10 @@ def write_preparation(listing: DataFrame, records: DataFrame, found: DataFrame,
 
 def write_split(samples: DataFrame, missing: DataFrame, folder: str, preview: int = 20) -> None:
     """Indexes by split and as a whole, missing sound, group manifest, counts and a preview."""
-    write_jsonl(samples, f"{folder}/index", by="split")
-    write_jsonl(samples, f"{folder}/all")
-    write_jsonl(missing, f"{folder}/missing_audio")
+    write_jsonl(samples, f"{folder}/index", by="split", order="video_path")
+    write_jsonl(samples, f"{folder}/all", order="video_path")
+    write_jsonl(missing, f"{folder}/missing_audio", order="video_path")
     write_jsonl(stats.group_manifest(samples, "group_id", "video_path", ["overall_label", "modality_type"]), f"{folder}/groups")
-    write_csv(stats.split_counts(samples, "group_id"), f"{folder}/split_stats")
+    dims = {"overall_label": "label_distribution", "modality_type": "modality_type_distribution", "handling": "audio_handling_distribution"}
+    write_jsonl(stats.split_summary(samples, "group_id", {k: v for k, v in dims.items() if k in samples.columns}), f"{folder}/split_stats")
     write_jsonl(samples.orderBy("video_path").limit(preview), f"{folder}/preview")

@@ -1,22 +1,49 @@
-"""Metrics of a growing folder of predictions: each trigger adds its rows to a table, and the same functions run over it."""
+"""Metrics of a growing folder of predictions: a trigger adds its counts to those so far, and the same functions run over them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.operators.metrics import metrics_document
 
 
+def _states(spark: SparkSession, table: str) -> list[int]:
+    """The numbers of the triggers whose counts are there, whole."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    names = [x.getPath() for x in fs.listStatus(p) if x.getPath().getName().startswith("state=")]
+    return sorted(int(x.getName()[6:]) for x in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
+def latest(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """label, pred, p_fake, n: the counts after the last trigger (below `before`); None if there are none."""
+    known = [i for i in _states(spark, table) if before is None or i < before]
+    return spark.read.parquet(f"{table}/state={known[-1]}") if known else None
+
+
 def watch(spark: SparkSession, source: str, schema: StructType | str, table: str, checkpoint: str, on_snapshot, fmt: str = "parquet", files_per_trigger: int = 1):
     """Starts a query that reads what is there and ends; on_snapshot(metrics, batch id) is called after each trigger.
 
-    A restart goes on where the checkpoint ended. Rows of a trigger are written under its id, so a trigger that is
-    repeated replaces them."""
+    Rows are kept as counts of (label, pred, p_fake), so that a trigger works on distinct scores, not on all history. A
+    restart goes on where the checkpoint ended; the counts after a trigger are written under its id from those before it,
+    so a trigger that is repeated replaces them."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(source)
+    key = ("label", "pred", "p_fake")
 
     def trigger(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/trigger={batch_id}")
-        on_snapshot(metrics_document(spark.read.parquet(table)), batch_id)
+        spark = batch.sparkSession
+        now, so_far = batch.groupBy(*key).agg(F.count("*").alias("n")), latest(spark, table, batch_id)
+        if so_far is not None:
+            now = now.unionByName(so_far).groupBy(*key).agg(F.sum("n").alias("n"))
+        now.write.mode("overwrite").parquet(f"{table}/state={batch_id}")
+        on_snapshot(metrics_document(spark.read.parquet(f"{table}/state={batch_id}"), weight="n"), batch_id)
+        for old in _states(spark, table):
+            if old < batch_id - 1:  # the one before stays, as this trigger may be repeated
+                p = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/state={old}")
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
     return stream.writeStream.foreachBatch(trigger).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,7 +4,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import adapters, joins, records, validate
+from tessera.functions import constants as K
+from tessera.functions import scalars as S
+from tessera.operators import adapters, joins, metrics, records, validate
 from tessera.plans import config, pipelines
 from tessera.sources import listing, readers, sinks
 
@@ -153,14 +155,117 @@ def test_archives(spark):
         adapters.assert_unpacked(adapters.unpacked(a, extract, lambda o: False))
 
 
+def test_zip_archives(spark, tmp_path):
+    import zipfile
+
+    for name, inner in (("good", "v/a.MP4"), ("none", "readme.txt")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr(inner, "x")
+    (tmp_path / "bad.zip").write_text("no archive")
+    a = spark.createDataFrame([(str(tmp_path / f"{n}.zip"), str(tmp_path / "out" / n)) for n in ("good", "none", "bad")], "archive_path string, output_dir string")
+    run = lambda: {os.path.basename(r["output_dir"]): r for r in adapters.unpacked(a, adapters.zip_extraction, adapters.is_unpacked(), count=adapters.count_videos).collect()}
+    first, again = run(), run()
+    assert [first[k]["status"] for k in ("good", "none", "bad")] == ["extracted", "failed", "failed"] and first["bad"]["error_type"] == "BadZipFile"
+    assert [again[k]["status"] for k in ("good", "none", "bad")] == ["skipped", "failed", "failed"] and again["good"]["video_count"] == 1
+    calls = []
+    extract = adapters.seven_zip_extraction(lambda c: (calls.append(c), (2, "broken"))[1])
+    with pytest.raises(RuntimeError, match="broken"):
+        extract("x.zip", str(tmp_path / "o"))
+    assert calls[0][:4] == ["7z", "x", "-y", "-aos"]
+
+
+def test_back_ends(spark):
+    df = spark.createDataFrame([(0, {"12768": -0.2, "52317": -1.3}), (1, {"12768": -2.0, "52317": -0.1}), (2, {"7": -1.0})], "index long, logprobs map<string,double>")
+    got = {r["index"]: r for r in adapters.scored(df, adapters.backend("logprobs")({}), ["logprobs"]).collect()}
+    assert got[0]["p_real"] > 0.7 and got[1]["p_fake"] > 0.8 and "52317" in got[2]["error"] or "12768" in got[2]["error"]
+    logits = spark.createDataFrame([(0, 1.0, 1.0)], "index long, real_logit double, fake_logit double")
+    assert adapters.scored(logits, adapters.backend("logits")({}), ["real_logit", "fake_logit"]).first()["p_fake"] == 0.5
+    with pytest.raises(ValueError):
+        adapters.backend("none")
+
+
+def test_summary_and_metrics_files(spark, tmp_path):
+    document = {"num_predictions": 10, "num_bad_samples": 1, "accuracy": 0.7, "roc_auc": 0.8, "average_precision": 0.75, "fake_recall": 0.6, "real_recall": 0.9, "confusion_matrix_labels": ["Fake", "Real"], "confusion_matrix": [[3, 2], [1, 4]]}
+    sinks.write_text(spark, str(tmp_path / "r1/metrics.json"), json.dumps(document))
+    runs = spark.createDataFrame([("one", "A", "completed", 0, "/c/1", "/d/e.jsonl", str(tmp_path / "r1")), ("two", None, "failed", 1, None, "/d/f.jsonl", str(tmp_path / "r2"))], "name string, dataset string, status string, returncode int, adapter_path string, jsonl string, output_dir string")
+    schema = "num_predictions long, num_bad_samples long, accuracy double, roc_auc double, average_precision double, fake_recall double, real_recall double, confusion_matrix_labels array<string>, confusion_matrix array<array<long>>"
+    found = readers.metrics_of_runs(spark, runs.select("output_dir"), schema)
+    rows = metrics.run_summary(runs, found)
+    assert tuple(rows.columns) == K.SUMMARY_FIELDS
+    sinks.write_summary(rows, str(tmp_path / "s"))
+    one, two = sorted(json.load(open(tmp_path / "s/summary.json")), key=lambda r: r["name"])
+    assert (one["status"], one["accuracy"], one["auc"], one["ap"], one["map"], one["confusion_matrix"], one["dataset"]) == ("completed", 0.7, 0.8, 0.75, 0.75, [[3, 2], [1, 4]], "A")
+    assert two["auc"] is None and two["dataset"] == "" and two["returncode"] == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "s/summary.csv")).count() == 2
+    page = sinks.summary_html({"roc_auc": 0.51239, "accuracy": 0.5, "average_precision": None})
+    assert "0.5124" in page and "50.00%" in page and "N/A" in page
+
+
+def test_corpus_c_preparation(spark, tmp_path):
+    root = str(tmp_path / "c")
+    for n in ("real_real/s/talk.mp4", "real_real/s/talk.wav", "fake_real/s/q.mp4", "real_fake/s/silent.mp4"):
+        put(root, n)
+    extract = lambda video, target: put(os.path.dirname(target), os.path.basename(target))
+    p = config.resolve({"kind": "c"}, {"root": root}, {"output_dir": str(tmp_path / "o")})
+    r = {os.path.basename(x["videos"][0]): x for x in pipelines.prepare_c(spark, p, lambda path: str("silent" not in path).lower(), extract).collect()}
+    assert set(r) == {"talk.mp4", "q.mp4"} and r["talk.mp4"]["audios"] == [f"{root}/real_real/s/talk.wav"] and "<audio>" in r["q.mp4"]["messages"][1]["content"]
+    assert os.path.exists(r["q.mp4"]["audios"][0]) and r["q.mp4"]["messages"][2]["content"] == "Fake" and r["q.mp4"]["meta"]["modality_type"] == "F-R"
+    counts = {x["audio_handling"]: x["n"] for x in spark.read.option("header", True).csv(f"{p.output_dir}/audio_handling.csv").collect()}
+    assert counts == {"paired_file": "1", "extract_from_video": "1"} and spark.read.json(f"{p.output_dir}/missing_audio").count() == 1
+    with pytest.raises(RuntimeError, match="extracted"):
+        pipelines.prepare_c(spark, config.resolve({"kind": "c", "overwrite": True}, {"root": root}, {"output_dir": str(tmp_path / "o")}), lambda path: "true", lambda v, t: 1 / 0)
+
+
+def test_preconditions(spark, corpus, tmp_path):
+    os.makedirs(f"{corpus}/empty-dir")
+    assert listing.directories(spark, corpus + "/none") is None and "empty-dir" in listing.directories(spark, corpus)
+    os.rename(f"{corpus}/FakeVideo-FakeAudio", f"{corpus}/other")
+    for root, want in ((corpus, [("missing_category_dir", f"{corpus}/FakeVideo-FakeAudio")]), (corpus + "/none", [("missing_root", corpus + "/none")])):
+        got = validate.precondition_issues(spark, "a", root, listing.directories(spark, root), tuple(K.CATEGORIES))
+        assert [(r["reason"], r["expected_path"]) for r in got.collect()] == want
+    out = str(tmp_path / "out")
+    pipelines.prepare(spark, config.resolve({"kind": "a"}, {"root": corpus}, {"output_dir": out}))
+    assert "missing_category_dir" in {r["reason"] for r in spark.read.option("header", True).csv(f"{out}/missing_or_invalid.csv").collect()}
+
+
+def test_corpus_b_takes_paths_from_structs(spark, tmp_path):
+    root = str(tmp_path / "b")
+    for n in "xyz":
+        put(root, f"{n}.mp4")
+    rows = [(("x.mp4", "no"),), ((None, "y.mp4"),), ((" ", f"{root}/z.mp4"),), ((None, None),), (None,)]
+    df = spark.createDataFrame(rows, "video_path struct<path:string,filename:string>").withColumns({"label": F.lit("real"), "split": F.lit("train"), "language": F.lit("en"), "open_set_model": F.lit("0"), "open_set_language": F.lit("0")})
+    samples, issues = pipelines.corpus_b(df, listing.files(spark, root), root)
+    assert {os.path.basename(r["video_path"]) for r in samples.collect()} == {"x.mp4", "y.mp4", "z.mp4"}
+    assert [r["reason"] for r in issues.collect()] == ["missing_video_path_field"] * 2
+
+
+def test_metadata_fills_only_blanks(spark):
+    df = spark.createDataFrame([("fr", "en"), (" ", "en"), (None, None)], "own string, found string")
+    assert [r[0] for r in df.select(S.filled(F.col("own"), F.col("found"))).collect()] == ["fr", "en", None]
+
+
+def test_durations(spark):
+    files = spark.createDataFrame([(f"/v/{i}.mp4",) for i in range(9)], "path string")
+    got = pipelines.duration_quantiles(files, lambda p: "broken" if p == "/v/0.mp4" else os.path.basename(p)[0] + ".5").collect()
+    assert {r["q"]: r["v"] for r in got}[0.0] == 1.5 and {r["q"]: r["v"] for r in got}[1.0] == 8.5 and got[0]["mean"] == 5.0
+
+
 def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("runs:\n- {name: a, jsonl: x, output_dir: /own}\n- {name: b, jsonl: y}\n")
     runs = config.load_runs(str(tmp_path / "c.yaml"))["runs"]
     assert [r["name"] for r in config.selected(runs, "b,b  ")] == ["b"] and len(config.selected(runs, None)) == 2
     with pytest.raises(ValueError):
         config.selected(runs, ["zzz"])
-    assert config.resolve_run({"output_root": "/d"}, runs[0], {"output_root": "/cli"})["output_dir"] == "/own"
-    assert config.resolve_run({"output_root": "/d"}, runs[1], {"output_root": "/cli"})["output_dir"] == "/cli/b"
+    whole = {"output_root": "/d", "model_path": "m", "defaults": {"fps": 2.0, "batch_size": 4}}
+    assert config.resolve_run(whole, runs[0], {"output_root": "/cli"})["output_dir"] == "/own"
+    r = config.resolve_run(whole, runs[1], {"output_root": "/cli", "batch_size": 9, "fps": None})
+    assert (r["output_dir"], r["batch_size"], r["fps"], r["eval_backend"], r["gpus"], r["model_path"], r["fake_token_id"]) == ("/cli/b", 9, 2.0, "parallel", "0,1", "m", 52317)
+    assert config.resolve_run(whole, {**runs[1], "eval_backend": " VLLM "}, {})["mm_format"] == "omni_av"
+    for bad in ({"eval_backend": "x"}, {"name": ""}, {"jsonl": None}):
+        with pytest.raises(ValueError):
+            config.resolve_run(whole, {**runs[1], **bad}, {})
+    with pytest.raises(ValueError, match="model_path"):
+        config.resolve_run({}, runs[1], {})
     (tmp_path / "l.json").write_text("[1]")
     with pytest.raises(ValueError):
         config.load_config(str(tmp_path / "l.json"))
