@@ -89,11 +89,14 @@ def _with_company(post: DataFrame) -> DataFrame:
 
 
 def _with_earlier_match(posts: DataFrame, sets: DataFrame) -> DataFrame:
-    """posts(token, sid, n, left, rest), sets(sid, place, tokens) -> sid of the sets that an earlier one matches."""
-    full = posts.join(sets, "sid")
+    """posts(token, sid, n, left, rest), sets(sid, place, tokens) -> sid of the sets that an earlier one matches.
+
+    Both sides need the same columns, so that one shuffle serves both."""
+    sets = sets.withColumnRenamed("sid", "of_sid")
+    full = posts.join(sets, F.col("sid") == F.col("of_sid")).select("token", "sid", "n", "left", "rest", "place", "tokens")
     x, y = full.alias("x"), full.alias("y")
     shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    match = (F.col("y.place") < F.col("x.place")) & possible("x.", "y.") & (7 * shared >= 3 * (F.col("x.n") + F.col("y.n")))
+    match = (F.col("x.sid") != F.col("y.sid")) & (F.col("y.place") < F.col("x.place")) & possible("x.", "y.") & (7 * shared >= 3 * (F.col("x.n") + F.col("y.n")))
     return x.join(y, (F.col("x.token") == F.col("y.token")) & match, "left_semi").select("sid").distinct()
 
 
