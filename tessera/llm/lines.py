@@ -45,7 +45,7 @@ def _lines(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     d = d.withColumn("odd", odd).select("doc_id", "rid", "odd", F.posexplode(F.split("low", "\n", -1)).alias("pos", "line"))
     if only is not None:
         d = d.join(only, (F.col("rid") == F.col("want_rid")) & (F.col("pos") == F.col("want_pos")), "left_semi")
-    return d.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return d.filter(F.when(F.col("odd"), F.col("line").rlike(r"[^\x20\x09-\x0D]")).otherwise(F.trim("line") != ""))
 
 
 def _tokens(lines: DataFrame) -> DataFrame:
@@ -63,21 +63,21 @@ def _tokens(lines: DataFrame) -> DataFrame:
     return d.select("rid", "doc_id", "pos", tokens.alias("tokens"))
 
 
-def _levels(tokens: DataFrame) -> bytearray:
+def _levels(tokens: DataFrame) -> list[int]:
     """A level from 0 (rare) to 7 for each of BUCKETS counters, from all lines; BUCKETS rows reach the driver."""
     rows = tokens.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().collect()
     counts = sorted(r["count"] for r in rows)
     usual = counts[len(counts) // 2] if len(counts) == BUCKETS else 0
-    out = bytearray(BUCKETS)
+    out = [0] * BUCKETS
     for r in rows:
         out[r["b"]] = min(7, (max(1, r["count"] - usual).bit_length() - 1) // 3)
     return out
 
 
-def _keys(levels: bytearray):
-    """The n-grams in the global order, as integers."""
-    level = lambda t: F.ascii(F.substr(F.lit(levels), t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    return F.sort_array(F.transform("tokens", lambda t: F.shiftleft(level(t), HASH_BITS).bitwiseOR(t)))
+def _keys(levels: list[int]):
+    """The n-grams in the global order, as integers. The levels, in their place among the bits, are a constant array."""
+    high = F.split(F.lit(",".join(str(x << HASH_BITS) for x in levels)), ",").cast("array<bigint>")
+    return F.sort_array(F.transform("tokens", lambda t: F.get(high, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(t)))
 
 
 def _with_company(post: DataFrame) -> DataFrame:
