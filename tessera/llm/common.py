@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -53,8 +54,10 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets go of the rest
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def tidied() -> None:

@@ -371,7 +371,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scanned = stored(_scan(d), folder, "scan", dictionary=False)
     levels = spark.sparkContext.broadcast(_levels(scanned.filter("block IS NOT NULL").select("block", "counts")))  # COUNTERS bytes
     every = scanned.filter("sid IS NOT NULL").select("sid", "grams")
-    shared = stored(with_partners(stored(_shared(_prefixes(every, levels)), folder, "prefixes")), folder, "shared")
+    prefixes = stored(_shared(_prefixes(every, levels)), folder, "prefixes")
+    released(spark)
+    shared = stored(with_partners(prefixes), folder, "shared")
     forget(spark, f"{folder}/prefixes")
     wanted = stored(shared.select("sid").distinct(), folder, "wanted", True)
     sets = stored(_sets(every.join(small(wanted, 16), "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")), levels), folder, "sets", dictionary=False)
