@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat, jaccard, language, lines, mixing, neighbours, packing, quality, substrings, tokens
+from tessera.llm import chat, jaccard, language, lines, mixing, neighbours, packing, quality, runs, substrings, tokens
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8,
     "op9_prefix_token_counts": tokens.op9,
     "op10_jaccard_join": jaccard.op10,
+    "op11_periodic_runs": runs.op11,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_mix_sources": mixing.SQL, "op4_line_dedup": lines.SQL, "op6_chat_format": chat.SQL, "op8_quality_rules": quality.SQL}
