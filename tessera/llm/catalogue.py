@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tessera.llm import chat, jaccard, language, lines, mixing, neighbours, packing, quality, runs, substrings, tokens, whitening
+from tessera.llm import chat, jaccard, language, lines, mixing, neighbours, packing, quality, runs, substrings, tokens, toxicity, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_jaccard_join": jaccard.op10,
     "op11_periodic_runs": runs.op11,
     "op12_embedding_whitening": whitening.op12,
+    "op13_toxicity": toxicity.op13,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_mix_sources": mixing.SQL, "op4_line_dedup": lines.SQL, "op6_chat_format": chat.SQL, "op8_quality_rules": quality.SQL}
