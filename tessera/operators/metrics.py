@@ -1,16 +1,16 @@
 """Exact evaluation metrics of binary classifiers, Fake being the positive class.
 
-Scores are grouped first, so that running sums go over distinct scores. These are range-partitioned: sums within a
-partition and the small table of the partitions' totals give global prefix sums, and no window holds all scores."""
+Scores are grouped first, so that running sums go over distinct scores; these are summed by ranges (see `ranges`), and no
+window holds all scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import FAKE, LABELS, REAL, SUMMARY_FIELDS
 from tessera.functions.scalars import safe_div
+from tessera.operators.ranges import Down, cumulative
 
 EMPTY_SOURCE = "none"
 
@@ -22,23 +22,6 @@ def score_groups(df: DataFrame, positive: Column, score: str, by: tuple[str, ...
     return df.groupBy(*by, F.col(score).alias("score")).agg(pos.cast("long").alias("pos"), (every - pos).cast("long").alias("neg"))
 
 
-def cumulative(df: DataFrame, order: list[Column], values: tuple[str, ...]) -> DataFrame:
-    """With <value>_0 for each value: its sum over the rows that come before in the order.
-
-    The order is dealt by ranges, numbered by their place in it; sums inside a range and the small table of the ranges'
-    totals add up, so that no task holds all rows, nor all of a group."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    totals = dealt.groupBy("_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_{v}") for v in values])
-    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    x = dealt.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"{v}_0") for v in values]).join(F.broadcast(totals), "_part")  # a row for each partition
-    for v in values:
-        x = x.withColumn(f"{v}_0", F.col(f"{v}_0") + F.col(f"_{v}"))
-    return x.drop("_part", *[f"_{v}" for v in values])
-
-
 def joined_by(a: DataFrame, b: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """a with the row of b for its group, null groups too; b has one row if there are no groups."""
     if not by:
@@ -52,9 +35,8 @@ def running(groups: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """With neg_below, tp and ct: negatives of lower scores; positives and rows of this score and higher ones, within each group.
 
     Groups follow each other in one order of (by, score); what the groups before hold is subtracted."""
-    x = cumulative(groups, [F.col(c).asc_nulls_first() for c in by] + [F.col("score").asc_nulls_first()], ("pos", "neg"))
-    of_group = groups.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
-    starts = cumulative(of_group, [F.col(c).asc_nulls_first() for c in by], ("_p", "_q")) if by else of_group.select("*", F.lit(0).alias("_p_0"), F.lit(0).alias("_q_0"))
+    x = cumulative(groups, [*by, "score"], ("pos", "neg"))
+    starts = x.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"), F.min("pos_0").alias("_p_0"), F.min("neg_0").alias("_q_0"))
     x = joined_by(x, starts, by)
     below = F.col("neg_0") - F.col("_q_0")
     tp = F.col("_p") - (F.col("pos_0") - F.col("_p_0"))
@@ -71,20 +53,21 @@ def rank_metrics(df: DataFrame, positive: Column, score: str, by: tuple[str, ...
     return r.groupBy(*by).agg(F.when((pos > 0) & (neg > 0), auc).alias("roc_auc"), F.when(pos > 0, ap).alias("average_precision"))
 
 
+def running_precision(df: DataFrame, positive: Column, score: str, index: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with hit, place, tp, precision: whether a row is positive; its place in its group, from 1, scores descending and ties
+    in the order of index; the positives up to it; their share."""
+    x = cumulative(df.withColumn("hit", F.coalesce(positive, F.lit(False)).cast("long")).withColumn("place", F.lit(1).cast("long")), [*by, Down(score), index], ("hit", "place"))
+    starts = x.groupBy(*by).agg(F.min("hit_0").alias("_h"), F.min("place_0").alias("_p"))
+    x = joined_by(x, starts, by)
+    place, tp = F.col("place_0") - F.col("_p") + 1, F.col("hit_0") - F.col("_h") + F.col("hit")
+    x = x.withColumn("place", place).withColumn("tp", tp).drop("hit_0", "place_0", "_h", "_p")
+    return x.withColumn("precision", F.col("tp") / F.col("place"))
+
+
 def rowwise_precision(df: DataFrame, positive: Column, score: str, index: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by.., ap_rowwise: precision at each positive row, scores descending and ties in the order of index.
-
-    Rows are range-partitioned by (by, score, index); partition totals carry the prefix sums across."""
-    y = df.withColumn("y", F.when(positive, 1).otherwise(0)).withColumn("one", F.lit(1))
-    x = cumulative(y, [*[F.col(c).asc_nulls_first() for c in by], F.desc(score), F.asc(index)], ("y", "one"))
-    of_group = y.groupBy(*by).agg(F.sum("y").alias("_p"), F.sum("one").alias("_n"))
-    if by:
-        x = joined_by(x, cumulative(of_group, [F.col(c).asc_nulls_first() for c in by], ("_p", "_n")), by)
-    else:
-        x = x.withColumn("_p_0", F.lit(0)).withColumn("_n_0", F.lit(0))
-    z = x.withColumn("tp", F.col("y_0") - F.col("_p_0") + F.col("y")).withColumn("at", F.col("one_0") - F.col("_n_0") + 1)
-    total = F.sum(F.col("y") * F.col("tp").cast("double") / F.col("at"))
-    return z.groupBy(*by).agg(F.try_divide(total, F.sum("y").cast("double")).alias("ap_rowwise"))
+    """by.., ap_rowwise: the mean of the precision at each positive row, scores descending and ties in the order of index."""
+    x = running_precision(df.select(*by, score, index, positive.alias("_positive")), F.col("_positive"), score, index, by)
+    return x.groupBy(*by).agg(F.try_divide(F.sum(F.col("hit") * F.col("precision")), F.sum("hit").cast("double")).alias("ap_rowwise"))
 
 
 def _many(condition: Column | None, weight: str | None) -> Column:

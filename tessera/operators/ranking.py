@@ -8,33 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import cumulative, numbered
+
 
 def seeded(key: str, seed: int) -> list[Column]:
     return [F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.col(key)]
 
 
-def numbered(df: DataFrame, *order, name: str = "idx") -> DataFrame:
-    """With idx: the place of each row, from 0, in the given order.
-
-    The order is dealt by ranges; numbers within a range and the ranges' sizes add up, so no task holds all rows."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn(name, inside).join(F.broadcast(sizes), "_part").withColumn(name, (F.col(name) + F.col("_first")).cast("long")).drop("_part", "_first")  # a row for each partition
-
-
 def average_rank(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     """by.., value, n, avg_rank: the mean rank of each distinct value. Values are counted first; no task holds all of a group."""
-    from tessera.operators.metrics import cumulative, joined_by
+    from tessera.operators.metrics import joined_by
 
-    keys = [F.col(c).asc_nulls_first() for c in by]
-    g = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    x = cumulative(g, [*keys, F.col(value).asc_nulls_first()], ("n",))
-    first = g.groupBy(*by).agg(F.sum("n").alias("_g"))
-    first = cumulative(first, keys, ("_g",)).drop("_g") if by else first.select(F.lit(0).alias("_g_0"))
-    return joined_by(x, first, by).select(*by, value, "n", (F.col("n_0") - F.col("_g_0") + (F.col("n") + 1) / 2).alias("avg_rank"))
+    x = cumulative(df.groupBy(*by, value).agg(F.count("*").alias("n")), [*by, value], ("n",))
+    first = x.groupBy(*by).agg(F.min("n_0").alias("_first"))  # groups follow each other in the order
+    return joined_by(x, first, by).select(*by, value, "n", (F.col("n_0") - F.col("_first") + (F.col("n") + 1) / 2).alias("avg_rank"))
 
 
 def round_robin(df: DataFrame, order: str, shards: int, limit: int | None = None) -> DataFrame:
@@ -47,7 +34,7 @@ def round_robin(df: DataFrame, order: str, shards: int, limit: int | None = None
 
 def first_rows(df: DataFrame, order: str, n: int, batch: int) -> DataFrame:
     """The first n rows in the order, with idx and batch_id; the last batch may be short."""
-    return numbered(df.orderBy(order).limit(n), order).withColumn("batch_id", F.floor(F.col("idx") / batch).cast("long"))
+    return numbered(df.orderBy(order).limit(n), order, at_most=n).withColumn("batch_id", F.floor(F.col("idx") / batch).cast("long"))
 
 
 def per_group(df: DataFrame, by: list[str], k: int | None, key: str, seed: int) -> DataFrame:

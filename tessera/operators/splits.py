@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import OUTPUTS
-from tessera.operators.ranking import numbered, seeded
+from tessera.operators.ranges import numbered
+from tessera.operators.ranking import seeded
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, ratio: float, seed: int) -> DataFrame:

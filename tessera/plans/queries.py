@@ -108,17 +108,7 @@ def avg_rank(spark, d):
 @query(f"""WITH {SCORED}, w AS (SELECT doc_id, sum((label = 'Fake')::INT) OVER o AS tp, row_number() OVER o AS place FROM s WINDOW o AS (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, CAST(place AS BIGINT) AS place, CAST(tp AS BIGINT) AS tp, round(tp::DOUBLE / place, 9) AS precision FROM w""")
 def running_precision(spark, d):
-    """Running hits: numbers within ranges of the order, and the ranges' totals."""
-    x = ranking.numbered(scored(spark, d), F.desc("score"), F.asc("doc_id"), name="place").withColumn("place", F.col("place") + 1)
-    from pyspark.sql import Window as W
-
-    block = F.floor(F.col("place") / 4096)
-    y = x.withColumn("y", (F.col("label") == K.FAKE).cast("int")).withColumn("block", block)
-    t = y.groupBy("block").agg(F.sum("y").alias("s"))
-    t = t.select("block", F.coalesce(F.sum("s").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.sum("y").over(W.partitionBy("block").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    z = y.withColumn("inside", inside).join(t, "block").withColumn("tp", F.col("inside") + F.col("before"))
-    return rounded(z.select("doc_id", "place", "tp", (F.col("tp") / F.col("place")).alias("precision")))
+    return rounded(metrics.running_precision(scored(spark, d), F.col("label") == K.FAKE, "score", "doc_id").select("doc_id", "place", "tp", "precision"))
 
 
 @query(f"""WITH {SCORED}, w AS (SELECT (label = 'Fake')::INT AS y, sum((label = 'Fake')::INT) OVER o AS tp, row_number() OVER o AS place FROM s WINDOW o AS (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING))

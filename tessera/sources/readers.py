@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import LABELS, RECORD_SCHEMA
 from tessera.functions.scalars import joined, normalise_label, strip
-from tessera.operators.ranking import numbered
+from tessera.operators.ranges import numbered
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -15,6 +15,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def file_path() -> Column:
+    """The path of the file that a row was read from, as it is named there: Spark gives it percent-encoded; file: is left out."""
+    plain = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))  # url_decode takes + for a blank
+    return F.regexp_replace(F.url_decode(plain), "^file:/+", "/")
+
+
 def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
     """row_number, row (map of all named columns, as text); empty if the file isn't there."""
     if not exists(spark, path):
@@ -44,9 +50,11 @@ def assert_folds(lists: DataFrame, folds: int = 5) -> None:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line_number (from 1, blank lines count), index (from 0, blank lines don't)."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"))
-    x = numbered(raw, "file", "_at", name="line_number").withColumn("line_number", F.col("line_number") + 1)
+    """value, line_number (from 1, blank lines count), index (from 0, blank lines don't), file (its path).
+
+    Lines are ordered by file, then by the block of the file that a task read, then by their place in the block."""
+    raw = spark.read.text(path).select("value", file_path().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    x = numbered(raw, "file", "_block", "_at", name="line_number").withColumn("line_number", F.col("line_number") + 1)
     full = numbered(x.filter(strip("value") != ""), "line_number", name="index")
     return full.select("value", "line_number", "index", "file")
 
@@ -56,7 +64,7 @@ def eval_jsonl(spark: SparkSession, path: str, max_samples: int | None = None) -
     x = lines(spark, path)
     if max_samples is not None:
         x = x.filter(F.col("index") < max_samples)
-    r = x.withColumn("r", F.from_json("value", RECORD_SCHEMA)).withColumn("base", F.regexp_replace(F.regexp_replace("file", r"/[^/]*$", ""), "^file:/*", "/"))
+    r = x.withColumn("r", F.from_json("value", RECORD_SCHEMA)).withColumn("base", F.regexp_replace("file", r"/[^/]*$", ""))
     video = F.try_element_at("r.videos", F.lit(1))
     audios = F.coalesce(F.transform("r.audios", lambda a: joined(F.col("base"), a)), F.array().cast("array<string>"))
     return r.select("index", "line_number", joined(F.col("base"), video).alias("video_path"), audios.alias("audio_paths"), normalise_label(F.col("r.meta")["overall_label"]).alias("label"), F.col("r.meta").alias("meta"), F.col("value").alias("source_record"))
@@ -114,7 +122,7 @@ def metrics_of_runs(spark: SparkSession, runs: DataFrame, schema: str) -> DataFr
     dirs = [r[0] for r in runs.select("output_dir").distinct().collect()]  # the runs of one configuration
     there = [f"{d}/metrics.json" for d in dirs if exists(spark, f"{d}/metrics.json")]
     if there:
-        m = spark.read.schema(schema).option("multiLine", True).json(there).withColumn("_dir", F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"), "/metrics.json$", ""))
+        m = spark.read.schema(schema).option("multiLine", True).json(there).withColumn("_dir", F.regexp_replace(file_path(), "/metrics.json$", ""))
     else:
         m = spark.createDataFrame([], schema).withColumn("_dir", F.lit(""))
     return runs.join(F.broadcast(m), F.col("output_dir") == F.col("_dir"), "left").drop("_dir")  # a row for each run
