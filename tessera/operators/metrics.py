@@ -161,10 +161,13 @@ def report_struct(c: DataFrame):
 def metrics_document(df: DataFrame, score: str = "p_fake", weight: str | None = None) -> DataFrame:
     """One row with all metrics, their aliases, the matrix, the report and the distributions as maps."""
     m = binary_metrics(df, score=score, weight=weight)
-    spread = lambda c: df.groupBy(F.col(c).alias("k")).agg(_many(None, weight).alias("count")).filter("k IS NOT NULL").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "count")))))
+    # Both distributions are grouping sets of one pass.
+    sets = df.groupingSets([["label"], ["pred"]], "label", "pred").agg(_many(None, weight).alias("count"), F.grouping_id().alias("_set"))
+    spread = lambda c, bits: F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("_set") == bits) & F.col(c).isNotNull(), F.struct(F.col(c).alias("k"), "count"))))).alias(c)
+    m = joined_by(m, sets.agg(spread("label", 1), spread("pred", 2)), ())
     m = m.withColumn("confusion_matrix", F.array(F.array("tp", "fn"), F.array("fp", "tn"))).withColumn("confusion_matrix_labels", F.array(*[F.lit(x) for x in LABELS]))
     m = m.withColumn("classification_report", report_struct(m))
-    m = m.withColumn("label_distribution", spread("label").scalar()).withColumn("prediction_distribution", spread("pred").scalar())
+    m = m.withColumnRenamed("label", "label_distribution").withColumnRenamed("pred", "prediction_distribution")
     source = F.when(F.col("num_samples") == 0, F.lit(EMPTY_SOURCE)).otherwise(F.lit("tessera"))
     why = F.map_concat(
         F.when(F.col("roc_auc").isNull(), F.create_map(F.lit("roc_auc"), F.lit("it needs rows of both labels"))).otherwise(F.create_map().cast("map<string,string>")),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.constants import OUTPUTS
 from tessera.operators.ranges import numbered
 from tessera.operators.ranking import seeded
+from tessera.sources.store import Checks
 
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, ratio: float, seed: int) -> DataFrame:
@@ -61,10 +62,21 @@ def leaking_groups(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count_distinct("split").alias("sides")).filter("sides > 1").select(group)
 
 
+def with_folds(df: DataFrame, folds: DataFrame, subject: str) -> DataFrame:
+    """A row for each fold that knows the subject, with fold and split; both null for a subject that no fold knows."""
+    f = folds.groupBy("fold", F.col("subject_id").alias("_subject")).agg(F.max("split").alias("split"))  # train > test
+    return df.join(f, F.col(subject) == F.col("_subject"), "left").drop("_subject")
+
+
 def fold_membership(df: DataFrame, folds: DataFrame, subject: str) -> DataFrame:
     """A row for each fold that knows the subject, with fold and split; train before test where a subject is in both."""
-    f = folds.groupBy("fold", F.col("subject_id").alias("_subject")).agg(F.max("split").alias("split"))  # train > test
-    return df.join(f, F.col(subject) == F.col("_subject")).drop("_subject")
+    return with_folds(df, folds, subject).filter("fold IS NOT NULL")
+
+
+def fold_checks(subject: str) -> Checks:
+    """What must not be in a result of `with_folds`, measured while it is written."""
+    blank = F.coalesce(F.col(subject), F.lit("")) == ""
+    return Checks().forbid("samples without a subject", blank, F.lit("")).forbid("subjects in no fold", ~blank & F.col("fold").isNull(), F.col(subject))
 
 
 def uncovered(df: DataFrame, folds: DataFrame, subject: str) -> DataFrame:

@@ -31,10 +31,10 @@ def value_counts(df: DataFrame, column) -> DataFrame:
 
 
 def output_stats(df: DataFrame, output: str, dims: list[str]) -> DataFrame:
-    """output, dim, value, n: the distribution of each dimension in each output, in one pass."""
-    named = [F.struct(F.lit(d).alias("dim"), F.coalesce(F.nullif(clean_text(d), F.lit("")), F.lit(UNKNOWN)).alias("value")) for d in dims]
-    long = df.select(F.col(output).alias("output"), F.explode(F.array(F.struct(F.lit("count").alias("dim"), F.lit("").alias("value")), *named)).alias("x"))
-    return long.groupBy("output", "x.dim", "x.value").agg(F.count("*").alias("n"))
+    """output, dim, value, n: the distribution of each dimension in each output, and their rows as dim `count`; blank values are Unknown."""
+    x = df.select(F.col(output).alias("output"), *[F.nullif(clean_text(d), F.lit("")).alias(d) for d in dims])
+    x = distributions(x, ["output"], dims)
+    return x.withColumn("dim", F.when(F.col("dim") == "", F.lit("count")).otherwise(F.col("dim")))
 
 
 def split_counts(df: DataFrame, group: str) -> DataFrame:
@@ -42,14 +42,29 @@ def split_counts(df: DataFrame, group: str) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("rows"), F.count_distinct(group).alias("groups"))
 
 
+def distributions(df: DataFrame, by: list[str], dims: list[str], unknown: str = UNKNOWN) -> DataFrame:
+    """by.., dim, value, n: how often each value of each of dims occurs for every by; dim is '' for the number of rows.
+
+    All are grouping sets of one aggregation, so rows are counted where they are and shuffled once, as counts. Null
+    values are `unknown`."""
+    named = [f"_d{i}" for i in range(len(dims))]
+    x = df.select(*by, *[F.coalesce(F.col(d).cast("string"), F.lit(unknown)).alias(k) for d, k in zip(dims, named, strict=True)])
+    x = x.groupingSets([by, *[[*by, k] for k in named]], *by, *named).agg(F.count("*").alias("n"), F.grouping_id().alias("_set"))
+    dim, value = F.lit(""), F.lit("")
+    for i, d in enumerate(dims):  # grouping_id has a bit for each column that a set leaves out, the last one lowest
+        mine = F.col("_set") == (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - i))
+        dim, value = F.when(mine, F.lit(d)).otherwise(dim), F.when(mine, F.col(f"_d{i}")).otherwise(value)
+    return x.select(*by, dim.alias("dim"), value.alias("value"), "n")
+
+
 def split_summary(df: DataFrame, group: str, dims: dict[str, str], unknown: str = "unknown") -> DataFrame:
-    """split, count, group_count, and for each of dims (column -> name) a map of its values' counts; null values are `unknown`."""
-    out = df.groupBy("split").agg(F.count("*").alias("count"), F.count_distinct(group).alias("group_count"))
-    for column, name in dims.items():
-        by = df.groupBy(F.col("split").alias("_split"), F.coalesce(F.col(column).cast("string"), F.lit(unknown)).alias("_value")).count()
-        by = by.groupBy("_split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_value", "count")))).alias(name))
-        out = out.join(by, F.col("split").eqNullSafe(F.col("_split"))).drop("_split")
-    return out
+    """split, count, group_count, and for each of dims (column -> name) a map of its values' counts; null values are `unknown`.
+
+    Rows are shuffled once, as counts by grouping sets; a second aggregation over these makes a row for each split."""
+    x = distributions(df.withColumn("_group", F.concat(F.lit("="), F.col(group).cast("string"))), ["split"], ["_group", *dims], unknown)
+    groups = F.count(F.when((F.col("dim") == "_group") & (F.col("value") != unknown), 1))
+    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("dim") == c, F.struct("value", F.col("n").alias("count")))))).alias(name) for c, name in dims.items()]
+    return x.groupBy("split").agg(F.sum(F.when(F.col("dim") == "", F.col("n"))).alias("count"), groups.alias("group_count"), *maps)
 
 
 def group_manifest(df: DataFrame, group: str, order: str, labels: list[str], examples: int = 5) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.constants import MISSING_REASONS
 from tessera.functions.scalars import is_video, name_of
+from tessera.sources.store import staged
 
 
 def cascade(*rules: tuple[Column, str | Column]) -> Column:
@@ -40,6 +41,14 @@ def routed(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     return x.filter("reason IS NULL").drop("reason"), x.filter("reason IS NOT NULL")
 
 
+def routed_once(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame, dict]:
+    """The same from one pass over df, written as a table, and its totals: rows, missing, invalid."""
+    missing = F.col("reason").isin(*MISSING_REASONS)
+    totals = {"rows": F.count("*"), "missing": F.count(F.when(missing, 1)), "invalid": F.count(F.when(~missing, 1))}
+    x, seen = staged(df.withColumn("reason", reason), totals)
+    return x.filter("reason IS NULL").drop("reason"), x.filter("reason IS NOT NULL"), seen
+
+
 def issues(rejected: DataFrame, dataset: str, split: Column, path: str, metadata: Column) -> DataFrame:
     return rejected.select(F.lit(dataset).alias("dataset"), split.alias("split"), "reason", F.col(path).alias("expected_path"), metadata.alias("metadata_json"))
 

@@ -12,6 +12,7 @@ from tessera.functions import scalars as S
 from tessera.operators import adapters, joins, metrics, records, splits, stats, validate
 from tessera.operators.ranking import per_group, seeded
 from tessera.sources import listing, readers, sinks
+from tessera.sources.store import Checks, staged
 from tessera.plans.config import Preparation
 
 
@@ -48,7 +49,7 @@ def corpus_b(rows: DataFrame, files: DataFrame, root: str, max_per_class: int |
     x = rows.withColumn("path", F.when(named != "", S.joined(root, named)))
     there = files.select(F.col("path").alias("_path"), "length", "error", F.lit(True).alias("_found"))
     x = x.join(there, F.col("path") == F.col("_path"), "left").withColumn("found", F.coalesce("_found", F.lit(False)))
-    good, bad = validate.routed(x, validate.referenced_reason("path"))
+    good, bad, _ = validate.routed_once(x, validate.referenced_reason("path"))
     found = validate.issues(bad, "b", S.clean_text("split"), "path", F.to_json(F.struct(*rows.columns)))
     label = S.checked_label("label") if strict_labels else S.label_of_text("label")
     unknown = lambda k: F.lit(K.UNKNOWN).alias(k)
@@ -102,15 +103,18 @@ def extracted(plan: DataFrame, extract) -> DataFrame:
 
 
 def prepare_c(spark: SparkSession, p: Preparation, probe, extract=None) -> DataFrame:
-    """Runs a preparation of corpus c and writes its bundle; the records, by output. extract(video path, target) may be None: then sound is only planned."""
-    samples, missing = corpus_c(listing.videos(spark, p.root), listing.audios(spark, p.root), p.root, probe, p.extra.get("val_ratio", 0.1), p.seed)
-    samples = samples.cache()
+    """Runs a preparation of corpus c and writes its bundle; the records, by output. extract(video path, target) may be None: then sound is only planned.
+
+    The tree is walked and its videos are probed once; everything is made of the tables written then."""
+    files = listing.files(spark, p.root, K.VIDEO_EXTENSIONS + K.AUDIO_EXTENSIONS).filter(~S.is_ignored("path"))
+    samples, missing = corpus_c(files.filter(S.is_video("name")), files.filter(S.is_audio("name")), p.root, probe, p.extra.get("val_ratio", 0.1), p.seed)
+    samples, _ = staged(samples)
     audio_root = p.extra.get("audio_root") or f"{p.output_dir}/audio"
-    rendered, plan = corpus_c_records(samples, audio_root, listing.audios(spark, audio_root).select("path"), p.dry_run, extract is None, p.extra.get("overwrite", False))
+    rendered, plan = corpus_c_records(samples, audio_root, listing.files(spark, audio_root, K.AUDIO_EXTENSIONS).select("path"), p.dry_run, extract is None, p.extra.get("overwrite", False))
     if extract is not None:
-        bad = [r["path"] for r in extracted(plan, extract).filter("error IS NOT NULL").select("path").orderBy("path").limit(10).collect()]
-        if bad:
-            raise RuntimeError(f"videos whose sound wasn't extracted: {bad}")
+        done, seen = staged(extracted(plan, extract), Checks().forbid("videos whose sound wasn't extracted", F.col("error").isNotNull(), F.col("path")).measures())
+        if seen["broken_0"]:
+            raise RuntimeError(f"videos whose sound wasn't extracted: {seen['broken_0']}, such as {seen['example_0']}")
     sinks.write_split(samples, missing, p.output_dir, p.preview)
     sinks.write_csv(stats.audio_handling_counts(samples), f"{p.output_dir}/audio_handling.csv")
     sinks.write_jsonl(rendered, f"{p.output_dir}/outputs", p.dry_run, by="output", order=F.try_element_at("videos", F.lit(1)))
@@ -118,19 +122,23 @@ def prepare_c(spark: SparkSession, p: Preparation, probe, extract=None) -> DataF
 
 
 def prepare(spark: SparkSession, p: Preparation, rows: DataFrame | None = None) -> DataFrame:
-    """Runs a preparation of corpus a or b and writes its bundle; the records, by output. For corpus c see `prepare_c`."""
-    files = listing.files(spark, p.root).cache()
+    """Runs a preparation of corpus a or b and writes its bundle; the records, by output. For corpus c see `prepare_c`.
+
+    Each source is read once: the tree is listed into a table, metadata rows are decided on as they are written, and the
+    samples are written once, while labels, subjects and folds are checked. Records, issues, totals, statistics and
+    previews come from these tables."""
+    files = listing.files(spark, p.root)
     there = listing.directories(spark, p.root)
     before = validate.precondition_issues(spark, p.kind, p.root, there, tuple(K.CATEGORIES) if p.kind == "a" else ())
     modes = ("binary", "structured") if p.mode == "both" else (p.mode,)
+    checks = Checks()
     if p.kind == "a":
-        metadata = readers.metadata_csv(spark, p.metadata) if p.metadata else None
+        metadata = staged(readers.metadata_csv(spark, p.metadata))[0] if p.metadata else None
         samples, found = corpus_a(files, p.root, metadata, p.max_per_class, p.seed)
         if p.folds:
-            lists = readers.fold_lists(spark, p.folds)
+            lists, _ = staged(readers.fold_lists(spark, p.folds))
             readers.assert_folds(lists)
-            splits.assert_covered(samples, lists, "subject_id")
-            samples = splits.fold_membership(samples, lists, "subject_id")
+            samples, checks = splits.with_folds(samples, lists, "subject_id"), splits.fold_checks("subject_id")
         else:
             samples = splits.stratified_split(samples, ["overall_label", "modality_type"], "video_path", p.train_ratio, p.seed)
         samples, dims = splits.named_outputs(samples, modes), ["overall_label", "modality_type"]
@@ -139,13 +147,18 @@ def prepare(spark: SparkSession, p: Preparation, rows: DataFrame | None = None)
         dims = ["overall_label", "language", "generative_method"]
     else:
         raise ValueError("corpus c is prepared by prepare_c")
+    checks.forbid("samples with another label than Real or Fake", ~F.coalesce(F.col("overall_label").isin(*K.LABELS), F.lit(False)), F.col("video_path"))
+    samples, seen = staged(samples, checks.measures())
+    checks.verify(seen)
+    missing = F.col("reason").isin(*K.MISSING_REASONS)
+    found, totals = staged(before.unionByName(found), {"missing": F.count(F.when(missing, 1)), "invalid": F.count(F.when(~missing, 1))})
     rendered = None
     for mode in modes:
         render = records.structured_records if mode == "structured" else records.binary_records
         part = samples.filter(F.startswith("output", F.lit(mode))) if p.kind == "a" else samples
         one = render_with(part, render, "output")
         rendered = one if rendered is None else rendered.unionByName(one)
-    sinks.write_preparation(files, rendered, before.unionByName(found), p.output_dir, p.root, dims, p.dry_run, p.preview)
+    sinks.write_preparation(files, rendered, found, p.output_dir, p.root, dims, p.dry_run, p.preview, totals)
     return rendered
 
 
@@ -163,9 +176,19 @@ def duration_quantiles(files: DataFrame, probe, seed: int = 42, sample: int = 20
 
 
 def evaluate(samples: DataFrame, load, columns: list[str], folder: str, run_name: str = "", batch: int = 8) -> None:
-    """Scores samples, routes failures and writes the evaluation bundle."""
-    good, bad = adapters.predictions(samples, adapters.scored(samples, load, columns, batch).cache())
-    sinks.write_evaluation(good, bad, folder, run_name)
+    """Scores samples, routes failures and writes the evaluation bundle. Samples are read and scored once; bad lines stop it before."""
+    checks = readers.sample_checks()
+    samples, seen = staged(samples, checks.measures() if "line_number" in samples.columns else {})
+    if seen:
+        checks.verify(seen)
+    results, seen = staged(adapters.scored(samples, load, columns, batch), {"bad": F.count(F.when(F.col("error").isNotNull(), 1))})
+    good, bad = adapters.predictions(samples, results)
+    sinks.write_evaluation(good, bad, folder, run_name, seen["bad"])
+
+
+def merged_evaluation(frames: list[DataFrame], bad: list[DataFrame], folder: str, run_name: str = "") -> None:
+    """The bundle of the predictions and bad samples that workers wrote, in the order of index, each row with its worker's number."""
+    sinks.write_evaluation(staged(tagged_union(frames).orderBy("index"))[0], tagged_union(bad), folder, run_name)
 
 
 def tagged_union(frames: list[DataFrame], tag: str = "parallel_worker") -> DataFrame:

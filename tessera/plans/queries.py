@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +9,7 @@ from tessera.functions import constants as K
 from tessera.functions import scalars as S
 from tessera.operators import adapters, joins, metrics, ranking, records, splits, stats, validate
 from tessera.plans import pipelines
+from tessera.sources.store import new_folder, staged
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -500,18 +497,12 @@ def split_summary(spark, d):
     return x.select("split", "count", "group_count", *[F.to_json(c).alias(c) for c in ("labels", "modalities", "handlings")])
 
 
-def _new_folder(spark) -> str:
-    """Below spark.checkpoint.dir; only where that is unset, as on a single machine, a temporary folder."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).rstrip("/")
-    return f"{root}/tessera-files-{uuid.uuid4().hex}"
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents")
 def metadata_rows(spark, d):
     """Metadata written as CSV and read back as maps of text."""
     from tessera.sources import readers, sinks
 
-    path = _new_folder(spark)
+    path = new_folder(spark)
     sinks.write_csv(table(spark, d, "documents").select("doc_id", "lang", "source"), path)
     return readers.metadata_csv(spark, path).select(*[F.col("row")[c].alias(c) for c in ("doc_id", "lang", "source")])
 
@@ -522,7 +513,7 @@ def eval_records(spark, d):
     """Records written as JSON lines, in the order of their paths, and read back as evaluation samples."""
     from tessera.sources import readers, sinks
 
-    path = _new_folder(spark)
+    path = new_folder(spark)
     sinks.write_jsonl(records.binary_records(_samples(spark, d)), path, order=F.col("videos")[0])
     return readers.eval_jsonl(spark, path).select("index", "line_number", "video_path", F.try_element_at("audio_paths", F.lit(1)).alias("audio_path"), "label", F.col("meta")["conv_id"].alias("conv_id"))
 
@@ -554,7 +545,7 @@ def media_listing(spark, d):
     """A small tree with hidden, empty and foreign files in the shared folder, listed by the data source."""
     from tessera.sources import listing
 
-    root = _new_folder(spark).removeprefix("file://")
+    root = new_folder(spark).removeprefix("file://")
     for name, size in (("a/x.mp4", 5), ("a/.hidden.mp4", 3), ("a/empty.webm", 0), ("b/c/_y.MP4", 2), ("b/note.txt", 1), ("__MACOSX/._x.mp4", 4), ("top.mkv", 7)):
         path = os.path.join(root, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -569,7 +560,7 @@ def snapshot_stream(spark, d):
     """The same metrics, after a stream has read the scored rows trigger by trigger."""
     from tessera.streaming.snapshot import latest, watch
 
-    base = _new_folder(spark)
+    base = new_folder(spark)
     x = scored(spark, d).withColumnRenamed("score", "p_fake").select("label", "pred", "p_fake")
     x.repartition(3).write.parquet(f"{base}/source")
     seen: list[int] = []

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.constants import LABELS, RECORD_SCHEMA
 from tessera.functions.scalars import joined, normalise_label, strip
 from tessera.operators.ranges import numbered
+from tessera.sources import arrow
+from tessera.sources.store import Checks
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -39,14 +41,17 @@ def fold_lists(spark: SparkSession, folder: str, folds: int = 5) -> DataFrame:
 
 
 def assert_folds(lists: DataFrame, folds: int = 5) -> None:
-    """Fails if a list is missing or empty, or if a subject is in both lists of a fold."""
-    have = {(r["fold"], r["split"]) for r in lists.select("fold", "split").distinct().collect()}  # two rows for each fold
-    lost = [(f, s) for f in range(1, folds + 1) for s in ("train", "test") if (f, s) not in have]
+    """Fails if a list is missing or empty, or if a subject is in both lists of a fold. One pass; a row for each fold."""
+    each = lists.groupBy("fold", "subject_id").agg(F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") == "test").alias("test"))
+    both = F.col("train") & F.col("test")
+    count = lambda c: F.count(F.when(c, 1))
+    seen = {r["fold"]: r for r in each.groupBy("fold").agg(count(F.col("train")).alias("train"), count(F.col("test")).alias("test"), count(both).alias("both"), F.min(F.when(both, F.col("subject_id"))).alias("first")).collect()}
+    lost = [(f, s) for f in range(1, folds + 1) for s in ("train", "test") if f not in seen or not seen[f][s]]
     if lost:
         raise ValueError(f"missing or empty fold lists: {lost}")
-    both = lists.groupBy("fold", "subject_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").orderBy("fold", "subject_id").limit(5).collect()
-    if both:
-        raise ValueError(f"subjects in train and test: {[(r['fold'], r['subject_id']) for r in both]}")
+    twice = [(f, r["both"], r["first"]) for f, r in sorted(seen.items()) if r["both"]]
+    if twice:
+        raise ValueError(f"subjects in train and test (fold, how many, the first): {twice}")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -70,10 +75,15 @@ def eval_jsonl(spark: SparkSession, path: str, max_samples: int | None = None) -
     return r.select("index", "line_number", joined(F.col("base"), video).alias("video_path"), audios.alias("audio_paths"), normalise_label(F.col("r.meta")["overall_label"]).alias("label"), F.col("r.meta").alias("meta"), F.col("value").alias("source_record"))
 
 
+def sample_checks() -> Checks:
+    """What must not be among evaluation samples, measured while they are written."""
+    bad = F.col("video_path").isNull() | ~F.coalesce(F.col("label").isin(*LABELS), F.lit(False))
+    return Checks().forbid("lines without a video or with a bad label", bad, F.col("line_number"))
+
+
 def assert_samples(samples: DataFrame) -> None:
-    bad = samples.filter(F.col("video_path").isNull() | ~F.col("label").isin(*LABELS)).select("line_number").orderBy("line_number").limit(10).collect()
-    if bad:
-        raise ValueError(f"lines without a video or with a bad label: {[r[0] for r in bad]}")
+    checks = sample_checks()
+    checks.verify(samples.agg(*[c.alias(k) for k, c in checks.measures().items()]).first().asDict())
 
 
 def jsonl(spark: SparkSession, path: str, schema: str, lenient: bool = False) -> DataFrame:
@@ -97,24 +107,8 @@ def split_rows(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def arrow_dataset(spark: SparkSession, files: list[str], schema: str) -> DataFrame:
-    """Arrow IPC files (streams or files), read on the executors."""
-    import pandas as pd
-
-    def run(frames):
-        import pyarrow as pa
-
-        for f in frames:
-            for path in f["path"]:
-                with pa.memory_map(path) as m:
-                    try:
-                        t = pa.ipc.open_stream(m).read_all()
-                    except pa.ArrowInvalid:
-                        t = pa.ipc.open_file(m).read_all()
-                    yield t.to_pandas()
-
-    if not files:
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame(pd.DataFrame({"path": files})).repartition(len(files)).mapInPandas(run, schema)
+    """Arrow IPC files (streams or files), read on the executors, a task for each record batch; see `arrow`."""
+    return arrow.read(spark, files, schema)
 
 
 def metrics_of_runs(spark: SparkSession, runs: DataFrame, schema: str) -> DataFrame:

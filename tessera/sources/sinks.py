@@ -17,11 +17,15 @@ from tessera.operators.ranking import per_group
 def write_jsonl(df: DataFrame, path: str, dry_run: bool = False, by: str | None = None, order=None) -> None:
     """JSON lines in the order of columns, text as it is, null fields left out; a folder for each value of `by`.
 
-    With `order` the lines are sorted by it over all files, in each folder."""
+    With `by`, rows of a folder come together before they are written (REBALANCE), and Spark splits folders that are large;
+    so a folder has a file for each part of advisory size, neither one task's worth nor one from every task. With `order`
+    the lines are sorted by it over all files, in each folder."""
     if not dry_run:
         if order is not None:
             keys = [by, order] if by else [order]
             df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        elif by:
+            df = df.hint("rebalance", by)
         w = df.write.mode("overwrite")
         (w.partitionBy(by) if by else w).json(path)
 
@@ -54,8 +58,9 @@ def write_issues(found: DataFrame, path: str) -> None:
 
 
 def write_shards(numbered_lines: DataFrame, path: str) -> None:
-    """value, shard -> text files in a folder for each shard."""
-    numbered_lines.select("shard", "value").write.mode("overwrite").partitionBy("shard").text(path)
+    """value, shard, idx -> text files in a folder for each shard, lines in the order of idx over the files of a folder."""
+    x = numbered_lines.select("shard", "idx", "value").repartitionByRange("shard", "idx").sortWithinPartitions("shard", "idx")
+    x.drop("idx").write.mode("overwrite").partitionBy("shard").text(path)
 
 
 def summary_rows(df: DataFrame) -> DataFrame:
@@ -70,6 +75,17 @@ def summary_rows(df: DataFrame) -> DataFrame:
     return df.select(*[shown(c) for c in SUMMARY_FIELDS])
 
 
+def add_runs(rows: DataFrame, path: str) -> None:
+    """Adds the rows of runs to the table of all runs. A run that is there already is replaced; no other is read or written."""
+    x = summary_rows(rows).withColumn("run", F.col("name"))
+    x.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
+
+
+def all_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The table of all runs, a row for each, with the columns of a summary."""
+    return spark.read.option("recursiveFileLookup", True).parquet(path).select(*SUMMARY_FIELDS)
+
+
 def write_summary(df: DataFrame, folder: str) -> None:
     """summary.json, a list with an entry for each run of the configuration, and summary.csv."""
     rows = [r.asDict(True) for r in df.select(*[c for c in SUMMARY_FIELDS if c in df.columns]).collect()]  # a row for each run
@@ -105,11 +121,12 @@ def summary_html(document: dict) -> str:
     return f"<!doctype html><meta charset='utf-8'><title>{title}</title><h1>{title}</h1><p>{document.get('num_samples', 0)} samples</p><table>{rows}</table><table><tr><th></th><th>Fake</th><th>Real</th></tr>{matrix}</table>\n"
 
 
-def write_evaluation(predictions: DataFrame, bad: DataFrame, folder: str, run_name: str = "") -> None:
-    """Predictions, bad samples, metrics, matrix, scores, histogram and page."""
+def write_evaluation(predictions: DataFrame, bad: DataFrame, folder: str, run_name: str = "", num_bad: int | None = None) -> None:
+    """Predictions, bad samples, metrics, matrix, scores, histogram and page. num_bad: the number of bad samples, if it is known."""
     write_jsonl(predictions, f"{folder}/predictions.jsonl")
     write_jsonl(bad, f"{folder}/bad_samples.jsonl")
-    document = M.metrics_document(predictions).withColumn("num_bad_samples", bad.agg(F.count("*")).scalar()).withColumn("run_name", F.lit(run_name))
+    count = F.lit(num_bad).cast("long") if num_bad is not None else bad.agg(F.count("*")).scalar()
+    document = M.metrics_document(predictions).withColumn("num_bad_samples", count).withColumn("run_name", F.lit(run_name))
     row = write_json(document, f"{folder}/metrics.json")
     write_csv(confusion_rows(predictions), f"{folder}/confusion_matrix.csv")
     write_csv(score_rows(predictions), f"{folder}/scores.csv")
@@ -117,13 +134,15 @@ def write_evaluation(predictions: DataFrame, bad: DataFrame, folder: str, run_na
     write_text(predictions.sparkSession, f"{folder}/summary.html", summary_html(row))
 
 
-def write_preparation(listing: DataFrame, records: DataFrame, found: DataFrame, folder: str, root: str, dims: list[str], dry_run: bool = False, preview: int = 20) -> None:
-    """Outputs (unless it is a dry run), scan summary, statistics, issues and previews (always)."""
+def write_preparation(listing: DataFrame, records: DataFrame, found: DataFrame, folder: str, root: str, dims: list[str], dry_run: bool = False, preview: int = 20, totals: dict | None = None) -> None:
+    """Outputs (unless it is a dry run), scan summary, statistics, issues, their totals if known, and previews (always)."""
     write_jsonl(records, f"{folder}/outputs", dry_run, by="output", order=F.try_element_at("videos", F.lit(1)))
     write_json(stats.scan_summary(listing, root), f"{folder}/scan_summary.json", sort=True)
     flat = records.select("output", *[F.col(f"meta.{d}").alias(d) for d in dims])
     write_csv(stats.output_stats(flat, "output", dims), f"{folder}/dataset_stats.csv")
     write_issues(found, f"{folder}/missing_or_invalid.csv")
+    if totals is not None:
+        write_text(records.sparkSession, f"{folder}/issue_totals.json", json.dumps(totals, indent=2, sort_keys=True) + "\n")
     keyed = records.withColumn("_key", F.try_element_at("videos", F.lit(1)))
     write_jsonl(per_group(keyed, ["output"], preview, "_key", 42).drop("_key"), f"{folder}/preview", by="output")
 
