@@ -146,6 +146,12 @@ def audio_target(path, root: str, ext: str = ".wav") -> Column:
     return F.concat(F.lit(root.rstrip("/") + "/"), inner, stem(name_of(p)), F.lit(ext))
 
 
+def own_audio_target(path, root: str, ext: str = ".wav") -> Column:
+    """A place that no other video has: the video's suffix stays before that of the sound."""
+    p = F.regexp_replace(_c(path), "^/+", "")
+    return F.concat(F.lit(root.rstrip("/") + "/"), p, F.lit(ext))
+
+
 def archive_target(path, root: str, out: str) -> Column:
     """Where an archive is unpacked to: its relative path without the suffix, below out."""
     r = relative_path(path, root)
@@ -282,11 +288,38 @@ def logprob_of(m, token_id) -> Column:
     return F.coalesce(F.try_element_at(_c(m), key), F.raise_error(F.concat(F.lit("no log probability for token "), key)).cast("double"))
 
 
+def logprob_map(df, column: str) -> Column:
+    """Log probabilities by token id, as map<string,double>, of a server's answer: a struct with one of three containers.
+
+    The first that a row has counts, in the order logprob_token_ids, logprobs, token_logprobs; each is a map, or a list whose
+    first element is one. Keys are numbers or text; values are numbers or structs with a field logprob. Null without any."""
+    kind = df.schema[column].dataType
+    found = []
+    for name in ("logprob_token_ids", "logprobs", "token_logprobs"):
+        if name not in kind.names:
+            continue
+        c, t = F.col(column)[name], kind[name].dataType
+        if t.typeName() == "array":
+            c, t = F.try_element_at(c, F.lit(1)), t.elementType
+        if t.typeName() != "map":
+            continue
+        plain = (lambda v: v["logprob"].cast("double")) if t.valueType.typeName() == "struct" else (lambda v: v.cast("double"))
+        found.append(F.transform_values(F.transform_keys(c, lambda k, v: k.cast("string")), lambda k, v: plain(v)))
+    return F.coalesce(*found) if found else F.lit(None).cast("map<string,double>")
+
+
 def last_valid(values, mask) -> Column:
     """The element at the last position that the attention mask counts; null for an empty mask."""
     return F.try_element_at(_c(values), F.nullif(F.aggregate(_c(mask), F.lit(0), lambda a, x: a + x.cast("int")), F.lit(0)))
 
 
+def token_logit(logits, token_id: int) -> Column:
+    """The logit of a token in the logits of a vocabulary; the query fails for an id that is outside it."""
+    v = _c(logits)
+    outside = (F.lit(token_id) < 0) | (F.size(v) <= token_id)
+    return F.when(outside, F.raise_error(F.concat(F.lit(f"token {token_id} is outside a vocabulary of "), F.size(v).cast("string"))).cast("double")).otherwise(F.get(v, F.lit(max(0, token_id))))
+
+
 # --- records --------------------------------------------------------------------------------------------------------
 def audio_paths(many, one) -> Column:
     """The list without blanks if there is one, else the single path, else nothing."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import traceback
 import zipfile
@@ -12,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.constants import RUN_DEFAULTS, VIDEO_EXTENSIONS
+from tessera.functions.constants import TOKEN_IDS, VIDEO_EXTENSIONS
+from tessera.functions.scalars import logprob_map, pair_softmax
+from tessera.sources.store import staged
 
 SCORED = "index bigint, p_real double, p_fake double, real_logit double, fake_logit double, error string, traceback string"
 
@@ -167,40 +168,59 @@ def assert_unpacked(manifest: DataFrame) -> None:
         raise RuntimeError(f"archives that failed: {bad}")
 
 
-def pair_scores(real_logit: float, fake_logit: float) -> dict:
-    """The two probabilities of a pair of logits, and the logits."""
-    top = max(real_logit, fake_logit)
-    r, f = math.exp(real_logit - top), math.exp(fake_logit - top)
-    return {"p_real": r / (r + f), "p_fake": f / (r + f), "real_logit": real_logit, "fake_logit": fake_logit}
+def resumed(archives: DataFrame, manifest: str, extract: Callable[[str, str], int], extractor: str = "zipfile") -> DataFrame:
+    """archives(archive_path, output_dir) -> the manifest of all, as `unpacked` has it, after what isn't done yet was unpacked.
 
+    The manifest is a table in shared storage, to which each run adds its rows; an anti join with the rows that were extracted
+    leaves the archives that a run starts work for. So a restart knows what was done on whichever executor; nothing is looked
+    up on local disks. What an earlier run extracted is `skipped` in the result; what failed is tried again."""
+    spark = archives.sparkSession
+    key = ["archive_path", "output_dir"]
+    p = spark._jvm.org.apache.hadoop.fs.Path(manifest)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    known = spark.read.parquet(manifest).filter("status = 'extracted'").dropDuplicates(key) if there else None
+    rest = archives.join(known, key, "left_anti") if known is not None else archives
+    now, _ = staged(unpacked(rest, extract, lambda folder: False, extractor))
+    now.write.mode("append").parquet(manifest)
+    if known is None:
+        return now
+    before = archives.select(*key).join(known, key).withColumn("status", F.lit("skipped"))
+    return now.unionByName(before)
 
-def from_logits(config: dict) -> Callable:
-    """The back end for rows that hold the logits of an earlier run, in the columns that the configuration names."""
-    real, fake = config.get("real_logit", "real_logit"), config.get("fake_logit", "fake_logit")
-    return lambda: lambda rows: [pair_scores(float(r[real]), float(r[fake])) for r in rows]
 
+def scored_columns(samples: DataFrame, real, fake, missing=None) -> DataFrame:
+    """samples(index, ..) -> the columns of SCORED from a pair of logits or log probabilities that rows hold already.
 
-def from_logprobs(config: dict) -> Callable:
-    """The back end for rows that hold a map of token ids to log probabilities, as text-generation servers return."""
-    real, fake, column = str(config.get("real_token_id", RUN_DEFAULTS["real_token_id"])), str(config.get("fake_token_id", RUN_DEFAULTS["fake_token_id"])), config.get("logprobs_column", "logprobs")
+    missing: a text where a row can't be scored, else null; a row without one of the pair can't be, either."""
+    x = samples.select("index", real.cast("double").alias("real_logit"), fake.cast("double").alias("fake_logit"), (missing if missing is not None else F.lit(None).cast("string")).alias("error"))
+    x = x.withColumn("error", F.coalesce("error", F.when(F.col("real_logit").isNull() | F.col("fake_logit").isNull(), F.lit("ValueError: a row without a pair of logits"))))
+    p = pair_softmax("real_logit", "fake_logit")
+    ok = lambda c: F.when(F.col("error").isNull(), c)
+    return x.select("index", ok(p["p_real"]).alias("p_real"), ok(p["p_fake"]).alias("p_fake"), ok(F.col("real_logit")).alias("real_logit"), ok(F.col("fake_logit")).alias("fake_logit"), "error", F.lit(None).cast("string").alias("traceback"))
+
+
+def from_logits(samples: DataFrame, config: dict) -> DataFrame:
+    """The back end for rows that hold the logits of an earlier run, in the columns that the configuration names."""
+    return scored_columns(samples, F.col(config.get("real_logit", "real_logit")), F.col(config.get("fake_logit", "fake_logit")))
 
-    def score(rows):
-        out = []
-        for r in rows:
-            found = dict(r[column] or {})
-            if real not in found or fake not in found:
-                raise ValueError(f"no log probability for token {real if real not in found else fake}")
-            out.append(pair_scores(float(found[real]), float(found[fake])))
-        return out
 
-    return lambda: score
+def from_logprobs(samples: DataFrame, config: dict) -> DataFrame:
+    """The back end for rows that hold log probabilities by token id, in a map or in the answer of a text-generation server (`logprob_map`)."""
+    column, ids = config.get("logprobs_column", "logprobs"), {k: str(config.get(k, v)) for k, v in TOKEN_IDS.items()}
+    kind = samples.schema[column].dataType
+    m = logprob_map(samples, column) if kind.typeName() == "struct" else F.transform_keys(column, lambda k, v: k.cast("string"))
+    x = samples.withColumn("_map", m)
+    at = {k: F.try_element_at("_map", F.lit(i)) for k, i in ids.items()}
+    told = [F.when(c.isNull(), F.lit(f"ValueError: no log probability for token {ids[k]}")) for k, c in at.items()]
+    missing = F.coalesce(F.when(F.col("_map").isNull(), F.lit("ValueError: no log probabilities")), *told)
+    return scored_columns(x, at["real_token_id"], at["fake_token_id"], missing)
 
 
-#: Back ends by name; each maps a configuration to the `load` of `scored`. Programs that run a model register theirs here.
-BACKENDS: dict[str, Callable[[dict], Callable]] = {"logits": from_logits, "logprobs": from_logprobs}
+#: Back ends by name: samples and a configuration to the columns of SCORED. Programs that run a model register theirs here, by `scored`.
+BACKENDS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {"logits": from_logits, "logprobs": from_logprobs}
 
 
-def backend(name: str) -> Callable[[dict], Callable]:
+def backend(name: str) -> Callable[[DataFrame, dict], DataFrame]:
     if name not in BACKENDS:
         raise ValueError(f"unknown back end {name}; there are {sorted(BACKENDS)}")
     return BACKENDS[name]

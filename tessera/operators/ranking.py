@@ -43,3 +43,17 @@ def per_group(df: DataFrame, by: list[str], k: int | None, key: str, seed: int)
         return df
     rank = F.row_number().over(W.partitionBy(*by).orderBy(*seeded(key, seed)))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def zipped(a: DataFrame, a_order, b: DataFrame, b_order, strict: bool = True, name: str = "place") -> DataFrame:
+    """The rows of a and b at the same place of their orders, side by side, with the place, from 0. Columns of b that a has too get `_b`.
+
+    Both sides are numbered by ranges and joined by the number. If one side has more rows, the strict form fails the query at
+    the first place that only one has (checked in the join itself, with no pass before); the other stops there."""
+    left = numbered(a, *a_order, name=name)
+    right = numbered(b, *b_order, name=f"{name}_b").select(F.col(f"{name}_b"), *[F.col(f"`{c}`").alias(f"{c}_b" if c in a.columns else c) for c in b.columns])
+    x = left.join(right, F.col(name) == F.col(f"{name}_b"), "full_outer" if strict else "inner")
+    if strict:
+        lone = F.concat(F.lit("sides of different lengths: only one has a row at place "), F.coalesce(name, f"{name}_b").cast("string"))
+        x = x.filter(F.when(F.col(name).isNull() | F.col(f"{name}_b").isNull(), F.raise_error(lone).cast("boolean")).otherwise(F.lit(True)))
+    return x.drop(f"{name}_b")

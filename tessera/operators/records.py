@@ -46,11 +46,15 @@ def extraction_plan(samples: DataFrame, root: str, existing: DataFrame, dry_run:
     """samples(video_path, audio_path, handling) with target, audio_exists and to_extract.
 
     The target is the sample's own sound file if it names one and its handling is known, else the derived one; a
-    missing handling is extract_from_video."""
+    missing handling is extract_from_video. Videos that differ in their suffix alone would share a derived target: each of
+    these gets one that keeps the suffix."""
     handling = F.coalesce("handling", F.lit(EXTRACT))
-    target = F.when(F.col("audio_path").isNotNull() & handling.isin("paired_file", EXTRACT), F.col("audio_path")).otherwise(S.audio_target("video_path", root))
-    x = samples.withColumn("handling", handling)
-    x = x.withColumn("target", target).join(existing.select(F.col("path").alias("target"), F.lit(True).alias("_there")), "target", "left")
+    given = F.col("audio_path").isNotNull() & handling.isin("paired_file", EXTRACT)
+    x = samples.withColumn("handling", handling).withColumn("_derived", F.when(~given, S.audio_target("video_path", root)))
+    shared = x.groupBy(F.col("_derived").alias("_of")).agg((F.min("video_path") != F.max("video_path")).alias("_shared")).filter("_of IS NOT NULL AND _shared")
+    x = x.join(shared, F.col("_derived") == F.col("_of"), "left")
+    target = F.when(given, F.col("audio_path")).when(F.col("_shared"), S.own_audio_target("video_path", root)).otherwise(F.col("_derived"))
+    x = x.withColumn("target", target).drop("_derived", "_of", "_shared").join(existing.select(F.col("path").alias("target"), F.lit(True).alias("_there")), "target", "left")
     there = F.coalesce("_there", F.lit(False))
     go = (F.col("handling") == EXTRACT) & F.lit(not dry_run) & F.lit(not skip) & (F.lit(overwrite) | ~there)
     return x.withColumn("audio_exists", there).withColumn("to_extract", go).drop("_there")

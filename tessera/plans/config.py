@@ -6,8 +6,6 @@ import json
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
-from tessera.functions.constants import BACKEND_DEFAULTS, RUN_DEFAULTS
-
 MODES = ("binary", "structured", "both")
 KINDS = ("a", "b", "c")
 
@@ -66,11 +64,17 @@ class Preparation:
         return self
 
 
+def layered(kind: type, *layers: dict):
+    """A dataclass from layers of settings, later ones over earlier ones, checked.
+
+    Values that are None don't override; names that it doesn't know go to its `extra`."""
+    merged = {k: v for layer in layers for k, v in layer.items() if v is not None}
+    known = {f.name for f in fields(kind)} - {"extra"}
+    return replace(kind(**{k: v for k, v in merged.items() if k in known}), extra={k: v for k, v in merged.items() if k not in known}).checked()
+
+
 def resolve(defaults: dict, entry: dict, command_line: dict) -> Preparation:
-    """Values that are None don't override; names that Preparation doesn't know go to extra."""
-    merged = {k: v for layer in (defaults, entry, command_line) for k, v in layer.items() if v is not None}
-    known = {f.name for f in fields(Preparation)} - {"extra"}
-    return replace(Preparation(**{k: v for k, v in merged.items() if k in known}), extra={k: v for k, v in merged.items() if k not in known}).checked()
+    return layered(Preparation, defaults, entry, command_line)
 
 
 def selected(runs: list[dict], only: list[str] | str | None) -> list[dict]:
@@ -88,23 +92,32 @@ def join_output(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}" if "/" in root and "\\" not in root else str(Path(root) / name)
 
 
-def resolve_run(config: dict, run: dict, command_line: dict) -> dict:
-    """A run of an evaluation configuration: its `defaults`, then the run, then the command line, then what a back end adds.
-
-    A run's own output_dir comes before any output_root. Unknown back ends and missing fields are errors."""
-    given = lambda layer: {k: v for k, v in layer.items() if v is not None}
-    out = {**config.get("defaults", {}), **run}
-    out["eval_backend"] = str(out.get("eval_backend") or config.get("eval_backend") or "parallel").strip().lower()
-    if out["eval_backend"] not in BACKEND_DEFAULTS:
-        raise ValueError(f"unknown eval_backend {out['eval_backend']!r}; there are {sorted(BACKEND_DEFAULTS)}")
-    if "model_path" in config:
-        out.setdefault("model_path", config["model_path"])
-    root = command_line.get("output_root") or out.get("output_root") or config.get("output_root") or "outputs/batch_eval"
-    out.update({k: v for k, v in given(command_line).items() if k in ("batch_size", "max_samples", "fps", "save_every")})
-    for k, v in {**RUN_DEFAULTS, **BACKEND_DEFAULTS[out["eval_backend"]]}.items():
-        out.setdefault(k, dict(v) if isinstance(v, dict) else v)
-    out["output_dir"] = out.get("output_dir") or join_output(str(root), str(out.get("name", "unnamed_run")))
-    lost = [k for k in ("name", "model_path", "jsonl", "output_dir") if not out.get(k)]
-    if lost:
-        raise ValueError(f"a run needs {lost}")
-    return out
+@dataclass
+class Evaluation:
+    """A run of an evaluation: where its samples are, which back end scores them, and where its bundle goes."""
+
+    name: str = ""
+    jsonl: str = ""
+    output_dir: str = ""
+    output_root: str = ""
+    dataset: str = ""
+    adapter_path: str = ""
+    backend: str = "logits"
+    batch: int = 8
+    max_samples: int | None = None
+    extra: dict = field(default_factory=dict)
+
+    def checked(self) -> Evaluation:
+        if not self.output_dir and self.output_root and self.name:
+            self.output_dir = join_output(self.output_root, self.name)
+        lost = [k for k in ("name", "jsonl", "output_dir") if not getattr(self, k)]
+        if lost:
+            raise ValueError(f"a run needs {lost}")
+        if self.batch < 1 or (self.max_samples is not None and self.max_samples < 0):
+            raise ValueError("batch is at least 1, max_samples at least 0")
+        return self
+
+
+def evaluations(config: dict, command_line: dict, only: list[str] | str | None = None) -> list[Evaluation]:
+    """The selected runs of a configuration, each with its `defaults` below it and the command line above it."""
+    return [layered(Evaluation, config.get("defaults", {}), run, command_line) for run in selected(config["runs"], only)]

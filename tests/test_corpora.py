@@ -175,15 +175,64 @@ def test_zip_archives(spark, tmp_path):
 
 
 def test_back_ends(spark):
-    df = spark.createDataFrame([(0, {"12768": -0.2, "52317": -1.3}), (1, {"12768": -2.0, "52317": -0.1}), (2, {"7": -1.0})], "index long, logprobs map<string,double>")
-    got = {r["index"]: r for r in adapters.scored(df, adapters.backend("logprobs")({}), ["logprobs"]).collect()}
-    assert got[0]["p_real"] > 0.7 and got[1]["p_fake"] > 0.8 and "52317" in got[2]["error"] or "12768" in got[2]["error"]
-    logits = spark.createDataFrame([(0, 1.0, 1.0)], "index long, real_logit double, fake_logit double")
-    assert adapters.scored(logits, adapters.backend("logits")({}), ["real_logit", "fake_logit"]).first()["p_fake"] == 0.5
+    df = spark.createDataFrame([(0, {"12768": -0.2, "52317": -1.3}), (1, {"12768": -2.0, "52317": -0.1}), (2, {"7": -1.0}), (3, None)], "index long, logprobs map<string,double>")
+    x = adapters.backend("logprobs")(df, {})
+    got = {r["index"]: r for r in x.collect()}
+    assert ", ".join(f"{c} {t}" for c, t in x.dtypes) == adapters.SCORED and "Python" not in x._jdf.queryExecution().executedPlan().toString()
+    assert got[0]["p_real"] > 0.7 and got[1]["p_fake"] > 0.8 and "12768" in got[2]["error"] and got[2]["p_fake"] is None and "no log prob" in got[3]["error"]
+    logits = spark.createDataFrame([(0, 1.0, 1.0), (1, None, 2.0)], "index long, real_logit double, fake_logit double")
+    r = {r["index"]: r for r in adapters.backend("logits")(logits, {}).collect()}
+    assert r[0]["p_fake"] == 0.5 and r[0]["error"] is None and "without a pair" in r[1]["error"]
     with pytest.raises(ValueError):
         adapters.backend("none")
 
 
+@pytest.mark.parametrize("kind, value", [
+    ("logprob_token_ids map<int,double>", {12768: -0.1, 52317: -2.0}), ("logprob_token_ids array<map<string,double>>", [{"12768": -0.1, "52317": -2.0}]),
+    ("logprobs array<map<int,struct<logprob:double,rank:int>>>", [{12768: (-0.1, 1), 52317: (-2.0, 2)}]), ("token_logprobs map<string,struct<logprob:double>>", {"12768": (-0.1,), "52317": (-2.0,)}),
+])
+def test_log_probabilities_of_every_container(spark, kind, value):
+    df = spark.createDataFrame([(0, (value, "x")), (1, (None, "x"))], f"index long, logprobs struct<{kind.replace(' ', ':', 1)},text:string>")
+    r = {r["index"]: r for r in adapters.from_logprobs(df, {}).collect()}
+    assert abs(r[0]["real_logit"] + 0.1) < 1e-12 and r[0]["p_real"] > 0.8 and "no log prob" in r[1]["error"]
+
+
+def test_the_first_container_counts_and_ids_have_bounds(spark):
+    df = spark.createDataFrame([(0, ({"5": -1.0, "6": -2.0}, [{"5": -9.0, "6": -9.0}])), (1, (None, [{"5": -9.0, "6": -8.0}])), (2, (None, []))], "index long, a struct<token_logprobs:map<string,double>,logprobs:array<map<string,double>>>")
+    r = {r["index"]: r for r in adapters.from_logprobs(df, {"logprobs_column": "a", "real_token_id": 5, "fake_token_id": "6"}).collect()}
+    assert r[0]["real_logit"] == -9.0 and r[1]["fake_logit"] == -8.0 and r[2]["error"]
+    v = spark.createDataFrame([([0.5, 1.5, 2.5], [1, 1, 0])], "v array<double>, mask array<int>")
+    assert v.select(S.token_logit("v", 2), S.last_valid("v", "mask")).first() == (2.5, 1.5)
+    with pytest.raises(Exception, match="outside a vocabulary of 3"):
+        v.select(S.token_logit("v", 3)).collect()
+
+
+def test_targets_of_sound_that_would_collide(spark):
+    rows = [("/v/a.mp4", None, None), ("/v/a.mov", None, None), ("/v/b.mp4", None, None), ("/v/c.mp4", "/own.wav", "paired_file")]
+    df = spark.createDataFrame(rows, "video_path string, audio_path string, handling string")
+    got = {r["video_path"]: r["target"] for r in records.extraction_plan(df, "/o", spark.createDataFrame([], "path string")).collect()}
+    assert got == {"/v/a.mp4": "/o/v/a.mp4.wav", "/v/a.mov": "/o/v/a.mov.wav", "/v/b.mp4": "/o/v/b.wav", "/v/c.mp4": "/own.wav"}
+
+
+def test_a_restart_works_on_what_the_manifest_lacks(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+    broken = spark.sparkContext.broadcast({"2"})
+
+    def extract(path, out):
+        calls.add(1)
+        if path in broken.value:
+            raise OSError("corrupt")
+        return 3
+
+    a = spark.createDataFrame([(str(i), f"o{i}") for i in range(9)], "archive_path string, output_dir string").repartition(3)
+    first = {r["archive_path"]: r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", extract).collect()}
+    assert calls.value == 9 and first["2"] == "failed" and list(first.values()).count("extracted") == 8
+    broken = spark.sparkContext.broadcast(set())
+    again = {r["archive_path"]: r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", extract).collect()}
+    assert calls.value == 10 and again.pop("2") == "extracted" and set(again.values()) == {"skipped"}
+    assert {r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", extract).collect()} == {"skipped"} and calls.value == 10
+
+
 def test_summary_and_metrics_files(spark, tmp_path):
     document = {"num_predictions": 10, "num_bad_samples": 1, "accuracy": 0.7, "roc_auc": 0.8, "average_precision": 0.75, "fake_recall": 0.6, "real_recall": 0.9, "confusion_matrix_labels": ["Fake", "Real"], "confusion_matrix": [[3, 2], [1, 4]]}
     sinks.write_text(spark, str(tmp_path / "r1/metrics.json"), json.dumps(document))
@@ -256,16 +305,15 @@ def test_config(tmp_path):
     assert [r["name"] for r in config.selected(runs, "b,b  ")] == ["b"] and len(config.selected(runs, None)) == 2
     with pytest.raises(ValueError):
         config.selected(runs, ["zzz"])
-    whole = {"output_root": "/d", "model_path": "m", "defaults": {"fps": 2.0, "batch_size": 4}}
-    assert config.resolve_run(whole, runs[0], {"output_root": "/cli"})["output_dir"] == "/own"
-    r = config.resolve_run(whole, runs[1], {"output_root": "/cli", "batch_size": 9, "fps": None})
-    assert (r["output_dir"], r["batch_size"], r["fps"], r["eval_backend"], r["gpus"], r["model_path"], r["fake_token_id"]) == ("/cli/b", 9, 2.0, "parallel", "0,1", "m", 52317)
-    assert config.resolve_run(whole, {**runs[1], "eval_backend": " VLLM "}, {})["mm_format"] == "omni_av"
-    for bad in ({"eval_backend": "x"}, {"name": ""}, {"jsonl": None}):
+    whole = {"runs": runs, "defaults": {"output_root": "/d", "batch": 4, "fps": 2.0}}
+    one, two = config.evaluations(whole, {"output_root": "/cli", "batch": None})
+    assert (one.output_dir, two.output_dir, two.batch, two.extra) == ("/own", "/cli/b", 4, {"fps": 2.0})
+    assert config.evaluations(whole, {"batch": 9, "max_samples": 5}, "b")[0].batch == 9
+    for bad in ({"name": ""}, {"jsonl": ""}, {"batch": 0}, {"max_samples": -1}):
         with pytest.raises(ValueError):
-            config.resolve_run(whole, {**runs[1], **bad}, {})
-    with pytest.raises(ValueError, match="model_path"):
-        config.resolve_run({}, runs[1], {})
+            config.evaluations(whole, bad)
+    with pytest.raises(ValueError, match="output_dir"):
+        config.layered(config.Evaluation, {"name": "a", "jsonl": "b"})
     (tmp_path / "l.json").write_text("[1]")
     with pytest.raises(ValueError):
         config.load_config(str(tmp_path / "l.json"))
@@ -274,6 +322,71 @@ def test_config(tmp_path):
             config.resolve({"kind": "a", "root": "r", "output_dir": "o"}, bad, {})
 
 
+def test_each_source_is_read_once(spark, tmp_path):
+    root = str(tmp_path / "b")
+    for i in range(20):
+        put(root, f"v{i}.mp4")
+    reads = spark.sparkContext.accumulator(0)
+
+    def source(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f
+
+    schema = "video_path string, label string, split string, language string, open_set_model string, open_set_language string"
+    df = spark.createDataFrame([(f"v{i}.mp4" if i < 20 else f"gone{i}.mp4", "real", "train", "en", "0", "0") for i in range(25)], schema).mapInPandas(source, schema)
+    out = str(tmp_path / "o")
+    got = pipelines.prepare(spark, config.resolve({"kind": "b"}, {"root": root}, {"output_dir": out}), df)
+    assert got.count() == 20 and reads.value == 25 and json.load(open(f"{out}/issue_totals.json")) == {"invalid": 0, "missing": 5}
+    assert spark.read.json(f"{out}/outputs").count() == 20 and spark.read.option("header", True).csv(f"{out}/missing_or_invalid.csv").count() == 5
+
+
+def test_subjects_in_no_fold_are_found_while_samples_are_written(spark, corpus, tmp_path):
+    folds = tmp_path / "folds"
+    folds.mkdir()
+    for i in range(1, 6):
+        (folds / f"train_{i}.txt").write_text("id9\n")
+        (folds / f"test_{i}.txt").write_text("id8\n")
+    p = config.resolve({"kind": "a", "folds": str(folds)}, {"root": corpus}, {"output_dir": str(tmp_path / "o")})
+    with pytest.raises(ValueError, match="samples without a subject: 2 rows.*subjects in no fold: 1 rows, such as 'id1'"):
+        pipelines.prepare(spark, p)
+
+
+def test_folders_have_a_bounded_number_of_files(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 16).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("o"), F.col("id") % 7)).alias("output"), F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        sinks.write_jsonl(rows, str(tmp_path / "a"), by="output")
+        sinks.write_jsonl(rows, str(tmp_path / "b"), by="output", order="text")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    for name in "ab":
+        files = {d: [f for f in os.listdir(tmp_path / name / d) if f.startswith("part-")] for d in os.listdir(tmp_path / name) if "=" in d}
+        assert spark.read.json(str(tmp_path / name)).count() == 4000 and len(files) == 8
+        assert sum(map(len, files.values())) < 40, files  # without, 16 tasks write 128 files into 8 folders
+    assert len([f for f in os.listdir(tmp_path / "a/output=hot") if f.startswith("part-")]) > 1  # the hot one is split
+
+
+def test_paths_with_blanks_and_signs(spark, tmp_path):
+    folder = tmp_path / "my run 100%+é"
+    folder.mkdir()
+    (folder / "e.jsonl").write_text(json.dumps({"messages": [], "videos": ["v/a b.mp4"], "meta": {"overall_label": "Real"}}) + "\n")
+    assert readers.eval_jsonl(spark, str(folder / "e.jsonl")).first()["video_path"] == f"{folder}/v/a b.mp4"
+    sinks.write_text(spark, str(folder / "metrics.json"), json.dumps({"accuracy": 0.5}))
+    runs = spark.createDataFrame([(str(folder),), (str(tmp_path / "none"),)], "output_dir string")
+    assert {r["output_dir"]: r["accuracy"] for r in readers.metrics_of_runs(spark, runs, "accuracy double").collect()} == {str(folder): 0.5, str(tmp_path / "none"): None}
+
+
+def test_merged_workers(spark, tmp_path):
+    row = lambda i, w=None: (i, i, f"v{i}", "Fake" if i % 2 else "Real", "Fake" if i % 3 else "Real", 0.5, 0.1 * i, 0.0, 0.0, w)
+    schema = "index long, line_number long, video_path string, label string, pred string, p_real double, p_fake double, real_logit double, fake_logit double, parallel_worker long"
+    parts = [spark.createDataFrame([row(3), row(1)], schema), spark.createDataFrame([row(2, 7), row(0)], schema)]
+    bad = [spark.createDataFrame([(9, "x")], "index long, error string"), spark.createDataFrame([], "index long, error string")]
+    pipelines.merged_evaluation(parts, bad, str(tmp_path / "m"), "merged")
+    got = spark.read.json(str(tmp_path / "m/predictions.jsonl")).orderBy("index").collect()
+    assert [(r["index"], r["parallel_worker"]) for r in got] == [(0, 1), (1, 0), (2, 7), (3, 0)] and json.load(open(tmp_path / "m/metrics.json"))["num_bad_samples"] == 1
+
+
 def test_tagged_union(spark):
     a = spark.createDataFrame([(1, None), (2, 7)], "i int, parallel_worker long")
     got = {r["i"]: r["parallel_worker"] for r in pipelines.tagged_union([a, spark.createDataFrame([(3,)], "i int")]).collect()}
@@ -287,4 +400,11 @@ def test_arrow_files(spark, tmp_path):
     with pa.OSFile(str(tmp_path / "f.arrow"), "wb") as s, pa.ipc.new_file(s, t.schema) as w:
         w.write_table(t)
     assert readers.arrow_dataset(spark, [str(tmp_path / "f.arrow")], "x long").agg(F.sum("x")).first()[0] == 3
+    many = pa.table({"x": list(range(90)), "y": [str(i) for i in range(90)], "z": [[i] for i in range(90)]})
+    for name, opened in (("m.arrow", pa.ipc.new_file), ("s.arrow", pa.ipc.new_stream)):
+        with pa.OSFile(str(tmp_path / name), "wb") as f, opened(f, many.schema) as w:
+            w.write_table(many, max_chunksize=10)
+    x = readers.arrow_dataset(spark, [str(tmp_path / "m.arrow"), str(tmp_path / "s.arrow")], "y string, x int, none double")
+    assert x.count() == 180 and x.agg(F.sum("x")).first()[0] == 2 * 89 * 45 and x.filter("y = '7'").count() == 2 and x.filter("none IS NULL").count() == 180
+    assert x.rdd.getNumPartitions() == 10 and x.select(F.spark_partition_id().alias("p")).distinct().count() == 10  # nine batches of a file, one stream
     assert readers.arrow_dataset(spark, [], "x long").count() == 0
