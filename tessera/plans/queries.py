@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import constants as K
 from tessera.functions import scalars as S
 from tessera.operators import adapters, joins, metrics, ranking, records, splits, stats, validate
+from tessera.operators.ranges import Down
 from tessera.plans import pipelines
-from tessera.sources.store import new_folder, staged
+from tessera.sources.store import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -261,18 +262,20 @@ def ambiguous_index(spark, d):
     return joins.unambiguous(table(spark, d, "customer").select(k.alias("key"), F.col("c_nationkey").cast("string").alias("value")), "key", "value")
 
 
-@query("""WITH i AS (SELECT 'c' || c_custkey AS key, c_name AS value FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 's' || c_mktsegment, min(c_mktsegment) FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_mktsegment),
-o AS (SELECT o_orderkey, 'c' || o_custkey AS k0, 'n' || c_nationkey AS k1, 's' || c_mktsegment AS k2 FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
+@query("""WITH i AS (SELECT 'c' || c_custkey * 3 AS key, c_name AS value FROM customer UNION ALL SELECT 'n' || n_nationkey * 2, n_name FROM nation UNION ALL SELECT 's' || lower(c_mktsegment[1]) || c_mktsegment[2:], min(c_mktsegment) FROM customer GROUP BY c_mktsegment),
+o AS (SELECT o_orderkey, 'c' || o_custkey AS k0, 'n' || c_nationkey AS k1, 's' || lower(c_mktsegment[1]) || CASE WHEN c_mktsegment < 'F' THEN c_mktsegment[2:] ELSE c_mktsegment END AS k2 FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
 SELECT o_orderkey, coalesce(a.value, b.value, c.value) AS value, CASE WHEN a.value IS NOT NULL THEN 0 WHEN b.value IS NOT NULL THEN 1 WHEN c.value IS NOT NULL THEN 2 END::BIGINT AS matched_at
 FROM o LEFT JOIN i a ON a.key = k0 LEFT JOIN i b ON b.key = k1 LEFT JOIN i c ON c.key = k2""")
 def priority_lookup(spark, d):
+    """An index of all customers, nations and segments, whose keys an order meets in part: at each step some miss."""
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    text = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
-    index = c.filter("c_custkey % 3 = 0").select(text("c", "c_custkey").alias("key"), F.col("c_name").alias("value"))
-    index = index.unionByName(n.filter("n_nationkey % 2 = 0").select(text("n", "n_nationkey").alias("key"), F.col("n_name").alias("value")))
-    index = index.unionByName(c.filter("c_custkey % 2 = 0").groupBy(text("s", "c_mktsegment").alias("key")).agg(F.min("c_mktsegment").alias("value")))
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    low, rest = F.lower(F.substr("c_mktsegment", F.lit(1), F.lit(1))), F.substr("c_mktsegment", F.lit(2))
+    index = c.select(text("c", F.col("c_custkey") * 3).alias("key"), F.col("c_name").alias("value"))
+    index = index.unionByName(n.select(text("n", F.col("n_nationkey") * 2).alias("key"), F.col("n_name").alias("value")))
+    index = index.unionByName(c.groupBy("c_mktsegment").agg(F.min("c_mktsegment").alias("value")).select(F.concat(F.lit("s"), low, rest).alias("key"), "value"))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c.select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    keys = F.array(text("c", "o_custkey"), text("n", "c_nationkey"), text("s", "c_mktsegment"))
+    keys = F.array(text("c", F.col("o_custkey")), text("n", F.col("c_nationkey")), F.concat(F.lit("s"), low, F.when(F.col("c_mktsegment") < "F", rest).otherwise(F.col("c_mktsegment"))))
     return joins.priority_lookup(o, keys, index, "key", "value", "o_orderkey").select("o_orderkey", "value", "matched_at")
 
 
@@ -285,13 +288,13 @@ def missing_expected(spark, d):
     return joins.expected_but_missing(m, there, "/r").select("expected_path", F.col("row")["id"].alias("first_row"))
 
 
-@query("""WITH v AS (SELECT '/m/' || s_nationkey || '/Clip ' || s_suppkey % 20 || '.mp4' AS path, s_suppkey FROM supplier), a AS (SELECT '/m/' || c_nationkey AS dir, 'clip_' || c_custkey % 20 AS key, min('/m/' || c_nationkey || '/clip_' || c_custkey % 20 || '.' || CASE WHEN c_custkey % 2 = 0 THEN 'wav' ELSE 'mp3' END) AS audio_path FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1, 2),
+@query("""WITH v AS (SELECT '/m/' || s_nationkey || '/Clip ' || s_suppkey % 20 || '.mp4' AS path, s_suppkey FROM supplier), a AS (SELECT '/m/' || c_nationkey AS dir, 'clip_' || c_custkey % 60 AS key, min('/m/' || c_nationkey || '/clip_' || c_custkey % 60 || '.' || CASE WHEN c_custkey % 2 = 0 THEN 'wav' ELSE 'mp3' END) AS audio_path FROM customer GROUP BY 1, 2),
 p AS (SELECT s_suppkey, path, audio_path FROM v LEFT JOIN a ON dir = regexp_extract(path, '^(.*)/[^/]*$', 1) AND key = replace(lower(regexp_extract(path, '([^/]*)\\.mp4$', 1)), ' ', '_'))
 SELECT path, min(audio_path) AS audio_path, min(CASE WHEN audio_path IS NOT NULL THEN 'paired_file' WHEN s_suppkey % 2 = 0 THEN 'extract_from_video' ELSE 'missing_audio' END) AS handling FROM p GROUP BY path""".replace("\\\\", "\\"))
 def pair_same_dir(spark, d):
-    s, c = table(spark, d, "supplier"), table(spark, d, "customer").filter("c_custkey % 3 = 0")
+    s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     v = s.groupBy(F.expr("concat('/m/', cast(s_nationkey as string), '/Clip ', cast(s_suppkey % 20 as string), '.mp4')").alias("path")).agg(F.min(F.col("s_suppkey") % 2).alias("odd"), F.max(F.col("s_suppkey") % 2 == 0).alias("has_stream"))
-    a = c.select(F.expr("concat('/m/', cast(c_nationkey as string), '/clip_', cast(c_custkey % 20 as string), '.', if(c_custkey % 2 = 0, 'wav', 'mp3'))").alias("path"))
+    a = c.select(F.expr("concat('/m/', cast(c_nationkey as string), '/clip_', cast(c_custkey % 60 as string), '.', if(c_custkey % 2 = 0, 'wav', 'mp3'))").alias("path"))
     return joins.audio_handling(joins.paired_audio(v.select("path"), a), v.select("path", "has_stream")).select("path", "audio_path", "handling")
 
 
@@ -375,6 +378,21 @@ def prefix_limit(spark, d):
     return ranking.first_rows(table(spark, d, "events").select("event_id"), "event_id", 100, 8)
 
 
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents), b AS (SELECT doc_id, toxic, row_number() OVER (ORDER BY doc_id DESC) - 1 AS place FROM labels)
+SELECT place, a.doc_id, b.doc_id AS doc_id_b, toxic FROM a JOIN b USING (place)""")
+def zip_truncating(spark, d):
+    """Documents and labels side by side, as far as the shorter side goes."""
+    return ranking.zipped(table(spark, d, "documents").select("doc_id"), ["doc_id"], table(spark, d, "labels").select("doc_id", "toxic"), [Down("doc_id")], strict=False)
+
+
+@query("""WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders), b AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place FROM orders)
+SELECT place, a.o_orderkey, b.o_orderkey AS o_orderkey_b, o_custkey FROM a JOIN b USING (place)""")
+def zip_strict(spark, d):
+    """Two orders of one table side by side; a row too many on either side would fail the query."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return ranking.zipped(o.select("o_orderkey"), ["o_orderkey"], o, ["o_custkey", "o_orderkey"])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN 9 ELSE 0 END ELSE 1 END::BIGINT AS parallel_worker FROM orders")
 def union_tagged(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
@@ -435,6 +453,31 @@ def batch_summary(spark, d):
     return rounded(summary_rows(metrics.run_summary(runs, m)))
 
 
+@query(f"""WITH m AS ({_metrics_sql('lang')})
+SELECT lang AS name, lang AS dataset, 'completed' AS status, 0::INT AS returncode, accuracy, roc_auc AS auc, average_precision AS ap, average_precision AS map, fake_recall, real_recall, num_samples AS num_predictions, num_unscored AS num_bad_samples,
+'["Fake","Real"]' AS confusion_matrix_labels, {_MATRIX} AS confusion_matrix, NULL::VARCHAR AS adapter_path, '/j/' || lang || '.jsonl' AS jsonl, '/' || lang AS output_dir FROM m WHERE lang IS NOT NULL""")
+def run_table(spark, d):
+    """Runs, one for each language, added to the table of all runs, those that failed first a second time; metrics come from their files."""
+    from tessera.sources import readers, sinks
+
+    base = new_folder(spark)
+    m = metrics.binary_metrics(scored(spark, d), ("lang",), score="score").filter("lang IS NOT NULL").withColumnRenamed("num_unscored", "num_bad_samples")
+    m = m.withColumn("confusion_matrix", F.array(F.array("tp", "fn"), F.array("fp", "tn"))).withColumn("confusion_matrix_labels", F.array(*[F.lit(x) for x in K.LABELS]))
+    plain = base.removeprefix("file://")
+    for row in m.select("lang", F.to_json(F.struct("*")).alias("document")).collect():  # a row for each run
+        sinks.write_text(spark, f"{base}/{row['lang']}/metrics.json", row["document"])
+    schema = "accuracy double, roc_auc double, average_precision double, fake_recall double, real_recall double, num_samples long, num_bad_samples long, confusion_matrix_labels array<string>, confusion_matrix array<array<long>>"
+    runs = table(spark, d, "documents").select(F.col("lang").alias("name")).filter("name IS NOT NULL").distinct()
+    runs = runs.select("name", F.col("name").alias("dataset"), F.concat(F.lit("/j/"), "name", F.lit(".jsonl")).alias("jsonl"), F.concat(F.lit(f"{plain}/"), "name").alias("output_dir"))
+    failed = F.length("name") + F.ascii("name") * 7 > 710
+    for again in (False, True):
+        now = runs.filter(failed) if again else runs
+        now = now.withColumn("status", F.when(failed & ~F.lit(again), "failed").otherwise("completed")).withColumn("returncode", F.when(failed & ~F.lit(again), 1).otherwise(0))
+        found = readers.metrics_of_runs(spark, now.select("output_dir"), schema)
+        sinks.add_runs(metrics.run_summary(now, found), f"{base}/all")
+    return rounded(sinks.all_runs(spark, f"{base}/all").withColumn("output_dir", F.replace(F.col("output_dir"), F.lit(plain), F.lit(""))))
+
+
 def _spread_sql(c: str) -> str:
     return f"(SELECT '{{{{' || string_agg('\"' || {c} || '\":' || n, ',' ORDER BY {c}) || '}}}}' FROM (SELECT {c}, count(*) AS n FROM s GROUP BY {c}))".replace("{{", "{").replace("}}", "}")
 
@@ -540,19 +583,35 @@ def scorer_retry(spark, d):
     return r.select(F.col("index").alias("doc_id"), "error", F.when(F.col("error").isNull(), F.when(F.col("p_fake") >= F.col("p_real"), "Fake").otherwise("Real")).alias("pred"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT {_PATH} AS path FROM pages), s AS (SELECT path, string_split(path, '/')[1] AS host, string_split(path, '/')[2] AS lang FROM p)
+SELECT 'zone=' || list_last(string_split(host, '.')) || '/start=' || host[1:3] || '/lang=' || coalesce(nullif(lang, ''), 'none') AS folder, 1::BIGINT AS files, CAST(sum(strlen(path) + 1) AS BIGINT) AS bytes FROM s GROUP BY ALL""")
 def media_listing(spark, d):
-    """A small tree with hidden, empty and foreign files in the shared folder, listed by the data source."""
+    """All pages' paths, written below folders made of their addresses; the tree is listed level by level, hidden files too."""
     from tessera.sources import listing
 
-    root = new_folder(spark).removeprefix("file://")
-    for name, size in (("a/x.mp4", 5), ("a/.hidden.mp4", 3), ("a/empty.webm", 0), ("b/c/_y.MP4", 2), ("b/note.txt", 1), ("__MACOSX/._x.mp4", 4), ("top.mkv", 7)):
-        path = os.path.join(root, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(b"x" * size)
-    x = listing.files(spark, root)
-    return x.select("name", "length", S.is_ignored("path").alias("ignored"), validate.listed_reason().alias("reason"))
+    root = new_folder(spark)
+    x = table(spark, d, "pages").select(F.expr(_PATH).alias("value")).withColumn("host", F.substring_index("value", "/", 1))
+    x = x.select("value", F.substring_index("host", ".", -1).alias("zone"), F.substring("host", 1, 3).alias("start"), F.coalesce(F.nullif(F.try_element_at(F.split("value", "/"), F.lit(2)), F.lit("")), F.lit("none")).alias("lang"))
+    x.repartition("zone", "start", "lang").write.partitionBy("zone", "start", "lang").text(root)
+    files = listing.files(spark, root, (".txt",)).withColumn("folder", S.relative_path("parent", root.removeprefix("file://")))
+    return files.groupBy("folder").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS archive_path, CASE WHEN page_id % 49 = 0 THEN 'failed' WHEN page_id % 7 = 0 THEN 'extracted' ELSE 'skipped' END AS status, CASE WHEN page_id % 49 = 0 THEN 0 ELSE length(html) END AS video_count FROM pages")
+def restart_manifest(spark, d):
+    """A restart over all pages: it works on what the manifest of the first run lacks, and its own failures stay open."""
+    def work(step: int):
+        def extract(path: str, size: str) -> int:
+            if int(path) % step == 0:
+                raise ValueError("no end")
+            return int(size)
+
+        return extract
+
+    manifest = new_folder(spark)
+    p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("archive_path"), F.length("html").cast("string").alias("output_dir"))
+    adapters.resumed(p, manifest, work(7))
+    return adapters.resumed(p, manifest, work(49)).select("archive_path", "status", "video_count")
 
 
 @query(_metrics_sql(None).replace("SELECT  num_samples, num_unscored, matched, tp, fn, fp, tn, round(acc, 9) AS accuracy, round(fr, 9) AS fake_recall, round(rr, 9) AS real_recall,\n       round((fr + rr) / 2, 9) AS balanced_accuracy, ", "SELECT num_samples, round(acc, 9) AS accuracy, "))
