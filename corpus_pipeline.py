@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages, each reading the documents that the one before kept.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes every stage as Parquet into the shared
-folder and reads it again. All but the last return the columns of documents, further ones too, whatever their names.
+folder and reads it again. All but the last return the columns of documents, further ones too, whatever their names and types.
 
 Defined results: an empty table stays empty through all stages; texts that are null, blank or without a letter are rejected
 by the first; repeated rows are one group of copies, of which one row stays; a null doc_id takes part like any other.
@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies exactly one row stays: that of the smallest doc_id (null comes last), then of the smallest
-    hash of id and text; of rows that are equal in both, that of the smallest other columns. Texts without words stay."""
+    hash of id and text; of rows that are equal in both, that of the smallest JSON. Texts without words stay."""
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("doc_id", "text").alias("hash"))
     keyed = docs.select(row.alias("row"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
     groups = jaccard.near_duplicates(keyed.select(F.col("row").alias("doc_id"), "text")).filter("n_shingles > 0")
@@ -50,7 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = small(stored(groups.filter("count > 1 OR NOT first").select("of", "first"), work_folder(spark), "groups"), 64)
     alone = keyed.join(groups, F.col("row") == F.col("of"), "left_anti").select("whole.*")
     again = keyed.join(groups.filter("first"), F.col("row") == F.col("of"), "left_semi")
-    return alone.unionByName(again.groupBy("row").agg(F.min("whole").alias("whole")).select("whole.*"))
+    # Maps have no order, the rows' JSON has; equal JSON is that of equal rows.
+    return alone.unionByName(again.groupBy("row").agg(F.min_by("whole", F.to_json("whole")).alias("whole")).select("whole.*"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
