@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessera.llm.common import shipped, table
 from tessera.llm.tokens import slices
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, limit: int = SAMPLE) -> Identifier | None:
 def identify(docs: DataFrame, model: Identifier | None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, lang_pred, score."""
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = d.schema["doc_id"].dataType.simpleString()
+    schema = StructType([StructField("doc_id", d.schema["doc_id"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())])  # doc_id may be a struct with fields of any name
 
     def run(batches):
         for batch in batches:
@@ -195,7 +196,7 @@ def identify(docs: DataFrame, model: Identifier | None) -> DataFrame:
                             lang[i] = g
                     yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(x)), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return d.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return d.mapInArrow(run, schema)
 
 
 def op5(spark, sf_dir):

@@ -77,13 +77,19 @@ def test_rare_scripts_are_letters(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in language.identify(df, language.fit(df)).collect()} == {i: lang for i, _, lang in rows}
 
 
-def test_pipeline(spark, odd, tmp_path):
+@pytest.mark.parametrize("nested", [False, True])
+def test_pipeline(spark, odd, tmp_path, nested):
     docs = odd
+    if nested:  # maps, arrays and structs ride along, null ones too
+        docs = odd.drop(*CLASHING[3:]).withColumn("m", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("a", F.array(F.col("lang"), F.lit(None))).withColumn("s", F.struct(F.col("source").alias("x y"), F.create_map(F.lit(1), F.lit(2)).alias("z")))
+        docs = docs.withColumn("none", F.when(F.col("doc_id") > 99, F.col("m"))).withColumnRenamed("rid", "a b").withColumn("part", F.lit("own part")).withColumn("rid", F.lit("own rid"))
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, "")
         assert out.columns == docs.columns, name
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
+    if nested:
+        assert all(r["m"] == {"k": r["doc_id"]} and len(r["a"]) == 2 and r["s"]["z"] == {1: 2} and r["none"] is None and r["a b"] == "own rid" for r in docs.collect())
     kept = {r["doc_id"] for r in docs.collect()}
     assert {4, 5, 8} <= kept <= {None, 4, 5, 6, 8, 9} and corpus_pipeline.STAGES[4][1](spark, docs, "").count() > 0
 

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tessera.llm import catalogue
+from tessera.llm import catalogue, common, jaccard, lines, mixing
 
 DATA = os.environ.get("TESSERA_TEST_DATA", "/root/testdata/sf0.001")
 
@@ -27,10 +27,28 @@ def test_query_against_sql(spark, duck, name):
     assert shown(df.select(*columns).collect()) == shown(duck.sql(f"SELECT {', '.join(columns)} FROM ({catalogue.ORACLES[name]})").fetchall())
 
 
-def test_native_plans_have_no_python(spark):
+def written_plans(monkeypatch) -> list[str]:
+    """Grows by the plan of every table that an operator stores on its way."""
+    plans = []
+
+    def stored(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stored(df, *args, **kwargs)
+
+    for module in (lines, mixing, jaccard):
+        if hasattr(module, "stored"):
+            monkeypatch.setattr(module, "stored", stored)
+    return plans
+
+
+def test_native_plans_have_no_python(spark, monkeypatch):
     if os.path.isdir(DATA):
-        for name in ("op6_chat_format", "op8_quality_rules"):
-            assert "Python" not in catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+        for name in ("op2_mix_sources", "op4_line_dedup", "op6_chat_format", "op8_quality_rules"):
+            plans = written_plans(monkeypatch)
+            plans.append(catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString())
+            for plan in plans:
+                assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan, name
+            assert len(plans) > 4 or name != "op4_line_dedup"
 
 
 def test_stages_on_a_small_corpus(spark):
