@@ -16,9 +16,8 @@ Every string of LENGTH bytes is judged; a byte goes if a repeated one covers it.
    no result depends on.
 4. The repeated strings of each text are united into spans and cut out.
 
-The same is done with words in place of bytes, for strings of WORDS words: n_repeat_words counts the words that such a
-repeated string covers. A passage of 51 words has some 300 bytes, so a string of LENGTH bytes need not be in it; nothing is cut
-for these.
+`repeated_words` does the same with words in place of bytes, for strings of WORDS words, and counts the words that such
+strings cover: a passage of 51 words has some 300 bytes, so a string of LENGTH bytes need not be in it.
 
 The rolling hash is a polynomial modulo 2^64 over randomly mapped bytes, mixed; equality is that of these 64-bit values
 together with the trigger's, 128 bits in all.
@@ -248,31 +247,40 @@ def united(spans: list | None, length: int) -> list[list[int]]:
     return out
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, words: int = WORDS, word_window: int = WORD_WINDOW) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeat_words, kept (the bytes that stay)."""
+def _with_spans(docs: DataFrame, length: int, window: int, of_words: bool) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, text, spans."""
     spark = shipped(docs.sparkSession)
-    folder = work_folder(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    texts = d.select("rid", "text")
-    spans = repeated_spans(texts, length, window, f"{folder}/bytes")
-    of_words = repeated_spans(texts, words, word_window, f"{folder}/words", True).select(F.col("in_rid").alias("word_rid"), F.col("spans").alias("word_spans"))
-    both = spans.join(of_words, F.col("in_rid") == F.col("word_rid"), "full_outer").select(F.coalesce("in_rid", "word_rid").alias("in_rid"), "spans", "word_spans")
-    out = d.join(both.hint("merge"), F.col("rid") == F.col("in_rid"), "left").select("doc_id", "text", "spans", "word_spans")
+    spans = repeated_spans(d.select("rid", "text"), length, window, work_folder(spark), of_words)
+    return d.join(spans.hint("merge"), F.col("rid") == F.col("in_rid"), "left").select("doc_id", "text", "spans")
+
+
+def repeated(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
         for batch in batches:
             for part, ts in slices(batch, 1):
                 rows = []
-                for t, s, w in zip(ts, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                for t, s in zip(ts, part.column(2).to_pylist(), strict=True):
                     data, runs = t.encode("utf-8"), united(s, length)
                     edges = [0, *(e for u in runs for e in u), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in united(w, words)), kept))
-                arrays = [part.column(0)] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeat_words", "kept"])
+                    rows.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept))
+                arrays = [part.column(0)] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return _with_spans(docs, length, window, False).mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
 
-    return out.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeat_words long, kept binary")
+def repeated_words(docs: DataFrame, words: int = WORDS, window: int = WORD_WINDOW) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_repeat_words: the words that are covered by a string of so many words that also starts elsewhere."""
+    runs = F.aggregate(
+        "spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
+        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["last"] + words - F.greatest(a["end"], x["first"]))).cast("long").alias("n"), F.greatest(a["end"], x["last"] + words).cast("long").alias("end")),
+    )
+    return _with_spans(docs, words, window, True).select("doc_id", F.coalesce(runs["n"], F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def op3(spark, sf_dir):

@@ -41,9 +41,9 @@ def test_repeated_strings(spark, monkeypatch, hot, block):
         monkeypatch.setattr(substrings, "BLOCK", block)
     rows += [(200 + i, " ".join(rng.choice(["p", "q", "rr"]) for _ in range(40))) for i in range(12)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, rid string")
-    out = substrings.repeated(df, 20, 12, 7, 4).collect()
+    out = substrings.repeated(df, 20, 12).collect()
     assert sorted(tuple(r[:5]) for r in out) == brute_strings(rows, 20)
-    assert sorted((r["doc_id"], r["n_repeat_words"]) for r in out) == brute_words(rows, 7)
+    assert sorted((r["doc_id"], r["n_repeat_words"]) for r in substrings.repeated_words(df, 7, 4).collect()) == brute_words(rows, 7)
 
 
 def test_no_strings_in_an_empty_table(spark):
