@@ -169,6 +169,30 @@ def test_quality(spark):
     assert got[6]["cleaned"] == good and not got[2]["base_failed"] is None
 
 
+def test_line_rules(spark):
+    lines = {
+        "see https://a.b/c www.x.y now": True, "we looked at https://a.b/c for a long while today.": False, "Home": True, "Stop now.": False, "Read more »": False, "12 345 - 6": True, "Price $$$ ### now": True, "a / b / c d e f.": True,
+        "He said \"no\".": False, "three plain words": True, "these are four words": False, "CLICK HERE for the rest of it.": True, "Ünder ändern…": False,
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, line string")
+    assert {r["line"]: r["f"] for r in df.select("line", quality.line_fails(F.col("line")).alias("f")).collect()} == lines
+
+
+def test_common_lines_are_told_from_copies(spark):
+    rng = random.Random(2)
+    own = lambda: " ".join(f"word{rng.randint(0, 10**6)}" for _ in range(12)) + "."
+    shared, copied = "This notice stands below each of our pages and says nothing.", [own() for _ in range(6)]
+    rows = [(i, "\n".join([own(), own(), shared, own()])) for i in range(quality.COMMON)]
+    rows += [(100 + i, "\n".join(copied)) for i in range(60)] + [(500, shared + "\n" + "\n".join(own() for _ in range(4))), (501, "\n".join([shared] * 9 + [own()] * 3))]
+    df = spark.createDataFrame([*rows, (None, shared), (502, None)], "doc_id long, text string").withColumn("common", F.lit("own"))
+    got = {r["doc_id"]: r for r in quality.clean_lines(df).collect()}
+    assert len(got) == len(rows) + 2 and all(shared not in got[i]["cleaned"] and got[i]["lost_chars"] == len(shared.replace(" ", "")) for i in (*range(quality.COMMON), 500))
+    assert all(got[100 + i]["lost_chars"] == 0 and got[100 + i]["kept"] for i in range(60)) and not got[501]["kept"] and got[None]["lost_chars"] > 0
+    few = quality.clean_lines(df.filter("doc_id < 15 OR doc_id > 499")).collect()
+    assert all(r["lost_chars"] == 0 for r in few if r["doc_id"] < 15)
+    assert quality.clean_lines(df.limit(0)).count() == 0
+
+
 def test_quality_counts_repeats_like_brute_force(spark):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(40)]
