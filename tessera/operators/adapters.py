@@ -1,18 +1,17 @@
-"""Outside programs and models behind mapInPandas: probing, extraction, unpacking and scoring, with the function as a parameter."""
+"""Outside programs and models behind mapInPandas: probing, extraction, unpacking and scoring, with the function as a parameter; back ends as columns."""
 
 from __future__ import annotations
 
-import os
 import traceback
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.constants import TOKEN_IDS, VIDEO_EXTENSIONS
+from tessera.functions.constants import TOKEN_IDS
 from tessera.functions.scalars import logprob_map, pair_softmax
+from tessera.operators.archives import MANIFEST
 from tessera.sources.store import staged
 
 SCORED = "index bigint, p_real double, p_fake double, real_logit double, fake_logit double, error string, traceback string"
@@ -72,42 +71,16 @@ def each_path(paths: DataFrame, work: Callable[[str], str], name: str = "result"
     return paths.select(path).mapInPandas(run, f"{path} string, {name} string, error string")
 
 
-def audio_probe(run: Callable[[list[str]], tuple[int, str]], binary: str = "ffprobe") -> Callable[[str], str]:
-    """A probe for each_path: true if the program ends well and names a sound stream."""
+def unpacked(archives: DataFrame, extract: Callable[[str, str], int], extractor: str = "program") -> DataFrame:
+    """archives(archive_path, output_dir) -> the manifest: status extracted or failed. For zip archives see `archives.unzipped`.
 
-    def probe(path: str) -> str:
-        code, out = run([binary, "-v", "error", "-select_streams", "a", "-show_entries", "stream=codec_type", "-of", "csv=p=0", path])
-        return str(code == 0 and "audio" in out).lower()
-
-    return probe
-
-
-def wav_extraction(run: Callable[[list[str]], tuple[int, str]], target: Callable[[str], str], binary: str = "ffmpeg") -> Callable[[str], str]:
-    """A side effect for each_path: mono, 16 kHz, 16 bit; anything but a good end is an error."""
-
-    def extract(path: str) -> str:
-        out = target(path)
-        code, said = run([binary, "-y", "-i", path, "-vn", "-acodec", "pcm_s16le", "-ar", "16000", "-ac", "1", out])
-        if code:
-            raise RuntimeError(said)
-        return out
-
-    return extract
-
-
-def unpacked(archives: DataFrame, extract: Callable[[str, str], int], done: Callable[[str], bool], extractor: str = "zipfile", count: Callable[[str], int] | None = None) -> DataFrame:
-    """archives(archive_path, output_dir) -> the manifest: status extracted, skipped (marked as done before) or failed.
-
-    An archive without a video is a failure. `count` counts the videos of a folder that was unpacked before."""
+    extract(archive, folder) gives the number of videos; an archive without one is a failure."""
 
     def run(frames):
         for f in frames:
             rows = []
             for a, o in zip(f["archive_path"], f["output_dir"], strict=True):
                 try:
-                    if done(o):
-                        rows.append((a, o, "skipped", count(o) if count else None, extractor, None, None))
-                        continue
                     n = extract(a, o)
                     if not n:
                         raise ValueError("no video in the archive")
@@ -116,49 +89,7 @@ def unpacked(archives: DataFrame, extract: Callable[[str, str], int], done: Call
                     rows.append((a, o, "failed", 0, extractor, type(e).__name__, str(e)))
             yield pd.DataFrame(rows, columns=["archive_path", "output_dir", "status", "video_count", "extractor", "error_type", "error"]).astype({"video_count": "Int64"})
 
-    return archives.select("archive_path", "output_dir").mapInPandas(run, "archive_path string, output_dir string, status string, video_count bigint, extractor string, error_type string, error string")
-
-
-#: The file that marks a folder as unpacked.
-MARKER = ".unpacked"
-
-
-def count_videos(folder: str) -> int:
-    return sum(os.path.splitext(name)[1].lower() in VIDEO_EXTENSIONS for _, _, names in os.walk(folder) for name in names)
-
-
-def is_unpacked(overwrite: bool = False) -> Callable[[str], bool]:
-    """The `done` of `unpacked`: whether the marker is there, so that a restart passes over what was unpacked."""
-    return lambda folder: not overwrite and os.path.exists(os.path.join(folder, MARKER))
-
-
-def _marked(folder: str) -> int:
-    n = count_videos(folder)
-    if n:
-        with open(os.path.join(folder, MARKER), "w", encoding="utf-8") as f:
-            f.write("ok\n")
-    return n
-
-
-def zip_extraction(archive: str, folder: str) -> int:
-    """The `extract` of `unpacked` with the standard library; the number of videos. The marker is written last."""
-    os.makedirs(folder, exist_ok=True)
-    with zipfile.ZipFile(archive) as z:
-        z.extractall(folder)
-    return _marked(folder)
-
-
-def seven_zip_extraction(run: Callable[[list[str]], tuple[int, str]], binary: str = "7z", overwrite: bool = False) -> Callable[[str, str], int]:
-    """The same with an outside program; anything but a good end is an error."""
-
-    def extract(archive: str, folder: str) -> int:
-        os.makedirs(folder, exist_ok=True)
-        code, said = run([binary, "x", "-y", "-aoa" if overwrite else "-aos", f"-o{folder}", archive])
-        if code:
-            raise RuntimeError(said)
-        return _marked(folder)
-
-    return extract
+    return archives.select("archive_path", "output_dir").mapInPandas(run, MANIFEST)
 
 
 def assert_unpacked(manifest: DataFrame) -> None:
@@ -168,8 +99,8 @@ def assert_unpacked(manifest: DataFrame) -> None:
         raise RuntimeError(f"archives that failed: {bad}")
 
 
-def resumed(archives: DataFrame, manifest: str, extract: Callable[[str, str], int], extractor: str = "zipfile") -> DataFrame:
-    """archives(archive_path, output_dir) -> the manifest of all, as `unpacked` has it, after what isn't done yet was unpacked.
+def resumed(archives: DataFrame, manifest: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """archives(archive_path, output_dir) -> the manifest of all, after `work` (such as `archives.unzipped`) was done for what isn't done yet.
 
     The manifest is a table in shared storage, to which each run adds its rows; an anti join with the rows that were extracted
     leaves the archives that a run starts work for. So a restart knows what was done on whichever executor; nothing is looked
@@ -180,7 +111,7 @@ def resumed(archives: DataFrame, manifest: str, extract: Callable[[str, str], in
     there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
     known = spark.read.parquet(manifest).filter("status = 'extracted'").dropDuplicates(key) if there else None
     rest = archives.join(known, key, "left_anti") if known is not None else archives
-    now, _ = staged(unpacked(rest, extract, lambda folder: False, extractor))
+    now, _ = staged(work(rest))
     now.write.mode("append").parquet(manifest)
     if known is None:
         return now

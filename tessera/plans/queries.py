@@ -606,7 +606,7 @@ def restart_manifest(spark, d):
                 raise ValueError("no end")
             return int(size)
 
-        return extract
+        return lambda rest: adapters.unpacked(rest, extract)
 
     manifest = new_folder(spark)
     p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("archive_path"), F.length("html").cast("string").alias("output_dir"))

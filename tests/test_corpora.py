@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as K
 from tessera.functions import scalars as S
-from tessera.operators import adapters, joins, metrics, records, validate
+from tessera.operators import adapters, archives, joins, metrics, records, validate
 from tessera.plans import config, pipelines
 from tessera.sources import listing, readers, sinks
 
@@ -142,36 +142,40 @@ def test_records(spark):
 
 
 def test_archives(spark):
-    a = spark.createDataFrame([("good.zip", "o1"), ("bad.zip", "o2"), ("done.zip", "o3"), ("none.zip", "o4")], "archive_path string, output_dir string")
+    a = spark.createDataFrame([("good.zip", "o1"), ("bad.zip", "o2"), ("none.zip", "o4")], "archive_path string, output_dir string")
 
     def extract(path, out):
         if path == "bad.zip":
             raise OSError("corrupt")
         return 2 if path == "good.zip" else 0
 
-    m = {r["archive_path"]: r for r in adapters.unpacked(a, extract, lambda o: o == "o3").collect()}
-    assert [m[k]["status"] for k in ("good.zip", "bad.zip", "done.zip", "none.zip")] == ["extracted", "failed", "skipped", "failed"]
+    m = {r["archive_path"]: r for r in adapters.unpacked(a, extract).collect()}
+    assert [m[k]["status"] for k in ("good.zip", "bad.zip", "none.zip")] == ["extracted", "failed", "failed"]
     with pytest.raises(RuntimeError):
-        adapters.assert_unpacked(adapters.unpacked(a, extract, lambda o: False))
+        adapters.assert_unpacked(adapters.unpacked(a, extract))
 
 
-def test_zip_archives(spark, tmp_path):
+def test_zip_archives_are_unpacked_member_by_member(spark, tmp_path):
     import zipfile
 
-    for name, inner in (("good", "v/a.MP4"), ("none", "readme.txt")):
+    for name, inner in (("good", {"v/a.MP4": b"x" * 9, "v/b.mp4": b"", "t.txt": b"t", "e/": b""}), ("none", {"readme.txt": b"r"}), ("empty", {}), ("evil", {"../out.mp4": b"x", "in.mp4": b"y"}), ("big", {f"d{i % 3}/{i}.mp4": os.urandom(300_000) for i in range(12)})):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
-            z.writestr(inner, "x")
+            for member, data in inner.items():
+                z.writestr(member, data)
     (tmp_path / "bad.zip").write_text("no archive")
-    a = spark.createDataFrame([(str(tmp_path / f"{n}.zip"), str(tmp_path / "out" / n)) for n in ("good", "none", "bad")], "archive_path string, output_dir string")
-    run = lambda: {os.path.basename(r["output_dir"]): r for r in adapters.unpacked(a, adapters.zip_extraction, adapters.is_unpacked(), count=adapters.count_videos).collect()}
-    first, again = run(), run()
-    assert [first[k]["status"] for k in ("good", "none", "bad")] == ["extracted", "failed", "failed"] and first["bad"]["error_type"] == "BadZipFile"
-    assert [again[k]["status"] for k in ("good", "none", "bad")] == ["skipped", "failed", "failed"] and again["good"]["video_count"] == 1
-    calls = []
-    extract = adapters.seven_zip_extraction(lambda c: (calls.append(c), (2, "broken"))[1])
-    with pytest.raises(RuntimeError, match="broken"):
-        extract("x.zip", str(tmp_path / "o"))
-    assert calls[0][:4] == ["7z", "x", "-y", "-aos"]
+    names = ("good", "none", "empty", "evil", "big", "bad")
+    a = spark.createDataFrame([(str(tmp_path / f"{n}.zip"), str(tmp_path / "out" / n)) for n in names], "archive_path string, output_dir string")
+    assert archives.members(a).filter("member LIKE 'd%'").agg(F.sum("size")).first()[0] == 3_600_000
+    run = lambda: {os.path.basename(r["output_dir"]): r for r in adapters.resumed(a, f"{tmp_path}/manifest", archives.unzipped).collect()}
+    first = run()
+    assert {n: first[n]["status"] for n in names} == {"good": "extracted", "none": "failed", "empty": "failed", "evil": "failed", "big": "extracted", "bad": "failed"}
+    assert first["good"]["video_count"] == 2 and first["big"]["video_count"] == 12 and first["bad"]["error_type"] == "BadZipFile" and "no video" in first["empty"]["error"] and "outside" in first["evil"]["error"]
+    with zipfile.ZipFile(tmp_path / "big.zip") as z:
+        assert all((tmp_path / "out/big" / m).read_bytes() == z.read(m) for m in z.namelist())
+    assert not (tmp_path / "out/out.mp4").exists() and not [f for _, _, fs in os.walk(tmp_path / "out") for f in fs if f.endswith(".part")]
+    stamp = os.stat(tmp_path / "out/good/v/a.MP4").st_mtime_ns
+    again = run()
+    assert again["good"]["status"] == again["big"]["status"] == "skipped" and again["bad"]["status"] == "failed" and again["good"]["video_count"] == 2 and os.stat(tmp_path / "out/good/v/a.MP4").st_mtime_ns == stamp
 
 
 def test_back_ends(spark):
@@ -225,12 +229,12 @@ def test_a_restart_works_on_what_the_manifest_lacks(spark, tmp_path):
         return 3
 
     a = spark.createDataFrame([(str(i), f"o{i}") for i in range(9)], "archive_path string, output_dir string").repartition(3)
-    first = {r["archive_path"]: r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", extract).collect()}
+    first = {r["archive_path"]: r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", lambda rest: adapters.unpacked(rest, extract)).collect()}
     assert calls.value == 9 and first["2"] == "failed" and list(first.values()).count("extracted") == 8
     broken = spark.sparkContext.broadcast(set())
-    again = {r["archive_path"]: r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", extract).collect()}
+    again = {r["archive_path"]: r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", lambda rest: adapters.unpacked(rest, extract)).collect()}
     assert calls.value == 10 and again.pop("2") == "extracted" and set(again.values()) == {"skipped"}
-    assert {r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", extract).collect()} == {"skipped"} and calls.value == 10
+    assert {r["status"] for r in adapters.resumed(a, f"{tmp_path}/m", lambda rest: adapters.unpacked(rest, extract)).collect()} == {"skipped"} and calls.value == 10
 
 
 def test_summary_and_metrics_files(spark, tmp_path):
