@@ -11,7 +11,8 @@ whether or not that one goes as well. So no line goes without an earlier match,
 3. Only prefixes are dealt by n-gram. Length and position filters drop an entry of an n-gram if no class of (size, position)
    there, counted first, could match it; a crowd that can't match isn't met pair by pair.
 4. What is left carries its whole set, and a semi join looks for an earlier entry of the same n-gram that matches; it stops
-   at the first and returns no pairs. The planner splits the left side of crowded n-grams.
+   at the first and returns no pairs. The planner splits crowded n-grams. Entries of more than LONG n-grams never carry their
+   sets along with their n-grams; they are compared by pairs of numbers, so what is shuffled grows in line with a line.
 
 Defined results: blank lines have no n-gram and always stay; null texts stay null; a row that is repeated as a whole is
 one document, so its lines aren't removed for its own copies; documents with equal ids are ordered by a hash of their
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import SPACE, forget, released, small, stored, work_folder
 from tessera.llm.jaccard import HASH_BITS, HEAVY, possible, with_partners
 
-N, BUCKETS = 5, 1 << 15
+N, BUCKETS, LONG = 5, 1 << 15, 256
 
 
 def _lines(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
@@ -88,33 +89,77 @@ def _with_company(post: DataFrame) -> DataFrame:
     return salted.withColumn("together", together).filter((F.col("together") > 1) | heavy).select("token", "sid", "n", "pos")
 
 
-def _with_earlier_match(posts: DataFrame, sets: DataFrame) -> DataFrame:
-    """posts(token, sid, n, left, rest), sets(sid, place, tokens) -> sid of the sets that an earlier one matches.
+def _alike(x: str, y: str):
+    """Whether the sets x.tokens and y.tokens match."""
+    return 7 * F.size(F.array_intersect(f"{x}.tokens", f"{y}.tokens")) >= 3 * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+
+def _matched_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(sid, l_sid) -> sid of those whose sets match. A set is fetched once for each pair, not for each n-gram of it."""
+    pairs = pairs.distinct()
+    x = sets.select("sid", F.size("tokens").alias("n"), "tokens")
+    y = x.select(F.col("sid").alias("l_sid"), "n", "tokens")
+    full = pairs.join(x, "sid").select("sid", "l_sid", F.struct("n", "tokens").alias("x")).join(y, "l_sid").select("sid", "x", F.struct("n", "tokens").alias("y"))
+    return full.filter(_alike("x", "y")).select("sid")
+
+
+def _earlier(x: str, y: str):
+    """Whether y is another set than x, of an earlier line, and may match by sizes and what is left."""
+    return (F.col(f"{x}.sid") != F.col(f"{y}.sid")) & (F.col(f"{y}.place") < F.col(f"{x}.place")) & possible(f"{x}.", f"{y}.")
+
+
+def _short_matches(posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """sid of the sets of at most LONG n-grams that an earlier one matches: a semi join that carries the sets and stops at the first match.
 
     Both sides need the same columns, so that one shuffle serves both."""
-    sets = sets.withColumnRenamed("sid", "of_sid")
-    full = posts.join(sets, F.col("sid") == F.col("of_sid")).select("token", "sid", "n", "left", "rest", "place", "tokens")
+    most = LONG * 4 // 3 + 1  # what a set of LONG n-grams may match
+    sets = sets.filter(F.size("tokens") <= most).withColumnRenamed("sid", "of_sid")
+    full = posts.filter(F.col("n") <= most).join(sets, F.col("sid") == F.col("of_sid")).select("token", "sid", "n", "left", "rest", "place", "tokens")
     x, y = full.alias("x"), full.alias("y")
-    shared = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    match = (F.col("x.sid") != F.col("y.sid")) & (F.col("y.place") < F.col("x.place")) & possible("x.", "y.") & (7 * shared >= 3 * (F.col("x.n") + F.col("y.n")))
-    return x.join(y, (F.col("x.token") == F.col("y.token")) & match, "left_semi").select("sid").distinct()
+    return x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.n") <= LONG) & _earlier("x", "y") & _alike("x", "y"), "left_semi").select("sid")
+
+
+def _long_matches(posts: DataFrame, sets: DataFrame, folder: str) -> DataFrame | None:
+    """sid of the sets of more than LONG n-grams that an earlier one matches; None if there are no such sets.
+
+    The sets of all prefix n-grams of a line would grow with the square of its length, so pairs of numbers are compared: each
+    set with the earliest of like size in each of its n-grams first, which settles nearly all of a crowd of copies, then what
+    is left with all earlier ones of its n-grams."""
+    posts = stored(posts.filter(4 * F.col("n") >= 3 * LONG).join(sets.select("sid", "place"), "sid"), folder, "long")
+    asked = posts.filter(F.col("n") > LONG)
+    if asked.isEmpty():
+        return None
+    size = F.floor(F.log2("n"))
+    first = posts.groupBy(F.col("token").alias("l_token"), size.alias("l_size")).agg(F.min(F.struct("place", "sid", "n", "left", "rest")).alias("f"))
+    first = first.select("l_token", "l_size", *[F.col(f"f.{c}").alias(f"l_{c}") for c in ("sid", "n", "left", "rest")])
+    near = asked.join(first, (F.col("token") == F.col("l_token")) & (size == F.col("l_size")) & (F.col("sid") != F.col("l_sid")) & possible())
+    settled = stored(_matched_pairs(near.select("sid", "l_sid"), sets).distinct(), folder, "settled", True)
+    x, y = asked.join(settled, "sid", "left_anti").alias("x"), posts.alias("y")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & _earlier("x", "y")).select(F.col("x.sid").alias("sid"), F.col("y.sid").alias("l_sid"))
+    return settled.unionByName(_matched_pairs(pairs, sets)).distinct()
+
+
+def _with_earlier_match(posts: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """posts(token, sid, n, left, rest), sets(sid, place, tokens) -> sid of the sets that an earlier one matches."""
+    short, long = _short_matches(posts, sets), _long_matches(posts, sets, folder)
+    return (short if long is None else short.unionByName(long)).distinct()
 
 
 def later_lines(docs: DataFrame, folder: str) -> DataFrame:
     """docs(doc_id, text) -> in_rid, gone: the numbers of the lines of each text that repeat an earlier line."""
     spark = docs.sparkSession
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "pos")
-    tokens = stored(_tokens(_lines(docs)), folder, "tokens", dictionary=False)
+    tokens = stored(_tokens(_lines(docs)).withColumn("sid", F.xxhash64("tokens")), folder, "tokens", dictionary=False)
     size = F.size("tokens")
     prefix = F.slice(_keys(_levels(tokens)), F.lit(1), (size - F.ceil(size * 3 / F.lit(4)) + 1).cast("int"))
-    x = stored(tokens.select("rid", "doc_id", "pos", F.xxhash64("tokens").alias("sid"), size.alias("n"), prefix.alias("prefix")), folder, "lines", dictionary=False)
-    forget(spark, f"{folder}/tokens")
+    x = stored(tokens.select("rid", "doc_id", "pos", "sid"), folder, "lines", dictionary=False)
     many = x.groupBy("sid").agg(F.count("*").alias("many"), F.min(place).alias("first")).filter("many > 1")
     many = stored(many.select("sid", F.col("first.rid").alias("first_rid"), F.col("first.pos").alias("first_pos")), folder, "many")
     copies = small(many.select("sid"), 16)
-    entries = x.join(copies, "sid", "left_anti").select("sid", "n", "prefix")
-    entries = entries.unionByName(x.join(copies, "sid", "left_semi").select("sid", "n", "prefix").dropDuplicates(["sid"]))
+    entries = tokens.join(copies, "sid", "left_anti").select("sid", size.alias("n"), prefix.alias("prefix"))
+    entries = entries.unionByName(tokens.join(copies, "sid", "left_semi").select("sid", size.alias("n"), prefix.alias("prefix")).dropDuplicates(["sid"]))
     posts = stored(_with_company(entries.select("sid", "n", F.posexplode("prefix").alias("pos", "token"))), folder, "company")
+    forget(spark, f"{folder}/tokens")
     released(spark)
     posts = stored(with_partners(posts), folder, "posts")
     forget(spark, f"{folder}/company")
@@ -123,12 +168,12 @@ def later_lines(docs: DataFrame, folder: str) -> DataFrame:
     some = _tokens(_lines(docs, small(wanted.select("want_rid", "want_pos"), 24))).withColumn("sid", F.xxhash64("tokens"))
     sets = stored(some.select("sid", place.alias("place"), "tokens").dropDuplicates(["sid"]), folder, "sets", dictionary=False)
     released(spark)
-    matched = stored(_with_earlier_match(posts, sets), folder, "matched").withColumn("matched", F.lit(True))
+    matched = stored(_with_earlier_match(posts, sets, folder), folder, "matched").withColumn("matched", F.lit(True))
     marks = small(stored(many.join(matched, "sid", "full_outer"), folder, "marks"), 40)
     other = (F.col("rid") != F.col("first_rid")) | (F.col("pos") != F.col("first_pos"))
     gone = x.select("rid", "pos", "sid").join(marks, "sid").filter(F.coalesce("matched", other))
     gone = stored(gone.groupBy(F.col("rid").alias("in_rid")).agg(F.collect_set("pos").alias("gone")), folder, "gone")
-    for name in ("lines", "posts", "wanted", "sets", "marks", "matched", "many"):
+    for name in ("lines", "posts", "wanted", "sets", "marks", "matched", "many", "long", "settled"):
         forget(spark, f"{folder}/{name}")
     return gone
 

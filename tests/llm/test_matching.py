@@ -259,3 +259,46 @@ def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert neighbours.search(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def shuffled(spark) -> int:
+    """Bytes of shuffle that this context has written so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = spark._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_long_lines_are_shuffled_in_line_with_their_length(spark):
+    def pair(n, seed):
+        rng = random.Random(seed)
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+        changed = list(words)
+        for i in range(0, n, 90):  # a word in ninety: some 0.9 of similarity
+            changed[i] = "other"
+        worse = list(words)
+        for i in range(0, n, 22):  # below 0.75
+            worse[i] = "else"
+        return [" ".join(words), " ".join(changed), " ".join(worse)]
+
+    written = {}
+    for n in (4000, 16000, 64000):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(pair(n, n))], "doc_id long, text string").repartition(3)
+        before = shuffled(spark)
+        got = {r["doc_id"]: r["_ln_gone"] for r in lines.dedup_lines(df).collect()}
+        written[n] = shuffled(spark) - before
+        assert got == {0: 0, 1: 1, 2: 0}, n
+    assert written[64000] < 5 * written[16000] < 25 * written[4000] and written[64000] < 40e6, written
+
+
+@pytest.mark.parametrize("long", [3, 40])
+def test_crowds_of_template_lines_equal_brute_force(spark, monkeypatch, long):
+    """Lines of shared parts, many below 0.75 with the earliest of their n-grams and above it with another one."""
+    monkeypatch.setattr(lines, "LONG", long)
+    rng = random.Random(long)
+    parts = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(8)]
+    rows = [(i, " ".join(sorted(rng.sample(parts, rng.randint(4, 7)))) + rng.choice(["", " end", " one more end"])) for i in range(150)]
+    grams = lambda t: (lambda w: {tuple(w[j : j + 5]) for j in range(len(w) - 4)})(t.split())
+    sets = [grams(t) for _, t in rows]
+    want = {i: int(any(4 * len(sets[i] & sets[k]) >= 3 * len(sets[i] | sets[k]) for k in range(i))) for i in range(150)}
+    got = {r["doc_id"]: r["_ln_gone"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 0 < sum(want.values()) < 150
