@@ -125,6 +125,7 @@ def _long_matches(posts: DataFrame, sets: DataFrame, folder: str) -> DataFrame |
     The sets of all prefix n-grams of a line would grow with the square of its length, so pairs of numbers are compared: each
     set with the earliest of like size in each of its n-grams first, which settles nearly all of a crowd of copies, then what
     is left with all earlier ones of its n-grams."""
+    sets = sets.filter(4 * F.size("tokens") >= 3 * LONG)  # what a set of more than LONG n-grams may match, and these
     posts = stored(posts.filter(4 * F.col("n") >= 3 * LONG).join(sets.select("sid", "place"), "sid"), folder, "long")
     asked = posts.filter(F.col("n") > LONG)
     if asked.isEmpty():
@@ -141,7 +142,11 @@ def _long_matches(posts: DataFrame, sets: DataFrame, folder: str) -> DataFrame |
 
 def _with_earlier_match(posts: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """posts(token, sid, n, left, rest), sets(sid, place, tokens) -> sid of the sets that an earlier one matches."""
-    short, long = _short_matches(posts, sets), _long_matches(posts, sets, folder)
+    long = _long_matches(posts, sets, folder)
+    if long is not None:  # done and let go before the short ones, so that their shuffles don't live together
+        long = stored(long, folder, "long_matched", True)
+        released(posts.sparkSession)
+    short = _short_matches(posts, sets)
     return (short if long is None else short.unionByName(long)).distinct()
 
 
@@ -173,7 +178,7 @@ def later_lines(docs: DataFrame, folder: str) -> DataFrame:
     other = (F.col("rid") != F.col("first_rid")) | (F.col("pos") != F.col("first_pos"))
     gone = x.select("rid", "pos", "sid").join(marks, "sid").filter(F.coalesce("matched", other))
     gone = stored(gone.groupBy(F.col("rid").alias("in_rid")).agg(F.collect_set("pos").alias("gone")), folder, "gone")
-    for name in ("lines", "posts", "wanted", "sets", "marks", "matched", "many", "long", "settled"):
+    for name in ("lines", "posts", "wanted", "sets", "marks", "matched", "many", "long", "settled", "long_matched"):
         forget(spark, f"{folder}/{name}")
     return gone
 
