@@ -268,6 +268,15 @@ def shuffled(spark) -> int:
     return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
 
 
+def test_a_query_is_sent_once_for_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LEAF", 8)
+    x = np.random.default_rng(3).normal(size=(4000, 32)).astype(np.float32)  # without clusters: most leaves are visited
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = shuffled(spark)
+    assert neighbours.search(df, F.col("vec_id") % 20 == 0).count() == 200 * 20
+    assert shuffled(spark) - before < 4 * x.nbytes
+
+
 def test_long_lines_are_shuffled_in_line_with_their_length(spark):
     def pair(n, seed):
         rng = random.Random(seed)
