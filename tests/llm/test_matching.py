@@ -277,6 +277,20 @@ def test_a_query_is_sent_once_for_many_leaves(spark, monkeypatch):
     assert shuffled(spark) - before < 4 * x.nbytes
 
 
+def test_short_lines_are_shuffled_once_for_both_sides(spark, tmp_path):
+    posts = lines.stored(spark.createDataFrame([(t, t % 9, 5, 5, 5) for t in range(40)], "token long, sid long, n int, left int, rest int"), str(tmp_path), "posts")
+    sets = lines.stored(spark.createDataFrame([(i, i, [i, i + 1]) for i in range(9)], "sid long, place long, tokens array<long>"), str(tmp_path), "sets")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = lines._short_matches(posts, sets)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sum("Exchange hashpartitioning(token" in x and "ReusedExchange" not in x for x in plan) == 1
+
+
 def test_long_lines_are_shuffled_in_line_with_their_length(spark):
     def pair(n, seed):
         rng = random.Random(seed)
