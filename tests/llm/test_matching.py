@@ -100,6 +100,19 @@ def test_jaccard_join(spark, monkeypatch, many):
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == expected
 
 
+def test_open_pairs_meet_once(spark, tmp_path):
+    """Of sets that share runs of tokens, each pair that may match is met once a run, not once a token."""
+    rng = random.Random(31)
+    sets = {i: [*range(30), *rng.sample(range(100, 140), 30 + i % 3), *range(1000 + 90 * i, 1040 + 90 * i)] for i in range(20)}
+    rows = [(t, i, len(s), len(s) - k, len(s), i // 2) for i, s in sets.items() for k, t in enumerate(sorted(s)) if t < 1000]
+    x = spark.createDataFrame(rows, "token long, sid long, n int, left int, rest int, comp long")
+    y = x.select("token", *[F.col(c).alias(f"l_{c}") for c in ("sid", "n", "left", "rest", "comp")])
+    every = x.join(y, "token").filter((F.col("sid") < F.col("l_sid")) & (F.col("comp") != F.col("l_comp")) & jaccard.possible()).select("sid", "l_sid")
+    got = jaccard._meetings(x, str(tmp_path)).collect()
+    assert set(map(tuple, got)) == set(map(tuple, every.collect())) and len(set(got)) == 180
+    assert len(got) < 3 * len(set(got)) and every.count() > 10 * len(set(got))
+
+
 def grown(rng, sizes):
     """Texts as (words, variants, added): a base, and its variants with own words added behind it."""
     word = lambda: f"v{rng.randint(0, 10**9)}"
