@@ -304,6 +304,19 @@ def test_short_lines_are_shuffled_once_for_both_sides(spark, tmp_path):
     assert sum("Exchange hashpartitioning(token" in x and "ReusedExchange" not in x for x in plan) == 1
 
 
+def test_tables_of_hashes_are_not_compressed(spark, monkeypatch, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(lines, "forget", lambda *a: None)
+    df = spark.createDataFrame([(i, f"a b c d e f g {i}\none more line of words {i % 3}") for i in range(30)], "doc_id long, text string")
+    lines.later_lines(df, str(tmp_path))
+    for name, kind in (("tokens", "UNCOMPRESSED"), ("entries", "UNCOMPRESSED"), ("lines", "ZSTD")):
+        found = [pq.ParquetFile(p).metadata for p in glob.glob(f"{tmp_path}/{name}/*.parquet")]
+        assert {m.row_group(0).column(0).compression for m in found if m.num_rows} == {kind}, name
+
+
 def test_long_lines_are_shuffled_in_line_with_their_length(spark):
     def pair(n, seed):
         rng = random.Random(seed)
