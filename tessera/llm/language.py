@@ -15,6 +15,8 @@ but the sample.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import shipped, table
+from tessera.llm.common import shipped, table, tidied
 from tessera.llm.tokens import slices
 
 SAMPLE, FEATURES, EPOCHS = 3000, 4096, 12
@@ -39,12 +41,12 @@ _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
-def features(text: str) -> np.ndarray | None:
-    """Relative frequencies, their square roots scaled to length 1; None if the text has no letter."""
+def counted(text: str) -> np.ndarray | None:
+    """How often each hashed n-gram occurs; None if the text has no letter."""
     low = text.lower()
     if not any(c.isalpha() for c in low[:256]) and not any(c.isalpha() for c in low):
         return None
-    out, total = np.zeros(FEATURES), 0
+    out = np.zeros(FEATURES, np.int64)
     for at in range(0, len(low), 1 << 18):  # long texts in blocks; the counts add up
         c = np.frombuffer(low[at : at + (1 << 18)].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters(c)
@@ -57,13 +59,22 @@ def features(text: str) -> np.ndarray | None:
             for j in range(n):
                 h = (h ^ c[j : j + len(h)]) * _MULTIPLIERS[j] + np.uint32(n)
                 h ^= h >> np.uint32(15)
-            counts = np.bincount(h % np.uint32(FEATURES), minlength=FEATURES)
-            out += counts
-            total += len(h)
-    out = np.sqrt(out / max(1, total))
+            out += np.bincount(h % np.uint32(FEATURES), minlength=FEATURES)
+    return out
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Relative frequencies, their square roots scaled to length 1."""
+    out = np.sqrt(counts / max(1, counts.sum()))
     return out / np.sqrt((out**2).sum())
 
 
+def features(text: str) -> np.ndarray | None:
+    """The scaled frequencies of a text; None if it has no letter."""
+    counts = counted(text)
+    return None if counts is None else scaled(counts)
+
+
 _KNOWN_LETTERS = np.array([chr(i).isalpha() for i in range(0x3000)])
 
 
@@ -99,13 +110,14 @@ def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 4.0, seed: in
 class OneVersusOne:
     """A machine for each pair of classes. A class's score is the least margin against the others, through a sigmoid."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray):
+    def __init__(self, x: np.ndarray, rows: np.ndarray, labels: np.ndarray):
+        """Fitted on some rows of x, with their labels."""
         self.classes = sorted(set(labels))
         self.pairs, ws = [], []
         for i, a in enumerate(self.classes):
             for j in range(i + 1, len(self.classes)):
                 use = np.flatnonzero((labels == a) | (labels == self.classes[j]))
-                ws.append(svm(x, use, np.where(labels[use] == a, 1.0, -1.0)))
+                ws.append(svm(x, rows[use], np.where(labels[use] == a, 1.0, -1.0)))
                 self.pairs.append((i, j))
         self.w = np.array(ws)
 
@@ -128,8 +140,8 @@ class Identifier:
 
     def __init__(self, x: np.ndarray, langs: np.ndarray):
         families = np.array([_FAMILY.get(v, v) for v in langs])
-        self.top = OneVersusOne(x, families)
-        self.inner = [OneVersusOne(x[families == f], langs[families == f]) for f in self.top.classes]
+        self.top = OneVersusOne(x, np.arange(len(x)), families)
+        self.inner = [OneVersusOne(x, np.flatnonzero(families == f), langs[families == f]) for f in self.top.classes]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         family, score = self.top.predict(x)
@@ -163,18 +175,26 @@ def fit(docs: DataFrame, limit: int = SAMPLE) -> Identifier | None:
     def run(batches):
         for batch in batches:
             for part, texts in slices(batch, 1):
-                x = [features(t) for t in texts]
-                packed = [None if v is None else v.astype("<f4").tobytes() for v in x]
+                packed = [None if v is None else zlib.compress(v.astype("<u4").tobytes(), 1) for v in map(counted, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["lang", "x"])
 
     rows = sample.select("lang", "text").mapInArrow(run, "lang string, x binary").filter(F.col("x").isNotNull()).toArrow()
     if not len(rows):
         return None
-    x = np.array([np.frombuffer(v.as_py(), "<f4") for v in rows.column("x")])
-    langs = np.array(rows.column("lang").to_pylist(), object)
-    order = np.lexsort((x[:, 1], x[:, 0], langs.astype(str)))  # the same model whatever order the rows came in
-    x = x[order]
-    return Identifier(x, langs[order])
+    packed, langs = rows.column("x").to_pylist(), np.array(rows.column("lang").to_pylist(), object)  # counts: few bytes of a row's FEATURES
+
+    def row(i: int) -> np.ndarray:
+        return scaled(np.frombuffer(zlib.decompress(packed[i]), "<u4")).astype("<f4")
+
+    first = np.array([row(i)[:2] for i in range(len(packed))])
+    order = np.lexsort((first[:, 1], first[:, 0], langs.astype(str)))  # the same model whatever order the rows came in
+    x = np.empty((len(packed), FEATURES), "<f4")  # the one copy that the driver holds
+    for at, i in enumerate(order):
+        x[at] = row(i)
+    model = Identifier(x, langs[order])
+    del x
+    tidied()
+    return model
 
 
 def identify(docs: DataFrame, model: Identifier | None) -> DataFrame:

@@ -245,6 +245,22 @@ def test_languages(spark):
     assert language.fit(df.filter("false")) is None and {r["lang_pred"] for r in language.identify(df, None).collect()} == {"und"}
 
 
+def test_the_driver_gets_a_sample_of_counts(spark, monkeypatch):
+    """The sample reaches the driver as packed counts, and one matrix of it is held."""
+    import tracemalloc
+
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh" if i % 2 else "efghijkl") for _ in range(rng.randint(2, 7))) for _ in range(60)), "en" if i % 2 else "fr") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = language.fit(df)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * 1200 * language.FEATURES * 4
+    lang, _ = model.predict(np.array([language.features(t) for _, t, _ in rows]))
+    assert sum(a == r[2] for a, r in zip(lang, rows, strict=True)) >= 1190
+
+
 def test_neighbours(spark, monkeypatch):
     for name, value in (("LEAF", 64), ("PART", 50), ("SAMPLE", 700)):
         monkeypatch.setattr(neighbours, name, value)
