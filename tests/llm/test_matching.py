@@ -367,3 +367,20 @@ def test_crowds_of_template_lines_equal_brute_force(spark, monkeypatch, long):
     want = {i: int(any(4 * len(sets[i] & sets[k]) >= 3 * len(sets[i] | sets[k]) for k in range(i))) for i in range(150)}
     got = {r["doc_id"]: r["_ln_gone"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and 0 < sum(want.values()) < 150
+
+
+def test_prefixes_of_lines_are_plain_integers(spark, tmp_path):
+    from tessera.llm import lines
+
+    spark.createDataFrame([([5, 3 << 40, 7],)], "tokens array<bigint>").write.parquet(f"{tmp_path}/tokens")
+    keys = spark.read.parquet(f"{tmp_path}/tokens").select(lines._keys([0] * 7 + [1] + [0] * (lines.BUCKETS - 8)).alias("keys"))
+    assert not keys.schema["keys"].dataType.containsNull and keys.first()["keys"] == [5, 3 << 40, (1 << lines.HASH_BITS) | 7]
+
+
+def test_lines_in_company_keep_their_n_grams(spark):
+    from tessera.llm import lines
+
+    rare, lone, heavy = 77, 78, (lines.HEAVY << lines.HASH_BITS) | 77
+    rows = [(rare, -9, 300, 2), (rare, 4, 3, 0), (lone, 4, 3, 1), (heavy, -9, 300, 75), (heavy + 1, 130, 1, 0)]
+    found = lines._with_company(spark.createDataFrame(rows, "token long, sid long, n int, pos int"))
+    assert sorted(map(tuple, found.collect())) == sorted(x for x in rows if x[0] != lone) and found.dtypes[2:] == [("n", "int"), ("pos", "int")]
